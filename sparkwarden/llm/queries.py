@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, urls
+from . import bpe, chat, langid, quality, substrings, urls
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_byte_bpe": _over("documents", bpe.op4),
         "op6_language_id": _over("documents", langid.op6),
         "op7_url_filter": _over("pages", urls.op7),
+        "op8_substring_dedup": _over("documents", substrings.op8),
         "op10_quality_rules": _over("documents", quality.op10),
     }
 
