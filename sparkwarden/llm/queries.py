@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, substrings, urls
+from . import bpe, chat, langid, quality, substrings, suffixes, urls
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language_id": _over("documents", langid.op6),
         "op7_url_filter": _over("pages", urls.op7),
         "op8_substring_dedup": _over("documents", substrings.op8),
+        "op9_suffix_array_dedup": _over("documents", suffixes.op9),
         "op10_quality_rules": _over("documents", quality.op10),
     }
 
