@@ -202,17 +202,17 @@ class RunLengthIndex:
         rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
         return rank
 
-    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Common prefixes of the suffixes at a and b, up to ``most`` symbols and their strings' ends."""
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of the suffixes at a and b, up to their strings' ends."""
         a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
         while True:
             moved = np.zeros(len(a), bool)
             for length, rank in reversed(self.ranks):
-                ok = (a < self.n) & (b < self.n) & (out < most)
+                ok = (a < self.n) & (b < self.n)
                 x, y = np.minimum(a, self.n - 1), np.minimum(b, self.n - 1)
                 ok &= (rank[x] == rank[y]) & (self.left[x] >= length) & (self.left[y] >= length)
                 a, b, out, moved = a + length * ok, b + length * ok, out + length * ok, moved | ok
-            if not moved.any() or (out[moved] >= most).all():
+            if not moved.any():
                 break
         for _ in range(8):
             x, y = np.minimum(a, self.n - 1), np.minimum(b, self.n - 1)
@@ -221,20 +221,20 @@ class RunLengthIndex:
             if not ok.any():
                 break
             a, b, out = a + ok, b + ok, out + ok
-        return np.minimum(out, most)
+        return out
 
-    def matching(self, most: int) -> np.ndarray:
-        """For each place, its longest match (up to ``most``) that starts at another place."""
+    def matching(self) -> np.ndarray:
+        """For each place, its longest match that starts at another place."""
         ends = np.flatnonzero(self.text == 0)
         stop = ends[np.searchsorted(ends, np.arange(self.n))] if len(ends) else np.full(self.n, self.n)
         self.left = stop - np.arange(self.n)
         base = np.full(self.n, -(1 << 40), np.int64)
         s = self.run_start[self.run_start > 0]
         j = self.array[s]
-        base[j] = np.maximum(base[j], self.common(j, self.array[s - 1], most) + j)
+        base[j] = np.maximum(base[j], self.common(j, self.array[s - 1]) + j)
         e = self.run_end[self.run_end < self.n - 1]
         j = self.array[e]
-        base[j] = np.maximum(base[j], self.common(j, self.array[e + 1], most) + j)
+        base[j] = np.maximum(base[j], self.common(j, self.array[e + 1]) + j)
         return np.maximum(0, np.maximum.accumulate(base) - np.arange(self.n))
 
 
@@ -252,7 +252,7 @@ def _match(said: list[bytes], *, window: int) -> list[bytes]:
     mask[at + size] = False
     symbols[mask] = text + 1
     index = RunLengthIndex(symbols, int(size.max(initial=0)) + 1)
-    hit = index.matching(window) >= window
+    hit = index.matching() >= window
     owner = np.repeat(np.arange(len(size)), size + 1)
     s, e = spans(hit)
     # a run of marked places lies in one string: the last places of each are too short to match
