@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, quality, substrings, suffixes, urls
+from . import bpe, chat, decontaminate, langid, lines, quality, substrings, suffixes, urls
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,8 +15,10 @@ def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": lambda spark, sf_dir: decontaminate.op2(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
         "op3_chat_format": lambda spark, sf_dir: chat.op3(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")),
         "op4_byte_bpe": _over("documents", bpe.op4),
+        "op5_line_dedup": _over("documents", lines.op5),
         "op6_language_id": _over("documents", langid.op6),
         "op7_url_filter": _over("pages", urls.op7),
         "op8_substring_dedup": _over("documents", substrings.op8),
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op7_url_filter": urls.OP7_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL}
