@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, lines, quality, substrings, suffixes, urls
+from . import bpe, chat, decontaminate, langid, lines, ngram_join, quality, substrings, suffixes, urls
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,6 +15,7 @@ def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": _over("documents", ngram_join.op1),
         "op2_decontaminate": lambda spark, sf_dir: decontaminate.op2(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
         "op3_chat_format": lambda spark, sf_dir: chat.op3(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")),
         "op4_byte_bpe": _over("documents", bpe.op4),
