@@ -14,6 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
+from bisect import bisect_right
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -21,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-#: Distinct pre-tokens kept by a worker; the table starts anew beyond that.
-TABLE = 200_000
+#: Distinct pre-tokens kept by a worker; beyond that only those of the batch at hand stay.
+TABLE = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,77 +37,71 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Replay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def pair(self, a: int, b: int) -> int | None:
-        """The rank of the token that a and b merge to."""
-        key = (a, b)
-        try:
-            return self.pairs[key]
-        except KeyError:
-            if len(self.pairs) > 4 * TABLE:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.tokens[a] + self.tokens[b])
-            return found
+        self.byte = [ranks[bytes((b,))] for b in range(256)]
+        #: The rank of the token that two tokens merge to, by both in one number.
+        self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word; a word that is a token itself is that token."""
+        pair, byte = self.pairs.get, self.byte.__getitem__
         out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else None for w in words]
         todo = [i for i, ids in enumerate(out) if ids is None]
         symbol: list[int] = []
-        owner: list[int] = []
         first = []
         for i in todo:
             first.append(len(symbol))
-            symbol += [self.ranks[bytes((b,))] for b in words[i]]
-            owner += [i] * len(words[i])
+            symbol.extend(map(byte, words[i]))
         n = len(symbol)
-        after = [p + 1 if p + 1 < n and owner[p] == owner[p + 1] else -1 for p in range(n)]
-        before = [p - 1 if p and owner[p] == owner[p - 1] else -1 for p in range(n)]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        for p in first:
+            before[p] = -1
+            after[p - 1] = -1  # for the first word: the last place of all
         index: dict[int, list[int]] = {}
-        for p in range(n):
-            if after[p] >= 0 and (r := self.pair(symbol[p], symbol[after[p]])) is not None:
-                index.setdefault(r, []).append(p)
+        for p, (a, q) in enumerate(zip(symbol, after)):
+            if q >= 0 and (r := pair(a << 32 | symbol[q])) is not None:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
         heap = list(index)
         heapq.heapify(heap)
 
-        def add(p: int, rank: int) -> bool:
-            """Enter the pair at p; whether it comes before ``rank``."""
-            q = after[p]
-            if q < 0 or (r := self.pair(symbol[p], symbol[q])) is None:
-                return False
-            if r not in index:
-                index[r] = []
+        def add(r: int, p: int) -> None:
+            if r in index:
+                index[r].append(p)
+            else:
+                index[r] = [p]
                 heapq.heappush(heap, r)
-            index[r].append(p)
-            return r < rank
 
         while heap:
             rank = heapq.heappop(heap)
-            places = sorted(set(index.pop(rank)))
-            held: set[int] = set()
-            back = []
+            places = index.pop(rank)
+            places.sort()
+            held: set[int] = set()  # words, by number, that have a lower pair now
             for p in places:
                 q = after[p]
-                if q < 0 or symbol[p] < 0 or self.pair(symbol[p], symbol[q]) != rank:
+                if q < 0 or symbol[p] < 0 or pair(symbol[p] << 32 | symbol[q]) != rank:
                     continue
-                if owner[p] in held:
-                    back.append(p)
+                if held and bisect_right(first, p) in held:
+                    add(rank, p)
                     continue
                 symbol[p], symbol[q] = rank, -1
-                after[p] = after[q]
-                if after[q] >= 0:
-                    before[after[q]] = p
-                lower = add(p, rank)
-                if before[p] >= 0:
-                    lower = add(before[p], rank) or lower
+                after[p] = after_q = after[q]
+                lower = False
+                if after_q >= 0:
+                    before[after_q] = p
+                    r = pair(rank << 32 | symbol[after_q])
+                    if r is not None:
+                        add(r, p)
+                        lower = r < rank
+                b = before[p]
+                if b >= 0:
+                    r = pair(symbol[b] << 32 | rank)
+                    if r is not None:
+                        add(r, b)
+                        lower = lower or r < rank
                 if lower:
-                    held.add(owner[p])
-            if back:
-                if rank not in index:
-                    index[rank] = []
-                    heapq.heappush(heap, rank)
-                index[rank] += back
+                    held.add(bisect_right(first, p))
         for i, p in zip(todo, first):
             ids = []
             while p >= 0:
@@ -114,26 +111,52 @@ class Replay:
         return out
 
 
+#: The classes of the usual pattern for text of code points below 256, where Python's own engine can be used.
+LATIN_1 = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
+
+
+def splitter(pattern: str):
+    """A function from a text to its pre-tokens. Text in Latin-1 goes by an equal pattern without Unicode properties."""
+    whole, narrow = regex.compile(pattern).findall, pattern
+    narrow = narrow.replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(LATIN_1.values()) + "]").replace(r"\S", f"[^{LATIN_1[chr(92) + 's']}]")
+    for name, chars in LATIN_1.items():
+        narrow = narrow.replace(name, f"[{chars}]")
+    if re.search(r"\\[pPwWdDbBhXRN]", narrow):  # a pattern of another kind
+        return whole
+    fast = re.compile(narrow).findall
+
+    def split(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return whole(text)
+        return fast(text)
+
+    return split
+
+
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.split = Replay(ranks), regex.compile(pattern).findall
+        self.replay, self.split = Replay(ranks), splitter(pattern)
         self.known: dict[str, tuple[int, ...]] = {}
+        self.names = {i: str(i) for i in ranks.values()}
 
     def learn(self, pieces: set[str]) -> None:
         new = [w for w in pieces if w not in self.known]
         if len(self.known) + len(new) > TABLE:
-            self.known, new = {}, list(pieces)
+            self.known = {w: self.known[w] for w in pieces if w in self.known}
         self.known.update(zip(new, map(tuple, self.replay.encode([w.encode() for w in new]))))
 
     def encode_batch(self, texts: list[str]):
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split))
-        known = self.known
+        known = self.known.__getitem__
         for pieces in split:
-            ids: list[int] = []
-            for w in pieces:
-                ids += known[w]
-            yield ids
+            yield list(chain.from_iterable(map(known, pieces)))
+
+    def said(self, ids: list[int]) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self.names.__getitem__, ids))
 
     def decode_bytes(self, ids) -> bytes:
         return b"".join(map(self.replay.tokens.__getitem__, ids))
@@ -153,7 +176,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         tokenizer = _workers(path, pattern)
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 21):
+            for piece in slices(batch, "text", 4 << 20):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokenizer.encode_batch(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -179,11 +202,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         tokenizer = _workers(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 21):
+            for piece in slices(batch, "text", 4 << 20):
                 n, said, decoded = [], [], []
                 for ids in tokenizer.encode_batch([t or "" for t in piece.column("text").to_pylist()]):
                     n.append(len(ids))
-                    said.append(sha(",".join(map(str, ids)).encode()))
+                    said.append(sha(tokenizer.said(ids).encode()))
                     decoded.append(sha(tokenizer.decode_bytes(ids)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
