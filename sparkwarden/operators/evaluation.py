@@ -33,11 +33,12 @@ def ranking_metrics(scores: DataFrame, by: str | None = None) -> DataFrame:
     c = curve(scores, by)
     tp0, fp0 = F.col("tp") - F.col("pos"), F.col("fp") - F.col("neg")
     area = F.sum(F.col("neg") * (F.col("tp") + tp0) / 2)
-    out = [(area / (F.max("p") * F.max("n"))).alias("roc_auc"), (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.max("p")).alias("average_precision")]
+    steps = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
+    out = [F.try_divide(area, F.max("p") * F.max("n")).alias("roc_auc"), F.try_divide(steps, F.max("p")).alias("average_precision")]  # null without both labels
     for share in (0.01, 0.05, 0.10):
         want = num(share) * F.col("n")
         # on the curve's last step that begins at or before the wanted rate
-        at = F.when(F.col("neg") > 0, (tp0 + F.col("pos") * (want - fp0) / F.col("neg")) / F.col("p"))
+        at = F.when((F.col("neg") > 0) & (F.col("p") > 0), (tp0 + F.col("pos") * (want - fp0) / F.col("neg")) / F.col("p"))
         out.append(F.coalesce(F.max(F.when((fp0 <= want) & (F.col("fp") > want), at)), num(1)).alias(f"recall_at_{int(share * 100)}_fpr"))
     return c.groupBy(*key).agg(*out)
 

@@ -62,7 +62,7 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, cfg: GraphConfig = DEFAULT, iterations: int | None = None) -> DataFrame:
     """id and pagerank, weighted by amount; what dangling nodes hold is shared out evenly. Stops at the tolerance unless ``iterations`` is given."""
     total = edges.groupBy("src").agg(F.sum("amount").alias("total"))
-    links = cut(edges.join(total, "src").select("src", "dst", (F.col("amount") / F.col("total")).alias("share")))
+    links = cut(edges.join(total, "src").select("src", "dst", F.coalesce(F.try_divide("amount", "total"), num(0)).alias("share")))
     nodes = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().join(total.select(F.col("src").alias("id"), F.lit(True).alias("gives")), "id", "left"))
     n = nodes.count()
     if not n:

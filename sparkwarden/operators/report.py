@@ -64,7 +64,7 @@ def alert_statistics(alerts: DataFrame, as_of: Column | None = None) -> DataFram
     return alerts.agg(
         F.count("*").alias("total"), F.min("created_at").alias("period_start"), F.max("created_at").alias("period_end"), *[F.count_if(F.col("severity") == v).alias(v.lower()) for v in ("HIGH", "MEDIUM", "LOW")],
         *[F.count_if(F.col("status") == v).alias(v.lower()) for v in ("OPEN", "IN_REVIEW", "ESCALATED", "CLOSED")], F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_pop(s).alias("std"),
-        F.percentile(s, 0.9).alias("p90"), F.percentile(s, 0.95).alias("p95"), F.count_if(late).alias("sla_breached"), (F.count_if(late) / F.count("*") * 100).alias("breach_rate_pct"),
+        F.percentile(s, 0.9).alias("p90"), F.percentile(s, 0.95).alias("p95"), F.count_if(late).alias("sla_breached"), (F.try_divide(F.count_if(late), F.count("*")) * 100).alias("breach_rate_pct"),
     )
 
 
@@ -84,7 +84,7 @@ def sla(alerts: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Breaches by severity, and closure and escalation rates."""
     now = as_of if as_of is not None else F.current_timestamp()
     late = (F.col("status") == "OPEN") & (F.col("sla_deadline") < now)
-    rate = lambda v: (F.count_if(F.col("status") == v) / F.count("*") * 100).alias(f"{v.lower()}_rate_pct")
+    rate = lambda v: (F.try_divide(F.count_if(F.col("status") == v), F.count("*")) * 100).alias(f"{v.lower()}_rate_pct")
     return alerts.agg(*[F.count_if(late & (F.col("severity") == v)).alias(f"{v.lower()}_breached") for v in ("HIGH", "MEDIUM", "LOW")], F.count("*").alias("total"), rate("CLOSED"), rate("ESCALATED"))
 
 

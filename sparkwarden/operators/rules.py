@@ -36,7 +36,7 @@ def rapid_movement(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     width = cfg.rapid_hours * HOUR_US
     ahead = by_time("account", 0, width)
     both = both.withColumns({"sent": F.sum(F.when(F.col("out"), F.col("amount"))).over(ahead), "n_sent": F.count(F.when(F.col("out"), 1)).over(ahead)})
-    ratio = F.col("sent") / F.col("amount")
+    ratio = F.try_divide("sent", "amount")
     score = F.least(num(1), num(0.3) + num(0.3) * ratio + num(0.2) * (F.col("n_sent") > 1).cast("double"))
     both = both.withColumn("score", F.when(~F.col("out") & (ratio >= num(cfg.rapid_ratio)), score))
     passed_on = F.max(F.col("score") * 0.8).over(by_time("account", -width, 0))

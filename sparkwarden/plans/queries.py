@@ -695,7 +695,8 @@ def _(spark, d):
     return rp.sar_narrative(full_alerts(spark, d), generated=F.lit(AS_OF).cast("timestamp"))
 
 
-@query("dormant_stream", None)
+@query("dormant_stream", """WITH g AS (SELECT o_orderkey AS transaction_id, 'C' || o_custkey AS from_id, datediff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)::DOUBLE AS gap_days, o_totalprice AS amount FROM orders)
+  SELECT transaction_id, from_id, gap_days, round(amount, 6) AS amount FROM g WHERE gap_days >= 90 AND amount >= 5000""")
 def _(spark, d):
     """The stream's dormant rule over the orders ledger, read as a stream and run to its end."""
     from ..streaming import velocity
