@@ -66,10 +66,12 @@ def counterparties(df: DataFrame, entities: DataFrame, suspicious: DataFrame | N
     pairs = sides(df.select("from_id", "to_id")).join(entities.select("entity_id"), "entity_id", "left_semi").where("counterparty <> entity_id").select("entity_id", "counterparty").distinct()
     if suspicious is None:
         return pairs.groupBy("entity_id").agg(F.count("*").alias("n_counterparties"), F.array().cast("array<string>").alias("suspicious_counterparties"))
-    marked = pairs.join(suspicious.where(F.col("suspicion_score") > num(above)).select(F.col("account_id").alias("counterparty"), F.lit(True).alias("bad")), "counterparty", "left")
-    rank = F.row_number().over(Window.partitionBy("entity_id", "bad").orderBy("counterparty"))
-    named = F.sort_array(F.collect_list(F.when(F.col("bad") & (F.col("rank") <= most), F.col("counterparty"))))
-    return marked.withColumn("rank", rank).groupBy("entity_id").agg(F.count("*").alias("n_counterparties"), named.alias("suspicious_counterparties"))
+    count = pairs.groupBy("entity_id").agg(F.count("*").alias("n_counterparties"))
+    bad = pairs.join(suspicious.where(F.col("suspicion_score") > num(above)).select(F.col("account_id").alias("counterparty")), "counterparty")
+    # no more than the suspicious accounts for an entity, of which there are top_k
+    named = bad.groupBy("entity_id").agg(F.slice(F.sort_array(F.collect_set("counterparty")), 1, most).alias("suspicious_counterparties"))
+    empty = F.array().cast("array<string>")
+    return count.join(named, "entity_id", "left").withColumn("suspicious_counterparties", F.coalesce("suspicious_counterparties", empty))
 
 
 def deduplicate(alerts: DataFrame, strategy: str = "max_score") -> DataFrame:

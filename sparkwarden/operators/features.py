@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import FeatureConfig
-from ..functions.columns import DAY_US, by_time, num, us
+from ..functions.columns import DAY_US, num, us
+from .windows import with_frames
 
 DEFAULT = FeatureConfig()
 
@@ -90,13 +91,19 @@ def network(df: DataFrame) -> DataFrame:
 
 def rolling(df: DataFrame, cfg: FeatureConfig = DEFAULT) -> DataFrame:
     """Trailing count, sum, mean, max and standard deviation of amounts by sender and by receiver; a window is open on its left end."""
-    out = {}
+    df = df.select("transaction_id", "timestamp", "from_id", "to_id", "amount")
     for side, key in (("sender", "from_id"), ("receiver", "to_id")):
-        for d in cfg.windows_days:
-            w = by_time(key, -d * DAY_US + 1, 0)
-            for name, f in (("count", F.count), ("sum", F.sum), ("mean", F.avg), ("max", F.max), ("std", F.stddev_samp)):
-                out[f"feat_{side}_{name}_{d}d"] = F.coalesce(f("amount").over(w), F.lit(0))
-    return df.withColumns(out).select("transaction_id", *out)
+
+        def trailing(frame, side=side):
+            out = {}
+            for d in cfg.windows_days:
+                w = frame(-d * DAY_US + 1, 0)
+                for name, f in (("count", F.count), ("sum", F.sum), ("mean", F.avg), ("max", F.max), ("std", F.stddev_samp)):
+                    out[f"feat_{side}_{name}_{d}d"] = F.coalesce(f("amount").over(w), F.lit(0))
+            return out
+
+        df = with_frames(df, key, max(cfg.windows_days) * DAY_US, 0, trailing)
+    return df.drop("timestamp", "from_id", "to_id", "amount")
 
 
 def entropy(df: DataFrame, bins: int = 20) -> DataFrame:

@@ -161,7 +161,10 @@ def betweenness(edges: DataFrame, max_sources: int = 2_000) -> DataFrame:
     spark = edges.sparkSession
     if n > 50 * max_sources:
         raise ValueError(f"{n} vertices: the adjacency that this broadcasts is bounded by {50 * max_sources}; take the largest edges first")
-    flat = edges.where("src <> dst").select("src", "dst", "amount").collect()  # bounded by the check above
+    links = edges.where("src <> dst").select("src", "dst", "amount")
+    if (m := links.count()) > 1_000 * max_sources:
+        raise ValueError(f"{m} edges: the adjacency that this broadcasts is bounded by {1_000 * max_sources}; take the largest edges first")
+    flat = links.collect()  # bounded by the checks above
     near: dict[str, list[tuple[str, float]]] = {}
     for s, d, w in flat:
         near.setdefault(s, []).append((d, w))

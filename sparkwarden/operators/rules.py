@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import RULES, RuleConfig
-from ..functions.columns import DAY_US, HOUR_US, by_time, clip, num, us
+from ..functions.columns import DAY_US, HOUR_US, clip, num, us
 from .paths import cycle_lengths
+from .windows import previous_time, with_frames
 
 DEFAULT = RuleConfig()
 
@@ -19,13 +20,15 @@ def structuring(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Amounts just below the reporting threshold, alone and in numbers within a day from one sender."""
     a = F.col("amount")
     in_range = a.between(cfg.structuring_low, cfg.structuring_high)
-    ahead = F.count(F.when(in_range, 1)).over(by_time("from_id", 0, cfg.structuring_hours * HOUR_US))
+    width = cfg.structuring_hours * HOUR_US
+    df = with_frames(df, "from_id", 0, width, lambda frame: {"_ahead": F.count(F.when(in_range, 1)).over(frame(0, width))})
+    ahead = F.col("_ahead")
     score = F.when(in_range, num(0.4)).otherwise(num(0))
     score = score + F.when((a >= num(cfg.ctr_threshold * 0.90)) & (a < num(cfg.ctr_threshold)), num(0.2)).otherwise(num(0))
     score = score + F.when(in_range & (ahead >= cfg.structuring_min_count), F.least(num(0.4), num(0.1) * ahead)).otherwise(num(0))
     for t in (10_000.0, 5_000.0, 3_000.0):
         score = score + F.when((a >= num(t * 0.95)) & (a < num(t)) & (a % 100 < 10), num(0.1)).otherwise(num(0))
-    return df.withColumn(score_name("structuring"), clip(score))
+    return df.withColumn(score_name("structuring"), clip(score)).drop("_ahead")
 
 
 def rapid_movement(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
@@ -34,13 +37,17 @@ def rapid_movement(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     side = lambda key, kind: large.select(F.col(key).alias("account"), "timestamp", "amount", "transaction_id", F.lit(kind).alias("out"))
     both = side("from_id", True).unionByName(side("to_id", False))
     width = cfg.rapid_hours * HOUR_US
-    ahead = by_time("account", 0, width)
-    both = both.withColumns({"sent": F.sum(F.when(F.col("out"), F.col("amount"))).over(ahead), "n_sent": F.count(F.when(F.col("out"), 1)).over(ahead)})
+
+    def sent(frame):
+        ahead = frame(0, width)
+        return {"sent": F.sum(F.when(F.col("out"), F.col("amount"))).over(ahead), "n_sent": F.count(F.when(F.col("out"), 1)).over(ahead)}
+
+    both = with_frames(both, "account", 0, width, sent)
     ratio = F.try_divide("sent", "amount")
     score = F.least(num(1), num(0.3) + num(0.3) * ratio + num(0.2) * (F.col("n_sent") > 1).cast("double"))
     both = both.withColumn("score", F.when(~F.col("out") & (ratio >= num(cfg.rapid_ratio)), score))
-    passed_on = F.max(F.col("score") * 0.8).over(by_time("account", -width, 0))
-    found = both.withColumn("score", F.coalesce(F.when(F.col("out"), passed_on).otherwise(F.col("score")), num(0)))
+    both = with_frames(both, "account", width, 0, lambda frame: {"passed_on": F.max(F.col("score") * 0.8).over(frame(-width, 0))})
+    found = both.withColumn("score", F.coalesce(F.when(F.col("out"), F.col("passed_on")).otherwise(F.col("score")), num(0)))
     best = found.groupBy("transaction_id").agg(F.max("score").alias(score_name("rapid_movement")))
     return df.join(best, "transaction_id", "left").na.fill(0.0, [score_name("rapid_movement")])
 
@@ -66,21 +73,22 @@ def geographic(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
 
 def dormant(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Large amounts from senders that were silent for long."""
-    before = F.lag(us()).over(Window.partitionBy("from_id").orderBy(us(), "transaction_id"))
-    gap = (us() - before) / DAY_US
+    df = previous_time(df, "from_id", 30 * DAY_US)
+    gap = (us() - F.col("_before")) / DAY_US
     score = num(0.3) + num(0.4) * F.least(num(1), gap / 365) + num(0.3) * F.least(num(1), F.col("amount") / 50_000)
     hit = (gap >= cfg.dormant_days) & (F.col("amount") >= num(cfg.dormant_min_amount))
-    return df.withColumn(score_name("dormant_reactivation"), F.when(hit, clip(score)).otherwise(num(0)))
+    return df.withColumn(score_name("dormant_reactivation"), F.when(hit, clip(score)).otherwise(num(0))).drop("_before")
 
 
 def velocity(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     """Too many transactions of a sender in any of the windows that end with this one."""
 
-    def score(hours: int, threshold: int) -> Column:
-        n = F.count("*").over(by_time("from_id", -hours * HOUR_US, 0))
+    def score(frame, hours: int, threshold: int) -> Column:
+        n = F.count("*").over(frame(-hours * HOUR_US, 0))
         return F.when(n >= threshold, F.least(num(1), num(0.3) + num(0.2) * (n / threshold - 1))).otherwise(num(0))
 
-    return df.withColumn(score_name("velocity"), F.greatest(num(0), *(score(*w) for w in cfg.velocity)))
+    widest = max(hours for hours, _ in cfg.velocity) * HOUR_US
+    return with_frames(df, "from_id", widest, 0, lambda frame: {score_name("velocity"): F.greatest(num(0), *(score(frame, *w) for w in cfg.velocity))})
 
 
 def combine(df: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:

@@ -69,6 +69,26 @@ def test_order_and_partitions_do_not_matter(spark):
     assert a == b
 
 
+def test_hot_accounts_are_sliced(spark, monkeypatch):
+    import random
+
+    from sparkwarden.operators import features, windows
+
+    rng = random.Random(1)
+    rows = [(rng.choice("HHHAB"), rng.choice("HABC"), rng.choice((9200, 8100, 9800, 20000, 300)), rng.randrange(200 * 1440)) for _ in range(150)]
+    df = ledger(spark, rows)
+    cfg = RuleConfig(velocity=((1, 2), (24, 2)), dormant_days=2, trip_max_hops=2)
+
+    def run():
+        scored = rules.evaluate(df, cfg)
+        rolled = features.rolling(df)
+        return [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for t in (scored, rolled) for r in t.select(*sorted(t.columns)).orderBy("transaction_id").collect()]
+
+    whole = run()
+    monkeypatch.setattr(windows, "HOT_ROWS", 5)
+    assert run() == whole
+
+
 def test_single_transaction(spark):
     df = ledger(spark, [("A", "B", 9500, 0)] + [("A", "C", 100, -i) for i in range(1, 8)])
     out = rules.evaluate_single(spark, df.where("transaction_id = 0"), df.where("transaction_id > 0")).collect()
