@@ -334,7 +334,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     groups = components(edges, scratch)
     members = scratch.write(groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").withColumnRenamed("node", "k").join(reps, "k"), "members")
     wanted = members.select(F.col("row.i").alias("wi"), F.col("row.h").alias("wh"))
-    texts = rows.join(wanted, rows["i"].eqNullSafe(F.col("wi")) & (rows["h"] == F.col("wh")), "left_semi")
+    # merged at every size: a broadcast would only hold while the candidates are few
+    texts = rows.join(wanted.hint("merge"), rows["i"].eqNullSafe(F.col("wi")) & (rows["h"] == F.col("wh")), "left_semi")
     shingles = _with_shingles(texts).groupBy("k").agg(F.first("shingles").alias("shingles"))
     full = members.select("k", "n", "copies", "size", "signature", F.xxhash64("root").alias("root")).join(shingles, "k")
     found = scratch.write(_verified(_dealt(full, "root", "n", BLOCK), threshold, least), "verified")
