@@ -119,3 +119,34 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 def op10(docs: DataFrame) -> DataFrame:
     """The columns of the contract."""
     return quality(docs).drop("n_lines_removed", "cleaned")
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), u AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w
+), k AS (
+  SELECT doc_id, pos, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o || chr(10) || lead(word, 4) OVER o AS key
+  FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY pos)
+), r AS (
+  SELECT doc_id, pos FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, key) AS c FROM k WHERE key IS NOT NULL) WHERE c > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT pos + j) AS n FROM r, range(5) t(j) GROUP BY 1
+), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w
+), f AS (
+  SELECT *, NOT regexp_matches(line, '[\p{L}\p{N}]') OR len(regexp_extract_all(line, '[#*$%&|<>\[\]{}=_~^\\]')) > 0.2e0 * length(line)
+      OR len(regexp_extract_all(' ' || regexp_replace(line, '\s+', '  ', 'g') || ' ', ' ([|»›>·•]|::) ')) >= 2
+      OR (length(line) - length(replace(line, ' ', '')) < 30 AND regexp_matches(lower(line), 'BOILERPLATE')) AS fails
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), g AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) FILTER (NOT fails), 0) AS left_chars FROM f GROUP BY 1
+), a AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, coalesce(left_chars, 0) AS left_chars
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN g ON g.doc_id = w.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND word_chars - left_chars <= 0.5e0 * word_chars AS kept FROM a
+""".replace("BOILERPLATE", "|".join(QualityRules.boilerplate))
