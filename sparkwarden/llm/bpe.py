@@ -16,8 +16,10 @@ import hashlib
 import heapq
 import re
 from bisect import bisect_right
+from contextlib import contextmanager
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from .common import slices
 
 #: Distinct pre-tokens kept by a worker; beyond that only those of the batch at hand stay.
-TABLE = 500_000
+TABLE = 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -138,21 +140,27 @@ def splitter(pattern: str):
 class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.split = Replay(ranks), splitter(pattern)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.names = {i: str(i) for i in ranks.values()}
 
     def learn(self, pieces: set[str]) -> None:
         new = [w for w in pieces if w not in self.known]
         if len(self.known) + len(new) > TABLE:
             self.known = {w: self.known[w] for w in pieces if w in self.known}
-        self.known.update(zip(new, map(tuple, self.replay.encode([w.encode() for w in new]))))
+        ids = self.replay.encode([w.encode() for w in new])
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
+        start = 0
+        for w, x in zip(new, ids):
+            end = start + 4 * len(x)
+            self.known[w] = flat[start:end]
+            start = end
 
     def encode_batch(self, texts: list[str]):
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split))
         known = self.known.__getitem__
         for pieces in split:
-            yield list(chain.from_iterable(map(known, pieces)))
+            yield np.frombuffer(b"".join(map(known, pieces)), np.uint32).tolist()
 
     def said(self, ids: list[int]) -> str:
         """The ids in decimal, joined by commas."""
@@ -162,21 +170,32 @@ class Tokenizer:
         return b"".join(map(self.replay.tokens.__getitem__, ids))
 
 
-def _workers(ranks, pattern: str):
-    """One tokenizer for a worker and vocabulary."""
-    key = (ranks, pattern)
-    if _workers.__dict__.get("key") != key:
-        _workers.tokenizer, _workers.key = Tokenizer(load_ranks(ranks), pattern), key
-    return _workers.tokenizer
+_kept: dict[tuple[str, str], Tokenizer] = {}
+
+
+@contextmanager
+def _tokenizer(path: str, pattern: str):
+    """A worker's tokenizer for a vocabulary. The table of pre-tokens goes when the task ends; the ranks stay."""
+    if (path, pattern) not in _kept:
+        _kept.clear()
+        _kept[path, pattern] = Tokenizer(load_ranks(path), pattern)
+    try:
+        yield _kept[path, pattern]
+    finally:
+        _kept[path, pattern].known = {}
+
+
+def _pieces(batches):
+    for batch in batches:
+        yield from slices(batch, "text", 4 << 20)
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the token ids of every whole text. ``path``: a .tiktoken file that every executor has."""
 
     def run(batches):
-        tokenizer = _workers(path, pattern)
-        for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+        with _tokenizer(path, pattern) as tokenizer:
+            for piece in _pieces(batches):
                 texts = [t or "" for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokenizer.encode_batch(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -187,10 +206,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the bytes that the ids stand for. Null ids: as none."""
 
     def run(batches):
-        tokenizer = _workers(path, pattern)
-        for batch in batches:
-            data = [tokenizer.decode_bytes(ids or ()) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+        with _tokenizer(path, pattern) as tokenizer:
+            for batch in batches:
+                data = [tokenizer.decode_bytes(ids or ()) for ids in batch.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
@@ -199,10 +218,9 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode the ids, and digest both in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
     def run(batches):
-        tokenizer = _workers(path, pattern)
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+        with _tokenizer(path, pattern) as tokenizer:
+            for piece in _pieces(batches):
                 n, said, decoded = [], [], []
                 for ids in tokenizer.encode_batch([t or "" for t in piece.column("text").to_pylist()]):
                     n.append(len(ids))

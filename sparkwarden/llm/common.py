@@ -146,7 +146,7 @@ def covered(start: np.ndarray, length: int, size: int) -> np.ndarray:
     return np.cumsum(depth[:size]) > 0
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """The batch in pieces of about ``most`` bytes of text, so that numpy's working memory is bounded; a text stays whole."""
     import pyarrow.compute as pc
 

@@ -288,7 +288,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 21):
+            for piece in slices(batch, "text", 2 << 20):
                 sets = Sets(piece.column("text"))
                 signature = sets.signatures().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -302,7 +302,7 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _with_shingles(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 21):
+            for piece in slices(batch, "text", 2 << 20):
                 sets = Sets(piece.column("text"))
                 data = [sets.shingles[s:e].tobytes() for s, e in zip(sets.first[:-1], sets.first[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.binary()), pa.array(data, pa.binary())], names=["k", "shingles"])
