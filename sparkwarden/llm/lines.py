@@ -24,7 +24,8 @@ from .common import Scratch, internal
 def _later(windows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Of windows (i, h, pos, rank, ...), those whose rank stands at two places, with ``late``: whether it also starts earlier."""
     place = F.struct("i", "h", "pos")
-    first = windows.groupBy("rank").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    # written, so that both sides of the join come from exchanges, which adaptive execution splits where a rank is hot
+    first = scratch.write(windows.groupBy("rank").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n"), f"{name}-first")
     return scratch.write(windows.join(first, "rank").withColumn("late", place > F.col("first")).drop("first"), name)
 
 
