@@ -101,7 +101,7 @@ def say(blocks: DataFrame, speak: Callable[[Block], Iterator[tuple[int, bytes]]]
     return blocks.mapInArrow(run, "bucket int, block_id long, said binary")
 
 
-def answer(said: DataFrame, reply: Callable[[list[bytes]], list[bytes]], last: bool = False) -> DataFrame:
+def answer(said: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """block_id, bucket and answer: ``reply`` gets what all blocks said to a bucket, in order of block_id, and answers each (empty: no row)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -116,7 +116,7 @@ def answer(said: DataFrame, reply: Callable[[list[bytes]], list[bytes]], last: b
 
 
 def hear(blocks: DataFrame, *answers: DataFrame) -> DataFrame:
-    """Blocks with their answers; answers of the second and later frames have buckets counted from -1 down, one frame after the other."""
+    """Blocks with the answers of all frames; those of a second frame are told apart by buckets that count from -1 down."""
     both = answers[0]
     for more in answers[1:]:
         both = both.unionByName(more)

@@ -74,16 +74,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int, which: int = 0) -> np.ndarray:
-    """At least n powers of the hash base modulo 2**64."""
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, 2 * len(_powers[which])), _BASE[which], np.uint64)
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which]
+_INVERSE = [np.uint64(pow(int(b), -1, 2**64)) for b in _BASE]
+_tables: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
+    """At least n powers of the hash base, or of its inverse, modulo 2**64."""
+    have = _tables.get((which, inverse))
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 2 * (0 if have is None else len(have))), (_INVERSE if inverse else _BASE)[which], np.uint64)
+        steps[:1] = 1
+        have = _tables[which, inverse] = np.multiply.accumulate(steps)
+    return have
 
 
 class Words:

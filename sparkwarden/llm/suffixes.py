@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import answer, buckets_for, each_block, hear, make_blocks, pack, say, unpack
-from .common import _BASE, _BYTE, Scratch, covered, joined, mix, powers, spans
+from .common import _BYTE, Scratch, covered, joined, mix, powers, spans
 from .substrings import _by_bucket, _groups
 
 #: Bytes of a minimizer, of text in a bucket's index on average, windows in a piece, and segments above which a minimizer's are cut to pieces.
 K, INDEX_BYTES, PIECE, MANY = 32, 1 << 20, 25, 1500
 COVERED, SHIP, CUT = 1, 2, 4
-_INVERSE = [np.uint64(pow(int(b), -1, 2**64)) for b in _BASE]
 
 
 class _Rolling:
@@ -39,9 +38,12 @@ class _Rolling:
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[which][data] * powers(n + 1, which)[:n], out=self.sums[1:])
-        steps = np.full(n + 1, _INVERSE[which], np.uint64)
-        steps[0] = 1
-        self.back = np.multiply.accumulate(steps)
+        self.back = powers(n + 1, which, inverse=True)
+
+    def all(self, size: int) -> np.ndarray:
+        """Of every substring of that size, by where it starts."""
+        n = max(0, len(self.sums) - size)
+        return mix((self.sums[size:] - self.sums[:n]) * self.back[:n] + np.uint64(size))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -69,9 +71,7 @@ class _Segments:
         if n < window:
             self.first = self.last = self.at = np.zeros(0, np.int64)
             return
-        i = np.arange(n - K + 1)
-        gram = self.hash.of(i, i + K)
-        place = (gram & np.uint64(0xFFFFFFFF00000000)) | i.astype(np.uint64)
+        place = (self.hash.all(K) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n - K + 1, dtype=np.uint64)
         least = (_sliding_min(place, window - K + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         left = np.repeat(self.ends[1:] - 1, np.diff(self.ends))[: len(least)] - np.arange(len(least))
         at = np.flatnonzero(left >= window)
