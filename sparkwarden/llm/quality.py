@@ -36,7 +36,7 @@ class QualityRules:
         "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here",
         "enable javascript", "subscribe to our", "sign up for", "log in", "lorem ipsum", "powered by",
     )
-    max_boilerplate_words: int = 30  # a longer line that merely mentions such a phrase stays
+    max_boilerplate_words: int = 30  # blanks; a longer line that merely mentions such a phrase stays
     max_lost: float = 0.5
     min_words: int = 10
     max_repeated_percent: int = 20
@@ -51,20 +51,23 @@ SCHEMA = (
 class LineRules:
     def __init__(self, rules: QualityRules):
         self.rules = rules
-        self.symbol = re.compile(r"[#*$%&|<>\[\]{}=_~^\\]")
+        self.symbols = "#*$%&|<>[]{}=_~^\\"
         self.letter = re.compile(r"[^\W_]")
         self.separator = re.compile(rules.separators)
-        self.boilerplate = re.compile("|".join(map(re.escape, rules.boilerplate)), re.IGNORECASE)
+        self.marks = "|»›>·•:"  # no separator without one of these
 
     def fails(self, line: str) -> bool:
         """Whether a line with a word is to be removed."""
         if not self.letter.search(line):  # punctuation alone
             return True
-        if len(self.symbol.findall(line)) > self.rules.max_symbols * len(line):
+        if sum(map(line.count, self.symbols)) > self.rules.max_symbols * len(line):
             return True
-        if len(self.separator.findall(line)) >= self.rules.min_separators:  # navigation
+        if any(c in line for c in self.marks) and len(self.separator.findall(line)) >= self.rules.min_separators:  # navigation
             return True
-        return bool(self.boilerplate.search(line)) and len(line.split()) <= self.rules.max_boilerplate_words
+        if line.count(" ") >= self.rules.max_boilerplate_words:
+            return False
+        lowered = line.lower()
+        return any(p in lowered for p in self.rules.boilerplate)
 
     def clean(self, text: str) -> tuple[str, int, int, int]:
         """The text without failing lines, how many failed, its lines that repeat an earlier one, and word characters left."""
