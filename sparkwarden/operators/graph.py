@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..config import GraphConfig
 from ..functions.columns import DAY_US, num, us
 from .iterate import cut
-from .paths import cycles
+from .paths import cycles, on_cycles
 
 DEFAULT = GraphConfig()
 
@@ -330,7 +330,8 @@ class AccountGraph:
         return self._once("cycles", lambda e: cycles(e, self.cfg.max_cycle, self.cfg.max_cycles))
 
     def in_cycle(self) -> DataFrame:
-        return self.cycles().select(F.explode("cycle").alias("id")).distinct()
+        """id of the accounts on a cycle of up to ``max_cycle``, whatever the number of cycles."""
+        return self._once("in_cycle", lambda e: on_cycles(e, self.cfg.max_cycle))
 
     def centrality(self) -> DataFrame:
         """id, betweenness, pagerank, in_degree_centrality and out_degree_centrality."""

@@ -16,17 +16,40 @@ def trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 
 def cycles(edges: DataFrame, max_length: int, limit: int | None = None) -> DataFrame:
-    """cycle (its nodes, the least first) and length, for simple cycles of 2 to ``max_length``. A path starts at its least node, so each cycle is found once."""
+    """cycle (its nodes, the least first) and length, for simple cycles of 2 to ``max_length``. A path starts at its least node, so each cycle is found once.
+
+    With ``limit``, the shortest so many (in order of their nodes); lengths that cannot be among them are not enumerated.
+    """
     edges = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     paths = edges.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("cycle"))
-    found = None
+    found, n = None, 0
     for length in range(2, max_length + 1):
         closed = paths.join(edges, (F.col("at") == F.col("src")) & (F.col("start") == F.col("dst")), "left_semi").select("cycle", F.lit(length).alias("length"))
+        if limit:
+            closed = cut(closed)
+            n += closed.count()
         found = closed if found is None else found.unionByName(closed)
+        if limit and n >= limit:
+            break
         if length < max_length:
             paths = paths.join(step, "at").where((F.col("to") > F.col("start")) & ~F.array_contains("cycle", F.col("to"))).select("start", F.col("to").alias("at"), F.concat("cycle", F.array("to")).alias("cycle"))
-    return found.limit(limit) if limit else found
+    return found.orderBy("length", "cycle").limit(limit) if limit else found
+
+
+def on_cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """id of the nodes on a simple cycle of 2 to ``max_length``: a node's shortest way back to itself is simple, so that pairs of nodes do without paths."""
+    edges = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
+    step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    front = edges.select(F.col("src").alias("start"), F.col("dst").alias("at"))
+    seen, found = front, None
+    for _ in range(2, max_length + 1):
+        front = cut(front.join(step, "at").select("start", F.col("to").alias("at")).distinct().join(seen, ["start", "at"], "left_anti"))
+        back = front.where(F.col("start") == F.col("at")).select("start")
+        found = back if found is None else found.unionByName(back)
+        front, seen = front.join(back, "start", "left_anti"), seen.join(back, "start", "left_anti")
+        seen = cut(seen.unionByName(front))
+    return (edges.limit(0).select("src") if found is None else found).toDF("id")
 
 
 def cycle_lengths(edges: DataFrame, max_length: int) -> DataFrame:
