@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .iterate import cut
 
@@ -53,10 +53,40 @@ def on_cycles(edges: DataFrame, max_length: int) -> DataFrame:
 
 
 def cycle_lengths(edges: DataFrame, max_length: int) -> DataFrame:
-    """src, dst and hops: the length of the longest simple cycle (up to ``max_length``) on each edge that lies on one."""
-    found = cycles(edges, max_length)
-    links = F.transform("cycle", lambda x, i: F.struct(x.alias("src"), F.get("cycle", (i + 1) % F.col("length")).alias("dst")))
-    return found.select(F.explode(links).alias("e"), "length").groupBy("e.src", "e.dst").agg(F.max("length").alias("hops"))
+    """src, dst and hops: the length of the longest simple cycle (up to ``max_length``) on each edge that lies on one.
+
+    Up to 5 hops no cycle is enumerated. The way back is two ways of at most two hops that meet in a node; three of the nodes
+    in their middle decide exactly, as one is ruled out by the edge's own end and one by the other way.
+    """
+    if max_length > 5:
+        found = cycles(edges, max_length)
+        links = F.transform("cycle", lambda x, i: F.struct(x.alias("src"), F.get("cycle", (i + 1) % F.col("length")).alias("dst")))
+        return found.select(F.explode(links).alias("e"), "length").groupBy("e.src", "e.dst").agg(F.max("length").alias("hops"))
+    edges = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
+    first, last = edges.select(F.col("src").alias("x"), F.col("dst").alias("m")), edges.select(F.col("src").alias("m"), F.col("dst").alias("y"))
+    place = F.row_number().over(Window.partitionBy("x", "y").orderBy("m"))
+    two = cut(first.join(last, "m").where("x <> y").withColumn("k", place).where("k <= 3").groupBy("x", "y").agg(F.collect_list("m").alias("mid")))
+    ahead = two.select(F.col("x").alias("dst"), F.col("y").alias("b"), F.col("mid").alias("a"))
+
+    def closed(left: DataFrame, hops: int) -> DataFrame:
+        if hops == 2:
+            return left.join(edges.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi")
+        if hops == 3:
+            return left.join(two.select(F.col("x").alias("dst"), F.col("y").alias("src")), ["src", "dst"], "left_semi")
+        meet = left.join(ahead, "dst")
+        if hops == 4:
+            return meet.join(edges.select(F.col("src").alias("b"), F.col("dst").alias("src")), ["b", "src"]).where(F.exists("a", lambda a: a != F.col("src"))).select("src", "dst").distinct()
+        back = two.select(F.col("x").alias("b"), F.col("y").alias("src"), F.col("mid").alias("c"))
+        apart = F.exists("a", lambda a: (a != F.col("src")) & F.exists("c", lambda c: (c != F.col("dst")) & (c != a)))
+        return meet.join(back, ["b", "src"]).where(apart).select("src", "dst").distinct()
+
+    left, found = edges, None
+    for hops in range(max_length, 1, -1):
+        hit = cut(closed(left, hops))
+        left = cut(left.join(hit, ["src", "dst"], "left_anti"))
+        hit = hit.select("src", "dst", F.lit(hops).alias("hops"))
+        found = hit if found is None else found.unionByName(hit)
+    return edges.limit(0).withColumn("hops", F.lit(0)) if found is None else found
 
 
 def money_trails(edges: DataFrame, source: str, max_depth: int, min_amount: float = 0.0) -> DataFrame:

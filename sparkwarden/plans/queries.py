@@ -171,6 +171,12 @@ def _(spark, d):
     return ru.round_tripping(events(spark, d), TRIPS).select("transaction_id", "rule_round_tripping_score")
 
 
+@query("rule_round_tripping_full")
+def _(spark, d):
+    """By the production settings (5 hops, 1,000) over all events; the SQL above has 3 hops and 15,000."""
+    return ru.round_tripping(events(spark, d)).select("transaction_id", "rule_round_tripping_score")
+
+
 RISKY = ", ".join(f"'{c}'" for c in RULES.jurisdictions)
 GEO = f"(CASE WHEN from_bank IN ({RISKY}) THEN 0.3e0 ELSE 0e0 END + CASE WHEN to_bank IN ({RISKY}) THEN 0.3e0 ELSE 0e0 END + 0.1e0 * is_cross_currency)"
 

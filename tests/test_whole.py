@@ -36,7 +36,7 @@ def test_cycles_to_production_length(spark):
 def small_events(spark, tmp_path):
     """An events table with small amounts and a ring of four."""
     rng = random.Random(3)
-    flows = [(1, 2, 5.0), (2, 3, 5.0), (3, 4, 5.0), (4, 1, 5.0)] + [(rng.randrange(1, 9), rng.randrange(9), rng.choice((0.5, 1.5, 20, 160, 200))) for _ in range(20)]
+    flows = [(1, 2, 5.0), (2, 3, 5.0), (3, 4, 5.0), (4, 1, 5.0)] + [(5, 6, 20.0), (6, 7, 20.0), (7, 8, 20.0), (8, 3, 20.0), (3, 5, 20.0)] + [(rng.randrange(1, 9), rng.randrange(9), rng.choice((0.5, 1.5, 20, 160, 200))) for _ in range(20)]
     rows = [(i, f"2024-01-{1 + i % 20:02d} 10:00:00", s, f'{{"k": {t}}}', float(v), "error" if i % 5 == 0 else "click") for i, (s, t, v) in enumerate(flows)]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, props string, value double, event_type string")
     df.selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "props", "value", "event_type").write.parquet(str(tmp_path / "events.parquet"))
@@ -51,3 +51,25 @@ def test_graph_queries_take_all_flows(spark, tmp_path):
     assert {r["id"] for r in q.QUERIES["graph_betweenness"](spark, d).collect()} == nodes
     found = brute_cycles([p for p in want if p[0] != p[1]], 6)
     assert sorted(r["cycle"] for r in q.QUERIES["graph_cycles_full"](spark, d).collect()) == sorted(">".join(c) for c in found)
+
+
+def test_longest_cycle_of_each_edge(spark):
+    pairs, cycles = graphs()
+    e = spark.createDataFrame(pairs, "src string, dst string").coalesce(1)
+    want = {}
+    for c in cycles:
+        if len(c) <= 5:
+            want |= {(c[i], c[(i + 1) % len(c)]): len(c) for i in range(len(c))}  # the cycles ascend in length
+    assert {(r["src"], r["dst"]): r["hops"] for r in paths.cycle_lengths(e, 5).collect()} == want
+
+
+def test_round_trips_at_production_settings(spark, tmp_path):
+    d, flows = small_events(spark, tmp_path)
+    # rings of 500 do not count; those of 1,000 and more do, up to 5 hops
+    kept = {(s, t) for s, t, a in flows if a >= 1000}
+    hops = {}
+    for c in brute_cycles([p for p in kept if p[0] != p[1]], 5):
+        hops |= {(c[i], c[(i + 1) % len(c)]): len(c) for i in range(len(c))}
+    want = {i: 0 if a < 1000 else 0.7 if s == t else round(0.5 + 0.1 * hops[s, t], 6) if (s, t) in hops else 0 for i, (s, t, a) in enumerate(flows)}
+    assert {r["transaction_id"]: r["rule_round_tripping_score"] for r in q.QUERIES["rule_round_tripping_full"](spark, d).collect()} == want
+    assert max(want.values()) > 0.8
