@@ -1,9 +1,10 @@
 """Whole jobs at production settings, against brute force."""
 
+import math
 import random
 from itertools import permutations
 
-from sparkwarden.operators import paths
+from sparkwarden.operators import graph, paths
 from sparkwarden.plans import queries as q
 
 
@@ -73,3 +74,11 @@ def test_round_trips_at_production_settings(spark, tmp_path):
     want = {i: 0 if a < 1000 else 0.7 if s == t else round(0.5 + 0.1 * hops[s, t], 6) if (s, t) in hops else 0 for i, (s, t, a) in enumerate(flows)}
     assert {r["transaction_id"]: r["rule_round_tripping_score"] for r in q.QUERIES["rule_round_tripping_full"](spark, d).collect()} == want
     assert max(want.values()) > 0.8
+
+
+def test_betweenness_takes_every_source(spark):
+    # 700 chains of three: over 2,000 vertices, where a sample of sources would see some of the middles and miss others
+    pairs = [x for i in range(700) for x in ((f"a{i}", f"b{i}", 1.0), (f"b{i}", f"c{i}", 1.0))]
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(pairs, "src string, dst string, amount double").coalesce(4)).collect()}
+    one = 1 / (2099 * 2098)
+    assert len(got) == 2100 and all(math.isclose(x, one if v[0] == "b" else 0, rel_tol=1e-9) for v, x in got.items())
