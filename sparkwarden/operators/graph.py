@@ -187,7 +187,8 @@ def betweenness(edges: DataFrame) -> DataFrame:
             for source in np.searchsorted(names, batch["id"].to_numpy(dtype=str)).tolist():
                 for v, x in _brandes(near, source, heapq).items():
                     total[v] = total.get(v, 0.0) + x
-        yield pd.DataFrame({"id": names[list(total)].astype(object) if total else [], "part": list(total.values())})
+        if total:
+            yield pd.DataFrame({"id": names[list(total)].astype(object), "part": list(total.values())})
 
     tasks = max(edges.sparkSession.sparkContext.defaultParallelism, n // 5_000)
     parts = nodes.repartition(tasks, "id").mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
@@ -367,8 +368,12 @@ class AccountGraph:
         same = (F.col("graph_sender_community") == F.col("graph_receiver_community")).cast("int")
         return out.withColumn("graph_same_community", same).drop("from_id", "to_id")
 
+    def scores(self) -> DataFrame:
+        """The suspicion score of every account, from all its five inputs."""
+        return suspicion(self.vertices().join(self.centrality(), "id").join(self.in_cycle().withColumn("in_cycle", F.lit(1)), "id", "left"))
+
     def suspicious(self, top_k: int | None = None) -> DataFrame:
-        return suspicion(self.vertices().join(self.centrality(), "id").join(self.in_cycle().withColumn("in_cycle", F.lit(1)), "id", "left")).limit(self.cfg.top_k if top_k is None else top_k)
+        return self.scores().limit(self.cfg.top_k if top_k is None else top_k)
 
     def summary(self) -> DataFrame:
         return summary(self.edges, self.communities(), self.cycles())

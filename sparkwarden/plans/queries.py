@@ -503,6 +503,11 @@ def _(spark, d):
     return found.select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
+@query("graph_suspicious_full")
+def _(spark, d):
+    return gr.AccountGraph().build(events(spark, d)).scores()
+
+
 @query("graph_summary_full")
 def _(spark, d):
     return gr.AccountGraph().build(events(spark, d)).summary()

@@ -82,3 +82,32 @@ def test_betweenness_takes_every_source(spark):
     got = {r["id"]: r["betweenness"] for r in graph.betweenness(spark.createDataFrame(pairs, "src string, dst string, amount double").coalesce(4)).collect()}
     one = 1 / (2099 * 2098)
     assert len(got) == 2100 and all(math.isclose(x, one if v[0] == "b" else 0, rel_tol=1e-9) for v, x in got.items())
+
+
+def test_suspicion_has_all_inputs(spark, tmp_path):
+    flows = [(1, 2, 10.0), (2, 3, 20.0), (3, 1, 15.0), (3, 4, 5.0), (4, 5, 7.0)]
+    rows = [(i, s, f'{{"k": {t}}}', v, "click") for i, (s, t, v) in enumerate(flows)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, props string, value double, event_type string")
+    df.selectExpr("event_id", "timestamp'2024-01-01 10:00:00' ts", "user_id", "props", "value", "event_type").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    n, nodes = 5, range(1, 6)
+    edge = {(s, t): v * 100 for s, t, v in flows}
+    ways = {}
+    for k in range(2, n + 1):
+        for p in permutations(nodes, k):
+            if all(x in edge for x in zip(p, p[1:])):
+                ways.setdefault((p[0], p[-1]), []).append((sum(edge[x] for x in zip(p, p[1:])), p))
+    between = dict.fromkeys(nodes, 0.0)
+    for found in ways.values():
+        best = [p for w, p in found if w == min(found)[0]]
+        for p in best:
+            for v in p[1:-1]:
+                between[v] += 1 / len(best) / ((n - 1) * (n - 2))
+    out = {v: sum(a for (s, _), a in edge.items() if s == v) for v in nodes}
+    rank = dict.fromkeys(nodes, 1 / n)
+    for _ in range(200):
+        lost = sum(rank[v] for v in nodes if not out[v])
+        rank = {v: 0.15 / n + 0.85 * (sum(rank[s] * a / out[s] for (s, t), a in edge.items() if t == v) + lost / n) for v in nodes}
+    degree = lambda v, k: sum(x[k] == v for x in edge) / 50
+    want = {f"A{v}": min(1, 0.3 * min(1, 100 * between[v]) + 0.3 * min(1, 100 * rank[v]) + 0.2 * (v <= 3) + 0.1 * degree(v, 0) + 0.1 * degree(v, 1)) for v in nodes}
+    got = {r["account_id"]: r["suspicion_score"] for r in q.QUERIES["graph_suspicious_full"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-5) for x in want)
