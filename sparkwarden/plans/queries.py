@@ -732,6 +732,20 @@ def _(spark, d):
     return tr.validate(tr.parse(rows)).select("conv_id", "turn", "narrative_summary", "recommended_disposition", "parse_error")
 
 
+INNER = "regexp_extract(response, '(\\{[\\s\\S]*\\})', 1)"
+
+
+@query("triage_parse_full", f"""WITH {TEXTS}, w AS (SELECT conv_id, turn, text, 'no json ' || text AS response FROM cv), p AS (SELECT *, turn % 3 = 2 AND NOT ({INNER} <> '' AND json_valid({INNER})) AS bad FROM w)
+  SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN text WHEN bad THEN substr(response, 1, 500) ELSE coalesce(json_extract_string({INNER}, '$.narrative_summary'), 'No summary available') END AS narrative_summary,
+  CASE WHEN turn % 3 = 0 THEN 'CLOSE' ELSE 'CONTINUE_MONITORING' END AS recommended_disposition, bad AS parse_error FROM p""")
+def _(spark, d):
+    """Whole texts: plain in one turn of three, as the summary in JSON in the others."""
+    said = F.coalesce("text", F.lit(""))
+    body = F.to_json(F.struct(said.alias("narrative_summary"), F.when(F.col("turn") % 3 == 0, "close").otherwise("odd").alias("recommended_disposition")))
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, F.concat(F.lit("no json "), said)).otherwise(F.concat(F.lit("Result: "), body, F.lit(" end"))).alias("response"))
+    return tr.validate(tr.parse(rows)).select("conv_id", "turn", "narrative_summary", "recommended_disposition", "parse_error")
+
+
 @query("triage_verify", f"""WITH {E}, k AS (SELECT transaction_id, amount FROM e) SELECT transaction_id, 3 AS total_facts, CASE WHEN transaction_id % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN abs(amount - 1000000) < 1 THEN 1 ELSE 0 END AS verified_facts, round(CASE WHEN transaction_id % 2 = 0 THEN 2 ELSE 1 END / 3e0, 3) AS verification_score, false AS verified FROM k""")
 def _(spark, d):
     rows = events(spark, d)

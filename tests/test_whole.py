@@ -111,3 +111,12 @@ def test_suspicion_has_all_inputs(spark, tmp_path):
     want = {f"A{v}": min(1, 0.3 * min(1, 100 * between[v]) + 0.3 * min(1, 100 * rank[v]) + 0.2 * (v <= 3) + 0.1 * degree(v, 0) + 0.1 * degree(v, 1)) for v in nodes}
     got = {r["account_id"]: r["suspicion_score"] for r in q.QUERIES["graph_suspicious_full"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-5) for x in want)
+
+
+def test_triage_takes_whole_texts(spark, tmp_path):
+    long = 'He said "pay {now}" \\ and\nleft. ' * 30
+    texts = [long, "short", "x" * 40 + "{\"narrative_summary\": \"read\"}", None, "tail " * 200, "y" * 700]
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id int, turn int, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: (r["narrative_summary"], r["parse_error"]) for r in q.QUERIES["triage_parse_full"](spark, str(tmp_path)).collect()}
+    assert got == {0: (long, False), 1: ("short", False), 2: ("read", False), 3: ("", False), 4: ("tail " * 200, False), 5: (("no json " + "y" * 700)[:500], True)}
