@@ -15,6 +15,7 @@ from ..sources import ledger
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+MADE: dict[str, Callable] = {}
 
 # The test ledger has fewer transactions an hour than real ones and no silences, so some thresholds are lower here.
 RULES = RuleConfig(velocity=((1, 2), (24, 6)))
@@ -25,6 +26,7 @@ AS_OF = "2024-02-10 00:00:00"
 
 def query(name: str, sql: str | None = None):
     def keep(f):
+        MADE[name] = f
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
             SQL[name] = sql
@@ -143,9 +145,18 @@ def scored(spark, d):
     return ru.combine(df, RULES)
 
 
-def full_scores(spark, d):
-    """With the three rules that the events ledger has no columns or times for."""
-    return scored(spark, d).withColumns({ru.score_name(r): num(0) for r in ("round_tripping", "geographic_risk", "dormant_reactivation")})
+def scored_full(spark, d):
+    """With round trips by the production settings."""
+    df = events(spark, d)
+    for rule in (ru.rapid_movement, ru.round_tripping, ru.structuring, ru.velocity):
+        df = rule(df, RULES)
+    return ru.combine(df, RULES)
+
+
+def full_scores(spark, d, score=scored):
+    """With 0 for the rules that ``score`` lacks: the two that the events ledger has no columns or times for, and in the SQL's queries round trips."""
+    df = score(spark, d)
+    return df.withColumns({ru.score_name(r): num(0) for r in ru.RULES if ru.score_name(r) not in df.columns})
 
 
 @query("rule_structuring", f"WITH {SCORED} SELECT transaction_id, round(rule_structuring_score, 6) AS rule_structuring_score FROM scored")
@@ -193,8 +204,8 @@ def _(spark, d):
 
 
 @query("rule_composite", f"WITH {SCORED} SELECT transaction_id, {R('rule_composite_score', 'rule_max_score')}, CAST(round(rule_composite_score, 12) > 0.3e0 AS INTEGER) AS rule_flagged, rule_trigger_count FROM scored")
-def _(spark, d):
-    df = scored(spark, d).withColumn("rule_flagged", (F.round("rule_composite_score", 12) > num(0.3)).cast("int"))
+def _(spark, d, score=scored):
+    df = score(spark, d).withColumn("rule_flagged", (F.round("rule_composite_score", 12) > num(0.3)).cast("int"))
     return df.select("transaction_id", "rule_composite_score", "rule_max_score", "rule_flagged", "rule_trigger_count")
 
 
@@ -283,7 +294,7 @@ def _(spark, d):
 
 @query("feat_all")
 def _(spark, d):
-    return fe.engineer(events(spark, d), scored(spark, d))
+    return fe.engineer(events(spark, d), scored_full(spark, d))
 
 
 # --- graph
@@ -524,44 +535,44 @@ CLS = f"""{ENS}, {ENT_ALERT}, cl AS (SELECT *, {SEV} AS severity, upper(substr(s
   st AS (SELECT *, created_at + CASE severity WHEN 'HIGH' THEN INTERVAL 24 HOUR WHEN 'MEDIUM' THEN INTERVAL 72 HOUR ELSE INTERVAL 168 HOUR END AS sla_deadline, CASE ascii(alert_id) % 3 WHEN 0 THEN 'CLOSED' WHEN 1 THEN 'ESCALATED' ELSE 'OPEN' END AS status FROM cl)"""
 
 
-def ensembled(spark, d):
-    df = full_scores(spark, d)
+def ensembled(spark, d, score=scored):
+    df = full_scores(spark, d, score)
     fake = df.select("transaction_id", ((F.col("transaction_id") * 7919 % 1000) / num(1000)).alias("ml_score"))  # a stand-in that SQL can state
     return al.ensemble(df, fake).withColumn("ensemble_score", F.round("ensemble_score", 9))
 
 
-def entity_alerts(spark, d):
-    return al.by_entity(al.candidates(ensembled(spark, d)))
+def entity_alerts(spark, d, score=scored):
+    return al.by_entity(al.candidates(ensembled(spark, d, score)))
 
 
-def alert_table(spark, d):
+def alert_table(spark, d, score=scored):
     """Classified alerts, some of them followed up."""
-    df = al.classify(entity_alerts(spark, d))
+    df = al.classify(entity_alerts(spark, d, score))
     follow = df.select("alert_id", F.when(F.ascii("alert_id") % 3 == 0, "CLOSED").when(F.ascii("alert_id") % 3 == 1, "ESCALATED").otherwise("nonsense").alias("status"), F.lit(None).cast("string").alias("disposition"), F.col("created_at").alias("at"))
     return al.update_status(df, follow)
 
 
 @query("alert_ensemble", f"WITH {ENS} SELECT transaction_id, {R('ml_score', 'ensemble_score')} FROM en")
-def _(spark, d):
-    return ensembled(spark, d).select("transaction_id", "ml_score", "ensemble_score")
+def _(spark, d, score=scored):
+    return ensembled(spark, d, score).select("transaction_id", "ml_score", "ensemble_score")
 
 
 @query("alert_entity", f"WITH {ENS}, {ENT_ALERT} SELECT entity_id, {R('ensemble_score', 'mean_score', 'ml_score', 'total_amount', 'max_amount')}, transaction_count, triggered_rules FROM al")
-def _(spark, d):
-    return entity_alerts(spark, d).select("entity_id", "ensemble_score", "mean_score", "ml_score", "total_amount", "max_amount", "transaction_count", F.array_join("triggered_rules", ",").alias("triggered_rules"))
+def _(spark, d, score=scored):
+    return entity_alerts(spark, d, score).select("entity_id", "ensemble_score", "mean_score", "ml_score", "total_amount", "max_amount", "transaction_count", F.array_join("triggered_rules", ",").alias("triggered_rules"))
 
 
 SIDES = "sd AS (SELECT from_id AS entity_id, to_id AS cp, * FROM e UNION ALL SELECT to_id, from_id, * FROM e WHERE from_id <> to_id)"
 
 
 @query("alert_enrich", f"WITH {ENS}, {ENT_ALERT}, {SIDES} SELECT entity_id, count(DISTINCT cp) AS n_counterparties FROM sd SEMI JOIN al USING (entity_id) WHERE cp <> entity_id GROUP BY 1")
-def _(spark, d):
-    return al.counterparties(events(spark, d), entity_alerts(spark, d)).select("entity_id", "n_counterparties")
+def _(spark, d, score=scored):
+    return al.counterparties(events(spark, d), entity_alerts(spark, d, score)).select("entity_id", "n_counterparties")
 
 
 @query("alert_last_transactions", f"WITH {ENS}, {ENT_ALERT}, {SIDES}, rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, transaction_id DESC) AS k FROM sd SEMI JOIN al USING (entity_id)) SELECT entity_id, count(*) AS n, sum(transaction_id)::BIGINT AS ids FROM rk WHERE k <= 50 GROUP BY 1")
-def _(spark, d):
-    out = al.last_transactions(events(spark, d), entity_alerts(spark, d))
+def _(spark, d, score=scored):
+    out = al.last_transactions(events(spark, d), entity_alerts(spark, d, score))
     return out.select("entity_id", F.size("transactions").cast("long").alias("n"), F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + t["transaction_id"]).alias("ids"))
 
 
@@ -569,48 +580,48 @@ DUP = "two AS (SELECT entity_id, ensemble_score, transaction_count, total_amount
 
 
 @query("alert_dedup", f"WITH {ENS}, {ENT_ALERT}, {DUP} SELECT entity_id, round(least(1e0, max(ensemble_score) + 0.3e0 * (sum(ensemble_score) - max(ensemble_score))), 6) AS ensemble_score, sum(transaction_count)::BIGINT AS transaction_count, round(sum(total_amount), 4) AS total_amount FROM two GROUP BY 1")
-def _(spark, d):
-    df = al.classify(entity_alerts(spark, d))
+def _(spark, d, score=scored):
+    df = al.classify(entity_alerts(spark, d, score))
     both = df.unionByName(df.withColumn("entity_id", F.lit("X")))
     return al.deduplicate(both, "sum_score").select("entity_id", "ensemble_score", "transaction_count", F.round("total_amount", 4).alias("total_amount"))
 
 
 @query("alert_severity", f"WITH {CLS} SELECT alert_id, entity_id, severity, status, epoch_us(sla_deadline) AS sla_deadline FROM st")
-def _(spark, d):
-    return alert_table(spark, d).select("alert_id", "entity_id", "severity", "status", F.unix_micros("sla_deadline").alias("sla_deadline"))
+def _(spark, d, score=scored):
+    return alert_table(spark, d, score).select("alert_id", "entity_id", "severity", "status", F.unix_micros("sla_deadline").alias("sla_deadline"))
 
 
 @query("alert_queue", f"WITH {CLS} SELECT alert_id, severity, round(ensemble_score, 6) AS ensemble_score FROM st WHERE status = 'OPEN' ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, ensemble_score DESC, entity_id LIMIT 20")
-def _(spark, d):
-    return al.queue(alert_table(spark, d), status="OPEN", limit=20).select("alert_id", "severity", "ensemble_score")
+def _(spark, d, score=scored):
+    return al.queue(alert_table(spark, d, score), status="OPEN", limit=20).select("alert_id", "severity", "ensemble_score")
 
 
 @query("alert_dashboard", f"WITH {CLS} SELECT alert_id, severity, status, round(ensemble_score, 6) AS ensemble_score FROM st WHERE severity IN ('MEDIUM', 'LOW') AND status IN ('OPEN', 'ESCALATED') AND ensemble_score >= 0.52e0")
-def _(spark, d):
-    return al.dashboard_queue(alert_table(spark, d), ["MEDIUM", "LOW"], ["OPEN", "ESCALATED"], 0.52).select("alert_id", "severity", "status", "ensemble_score")
+def _(spark, d, score=scored):
+    return al.dashboard_queue(alert_table(spark, d, score), ["MEDIUM", "LOW"], ["OPEN", "ESCALATED"], 0.52).select("alert_id", "severity", "status", "ensemble_score")
 
 
 _cnt = lambda c, v: f"count(*) FILTER ({c} = '{v}') AS {c}_{v.lower()}"
 
 
 @query("alert_stats", f"WITH {CLS} SELECT count(*) AS total, {', '.join(_cnt('severity', v) for v in ('HIGH', 'MEDIUM', 'LOW'))}, {', '.join(_cnt('status', v) for v in al.STATUSES)}, round(avg(ensemble_score), 6) AS mean_score, round(stddev_pop(ensemble_score), 6) AS std_score, round(max(ensemble_score), 6) AS max_score, round(sum(total_amount), 4) AS total_amount FROM st")
-def _(spark, d):
-    return al.statistics(alert_table(spark, d)).withColumn("total_amount", F.round("total_amount", 4))
+def _(spark, d, score=scored):
+    return al.statistics(alert_table(spark, d, score)).withColumn("total_amount", F.round("total_amount", 4))
 
 
 @query("alert_rule_counts", f"WITH {CLS} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(triggered_rules, ',')) AS rule FROM st WHERE triggered_rules <> '') GROUP BY 1")
-def _(spark, d):
-    return al.rule_counts(alert_table(spark, d))
+def _(spark, d, score=scored):
+    return al.rule_counts(alert_table(spark, d, score))
 
 
 @query("alert_daily", f"WITH {CLS} SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS n FROM st GROUP BY 1")
-def _(spark, d):
-    return al.daily_volume(alert_table(spark, d)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+def _(spark, d, score=scored):
+    return al.daily_volume(alert_table(spark, d, score)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 @query("alert_histogram", f"WITH {CLS} SELECT severity, least(30, floor(ensemble_score * 30) + 1)::BIGINT AS bin, count(*) AS n FROM st GROUP BY 1, 2")
-def _(spark, d):
-    return al.score_histogram(alert_table(spark, d))
+def _(spark, d, score=scored):
+    return al.score_histogram(alert_table(spark, d, score))
 
 
 # --- evaluation
@@ -660,16 +671,16 @@ def _(spark, d):
 
 @query("eval_rules", f"WITH {SCORED}, l AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {'rule_' + r + '_score' if r in dict(_RULE_NAMES) else '0e0'} AS s, is_laundering AS y FROM scored" for r in ru.RULES) + """), k AS (SELECT rule, count(*) FILTER (s > 0) AS n_hits, avg((s > 0)::INTEGER) AS hr, coalesce(avg(s) FILTER (s > 0), 0) AS mw, count(*) FILTER (s > 0 AND y = 1) AS tp, sum(y) AS p FROM l GROUP BY 1)
   SELECT rule, n_hits, round(hr, 6) AS hit_rate, round(mw, 6) AS mean_when_hit, round(CASE WHEN n_hits > 0 THEN tp / n_hits::DOUBLE ELSE 0 END, 6) AS precision, round(tp / p::DOUBLE, 6) AS recall, round(2 * tp / (n_hits + p)::DOUBLE, 6) AS f1 FROM k""")
-def _(spark, d):
-    return ev.rule_report(full_scores(spark, d))
+def _(spark, d, score=scored):
+    return ev.rule_report(full_scores(spark, d, score))
 
 
 _col = lambda r: f"rule_{r}_score > 0" if r in dict(_RULE_NAMES) else "false"
 
 
 @query("eval_rule_overlap", f"WITH {SCORED}, k AS (" + " UNION ALL ".join(f"SELECT '{a}' AS rule_a, '{b}' AS rule_b, count(*) FILTER ({_col(a)} AND {_col(b)}) AS both_, count(*) FILTER ({_col(a)} OR {_col(b)}) AS n FROM scored" for i, a in enumerate(ru.RULES) for b in ru.RULES[i + 1 :]) + ") SELECT rule_a, rule_b, both_ AS both, round(CASE WHEN n > 0 THEN both_ / n::DOUBLE ELSE 0 END, 6) AS jaccard FROM k")
-def _(spark, d):
-    return ev.rule_overlap(full_scores(spark, d))
+def _(spark, d, score=scored):
+    return ev.rule_overlap(full_scores(spark, d, score))
 
 
 @query("eval_trigger_histogram", f"WITH {SCORED} SELECT rule_trigger_count, count(*) AS n FROM scored GROUP BY 1")
@@ -755,13 +766,13 @@ def _(spark, d):
     return tr.verify(df).select("transaction_id", "total_facts", "verified_facts", "verification_score", "verified")
 
 
-def full_alerts(spark, d):
-    return al.generate(full_scores(spark, d), ensembled(spark, d).select("transaction_id", "ml_score"))
+def full_alerts(spark, d, score=scored):
+    return al.generate(full_scores(spark, d, score), ensembled(spark, d, score).select("transaction_id", "ml_score"))
 
 
 @query("triage_alerts")
 def _(spark, d):
-    return tr.triage(tr.chosen(full_alerts(spark, d), 50))
+    return tr.triage(tr.chosen(full_alerts(spark, d, scored_full), 50))
 
 
 OVER = ", ".join(f"count(*) FILTER (age > {h}) AS over_{h}h" for h in (24, 72, 168))
@@ -793,13 +804,13 @@ def _(spark, d):
 
 @query("sar_fields", f"""WITH {ENS}, {ENT_ALERT}, {SIDES}, rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, transaction_id DESC) AS k FROM sd SEMI JOIN al USING (entity_id))
   SELECT entity_id, count(*)::INTEGER AS n_transactions, round(sum(amount), 4) AS sum_amount, count(DISTINCT CASE WHEN cp <> entity_id THEN cp END)::INTEGER AS n_others, string_agg(DISTINCT payment_format, ',' ORDER BY payment_format) AS formats FROM rk WHERE k <= 50 GROUP BY 1""")
-def _(spark, d):
-    return rp.sar_fields(full_alerts(spark, d)).select("entity_id", "n_transactions", F.round("sum_amount", 4).alias("sum_amount"), "n_others", F.array_join("formats", ",").alias("formats"))
+def _(spark, d, score=scored):
+    return rp.sar_fields(full_alerts(spark, d, score)).select("entity_id", "n_transactions", F.round("sum_amount", 4).alias("sum_amount"), "n_others", F.array_join("formats", ",").alias("formats"))
 
 
 @query("sar_narratives")
 def _(spark, d):
-    return rp.sar_narrative(full_alerts(spark, d), generated=F.lit(AS_OF).cast("timestamp"))
+    return rp.sar_narrative(full_alerts(spark, d, scored_full), generated=F.lit(AS_OF).cast("timestamp"))
 
 
 @query("dormant_stream", """WITH g AS (SELECT o_orderkey AS transaction_id, 'C' || o_custkey AS from_id, datediff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)::DOUBLE AS gap_days, o_totalprice AS amount FROM orders)
@@ -816,6 +827,23 @@ def _(spark, d):
     return spark.table("sparkwarden_dormant")
 
 
+@query("rule_stats_full")
+def _(spark, d):
+    return ru.statistics(scored_full(spark, d), replace(RULES, weights=(*_RULE_NAMES, ("round_tripping", 0.30))))
+
+
+def _with_trips(name: str) -> None:
+    """The query over scores with round trips, which its SQL does not have."""
+    query(f"{name}_full")(lambda spark, d: MADE[name](spark, d, scored_full))
+
+
+for _name in (
+    "rule_composite", "eval_rules", "eval_rule_overlap", "alert_ensemble", "alert_entity", "alert_enrich", "alert_last_transactions", "alert_dedup", "alert_severity", "alert_queue",
+    "alert_dashboard", "alert_stats", "alert_rule_counts", "alert_daily", "alert_histogram", "sar_fields",
+):
+    _with_trips(_name)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

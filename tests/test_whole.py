@@ -120,3 +120,13 @@ def test_triage_takes_whole_texts(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r["turn"]: (r["narrative_summary"], r["parse_error"]) for r in q.QUERIES["triage_parse_full"](spark, str(tmp_path)).collect()}
     assert got == {0: (long, False), 1: ("short", False), 2: ("read", False), 3: ("", False), 4: ("tail " * 200, False), 5: (("no json " + "y" * 700)[:500], True)}
+
+
+def test_scores_have_round_trips(spark, tmp_path):
+    d, _ = small_events(spark, tmp_path)
+    trip = {r["transaction_id"]: r["rule_round_tripping_score"] for r in q.QUERIES["rule_round_tripping_full"](spark, d).collect()}
+    without, all_ = ({r["transaction_id"]: r for r in q.QUERIES[n](spark, d).collect()} for n in ("rule_composite", "rule_composite_full"))
+    for i, t in trip.items():
+        want = min(1, (0.55 * without[i]["rule_composite_score"] + 0.3 * t) / 0.85)
+        assert math.isclose(all_[i]["rule_composite_score"], want, abs_tol=2e-6) and all_[i]["rule_trigger_count"] == without[i]["rule_trigger_count"] + (t > 0)
+    assert {r["rule"]: r["n_hits"] for r in q.QUERIES["eval_rules_full"](spark, d).collect()}["round_tripping"] == sum(t > 0 for t in trip.values()) > 0
