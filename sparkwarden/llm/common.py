@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 import numpy as np
@@ -19,21 +19,30 @@ _BASE = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="sparkwarden-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sparkwarden-scratch"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Scratch:
-    """Tables written under the shared folder. They cut lineage, outlive lost executors and go with ``drop``."""
+    """Tables written under the shared folder. They cut lineage, outlive lost executors and go at the end of a ``with``, also after an error."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/sparkwarden-{uuid.uuid4().hex}"
         self.tables: list[str] = []
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
@@ -42,23 +51,33 @@ class Scratch:
     def write_bucketed(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
         """Bucketed by ``column`` in the shared warehouse: later joins on it do not move this side."""
         table = f"sparkwarden_{name}_{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table)
         self.tables.append(table)
+        df.write.option("compression", "zstd").bucketBy(buckets, column).saveAsTable(table)
         return self.spark.table(table)
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete the given tables, or all of them."""
-        jvm = self.spark.sparkContext._jvm
-        paths = [f.rsplit("/", 1)[0] for d in frames for f in d.inputFiles()[:1]] if frames else [self.root]
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for path in [f.rsplit("/", 1)[0] for d in frames for f in d.inputFiles()[:1]] if frames else [self.root]:
+            _delete(self.spark, path)
         if not frames:
             for table in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {table}")
             self.tables = []
 
 
+def result(df: DataFrame, name: str) -> DataFrame:
+    """Written under the shared folder, so that the intermediate tables can go; the driver removes it when it ends."""
+    kept = Scratch(df.sparkSession)
+    out = kept.write(df, name)
+    atexit.register(_forget, kept)
+    return out
+
+
+def _forget(kept: Scratch) -> None:
+    if kept.spark.sparkContext._jsc is not None:  # the session was not stopped before
+        kept.drop()
+
+
 def internal(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have, so that extra columns never clash with ours."""
     taken = {c.lower() for c in df.columns}

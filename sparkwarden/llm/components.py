@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch
 
 
-def _least(pairs: DataFrame) -> DataFrame:
+def _least(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """For each u the least of itself and its neighbours, beside each neighbour."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return pairs.join(least, "u")
+    # written, so that both sides of the join come from exchanges, which adaptive execution splits at a hub
+    least = scratch.write(pairs.groupBy("u").agg(F.min("v").alias("least")), "least")
+    return pairs.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -21,10 +22,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     state = scratch.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = mark(state)
-    while True:
+    while seen[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _least(large.where("v < u"))
+        large = scratch.write(_least(both, scratch).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = _least(large, scratch)
         out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         state = scratch.write(out, "edges")
         now = mark(state)

@@ -3,17 +3,20 @@
 Texts are sets of five-word shingles. Texts of one set are one representative with a count. Representatives get 128
 MinHash values of 16 bits; those that share one of 32 bands of four values are compared, all pairs of a band bucket in
 blocks of bounded size: the values are compared 16 at a time, and a pair goes as soon as the posterior probability
-(uniform prior) that its similarity reaches the threshold falls below the tolerance. Survivors are joined to candidate
-groups, and within each group all pairs are pruned the same way and the rest verified exactly on the shingles. A large
-bucket or group is dealt out by pairs of its blocks, so no task holds it whole; pairs never leave a task: counts of
-links and the edges of a spanning forest do.
+(uniform prior) that its similarity reaches the threshold falls below the tolerance. A pair is looked at in the first
+band that it shares and in no other. Survivors of a pair of blocks that hang together are a group, whose pairs are
+verified exactly on the shingles; a group is never larger than its two blocks, however long the chains of candidates
+are. A large bucket is dealt out by pairs of its blocks, so no task holds it whole; pairs never leave a task: members
+of groups, counts of links and the edges of a spanning forest do.
 
 At similarity 0.8 a pair shares no band with probability 5e-8, and is pruned with probability below 128 / 16 times the
 tolerance of 1e-6.
 
 A text with fewer than five words is one shingle; a text without words is linked to nothing and is a class by itself, as
 is null. Rows are told apart by doc_id and a hash of the text; repeated rows are copies. The class id is the least doc_id
-of the class (null first). ``n_links`` counts the other rows within the threshold, copies included.
+of the class (null first). ``n_links`` counts the other rows within the threshold, copies included. An empty table has
+no classes. Other columns are left out of ``classes`` and carried through by ``keep_one``, whatever their names. A very
+long text is one set in one task's memory (8 bytes a word), and blocks of such texts hold fewer rows.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, Words, internal, mix, slices
+from .common import Scratch, Words, internal, mix, result, slices
 from .components import components
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS = 32, 4
 HASHES, STEP = BANDS * ROWS, 16
-#: Rows of a block of a bucket or group; a task compares two blocks at a time.
-BLOCK = 256
+#: Rows, and shingles, of a block of a bucket on average; a task compares two blocks at a time.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 
 _random = np.random.default_rng(71)
 _A = _random.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,7 +163,7 @@ def _group_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), table.num_rows)
 
 
-def _pairs(start: int, end: int, block: np.ndarray, low: int, high: int, most: int = 1 << 17):
+def _pairs(start: int, end: int, block: np.ndarray, low: int, high: int, most: int = 1 << 18):
     """Pairs of a dealt-out group: within its block if low is high, else across its two blocks; some at a time."""
     rows = np.arange(start, end)
     if low == high:
@@ -177,12 +180,19 @@ def _pairs(start: int, end: int, block: np.ndarray, low: int, high: int, most: i
         yield a, b
 
 
-def _dealt(rows: DataFrame, key: str, count: str, size: int) -> DataFrame:
-    """Each row of a group once for every pair of blocks that it takes part in: adds block, low and high."""
-    blocks = F.ceil(F.col(count) / size).cast("int")
-    out = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k", key), F.col("blocks")).cast("int"))
+def _owned(a: np.ndarray, b: np.ndarray, signature: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs, those whose first shared band is this one."""
+    bands = signature.view(np.int64)
+    mine = (bands[a] == bands[b]).argmax(axis=1) == band
+    return a[mine], b[mine]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Each row of a bucket once for every pair of blocks that it takes part in: adds block, low and high."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    out = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("k", "bucket"), F.col("blocks")).cast("int"))
     out = out.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    return out.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    return out.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks", "n", "shingles")
 
 
 def _edges_of(k: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[list, list]:
@@ -192,69 +202,77 @@ def _edges_of(k: list[bytes], a: np.ndarray, b: np.ndarray) -> tuple[list, list]
     return [k[i] for i in nodes[child]], [k[i] for i in nodes[label[child]]]
 
 
+GROUP = ["bucket", "low", "high", "part"]
+
+
 def _candidates(groups: DataFrame, threshold: float, least: list[int]) -> DataFrame:
-    """u and v: spanning forests of the pairs of each bucket that survive the pruning."""
-    keys = ["bucket", "low", "high"]
+    """Members of the groups that survive the pruning: bucket, low, high and part name the group; band, block and k the member."""
+    keys = GROUP[:3]
 
     def run(batches):
         for table in _groups(batches, keys):
             bound = _group_bounds(table, keys)
-            signature, size, block = _signature(table.column("signature")), table.column("size").to_numpy(), table.column("block").to_numpy()
+            signature, size, band, block = _signature(table.column("signature")), *(table.column(c).to_numpy() for c in ("size", "band", "block"))
             low, high = table.column("low").to_numpy(), table.column("high").to_numpy()
-            k = table.column("k").to_pylist()
-            kept = [[], []]
+            rows, parts = [], []
             for s, e in zip(bound[:-1], bound[1:]):
+                kept = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
                 for a, b in _pairs(s, e, block, low[s], high[s]):
-                    if len(a):
-                        a, b = survivors(a, b, signature, size, threshold, least)
-                        kept[0].append(a)
-                        kept[1].append(b)
-            if kept[0]:
-                u, v = _edges_of(k, np.concatenate(kept[0]), np.concatenate(kept[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
+                    a, b = survivors(a, b, signature, size, threshold, least)
+                    a, b = _owned(a, b, signature, band[s]) if len(a) else (a, b)
+                    kept[0].append(a)
+                    kept[1].append(b)
+                a, b = map(np.concatenate, kept)
+                nodes, back = np.unique(np.concatenate((a, b)), return_inverse=True)
+                rows.append(nodes)
+                parts.append(_forest(len(nodes), back[: len(a)], back[len(a) :]))
+            take = pa.array(np.concatenate(rows))
+            part = pa.array(np.concatenate(parts), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(table.column(c).take(take).combine_chunks() for c in keys), part, *(table.column(c).take(take).combine_chunks() for c in ("band", "block", "k"))], names=[*GROUP, "band", "block", "k"])
 
     rows = groups.repartition(*keys).sortWithinPartitions(*keys)
-    return rows.select(*keys, "block", "k", "size", "signature").mapInArrow(run, "u binary, v binary")
+    return rows.select(*keys, "band", "block", "k", "size", "signature").mapInArrow(run, "bucket long, low int, high int, part int, band int, block int, k binary")
 
 
 def _shared(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sorted sets, for pairs of them."""
-    rows = np.unique(np.concatenate((a, b)))
-    number = np.zeros(len(sets), np.int64)
-    number[rows] = np.arange(len(rows))
-    size = np.array([len(sets[i]) for i in rows])
+    left, a = np.unique(a, return_inverse=True)
+    right, b = np.unique(b, return_inverse=True)
     out = np.zeros(len(a), np.int64)
-    if len(a) * 4 < len(rows):
-        for i, (x, y) in enumerate(zip(a, b)):
+    if len(a) * 4 < len(left) + len(right):
+        for i, (x, y) in enumerate(zip(left[a], right[b])):
             out[i] = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
         return out
-    values, column, count = np.unique(np.concatenate([sets[i] for i in rows]), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(rows)), size)
-    often = count[column] > 1
-    row, column = row[often], column[often]
-    renumber = np.cumsum(count > 1) - 1
-    column = renumber[column]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    ours, theirs = (np.unique(np.concatenate([sets[i] for i in x])) for x in (left, right))
+    both = np.intersect1d(ours, theirs, assume_unique=True)
+    flat = []
+    for rows in (left, right):
+        row = np.repeat(np.arange(len(rows)), [len(sets[i]) for i in rows])
+        value = np.concatenate([sets[i] for i in rows])
+        at = np.minimum(np.searchsorted(both, value), max(0, len(both) - 1))
+        there = both[at] == value if len(both) else np.zeros(len(value), bool)
+        order = np.argsort(at[there], kind="stable")
+        flat.append((row[there][order], at[there][order]))
     width = 4096
-    both = np.zeros((len(rows), len(rows)), np.float32)
-    for c in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        part = slice(*np.searchsorted(column, [c, c + width]))
-        dense = np.zeros((len(rows), width), np.float32)
-        dense[row[part], column[part] - c] = 1
-        both += dense @ dense.T
-    return both[number[a], number[b]].astype(np.int64)
+    count = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, len(both), width):
+        dense = []
+        for n, (row, at) in zip((len(left), len(right)), flat):
+            part = slice(*np.searchsorted(at, [c, c + width]))
+            dense.append(np.zeros((n, min(width, len(both) - c)), np.float32))
+            dense[-1][row[part], at[part] - c] = 1
+        count += dense[0] @ dense[1].T
+    return count[a, b].astype(np.int64)
 
 
 def _verified(groups: DataFrame, threshold: float, least: list[int]) -> DataFrame:
     """u, v and links: exact links of u counted in rows (v null), and spanning forests of the links (links null)."""
-    keys = ["root", "low", "high"]
 
     def run(batches):
-        for table in _groups(batches, keys):
-            bound = _group_bounds(table, keys)
+        for table in _groups(batches, GROUP):
+            bound = _group_bounds(table, GROUP)
             k, copies = table.column("k").to_pylist(), table.column("copies").to_numpy()
-            low, high, block = (table.column(c).to_numpy() for c in ("low", "high", "block"))
+            band, low, high, block = (table.column(c).to_numpy() for c in ("band", "low", "high", "block"))
             for s, e in zip(bound[:-1], bound[1:]):
                 part = table.slice(s, e - s)
                 signature, size = _signature(part.column("signature")), part.column("size").to_numpy()
@@ -263,6 +281,7 @@ def _verified(groups: DataFrame, threshold: float, least: list[int]) -> DataFram
                 kept = [[], []]
                 for a, b in _pairs(0, e - s, block[s:e], low[s], high[s]):
                     a, b = survivors(a, b, signature, size, threshold, least)
+                    a, b = _owned(a, b, signature, band[s]) if len(a) else (a, b)
                     if len(a):
                         both = _shared(sets, a, b)
                         link = both >= threshold * (size[a] + size[b] - both) - 1e-9
@@ -279,8 +298,8 @@ def _verified(groups: DataFrame, threshold: float, least: list[int]) -> DataFram
                     names=["u", "v", "links"],
                 )
 
-    rows = groups.repartition(*keys).sortWithinPartitions(*keys)
-    return rows.select(*keys, "block", "k", "size", "copies", "signature", "shingles").mapInArrow(run, "u binary, v binary, links long")
+    rows = groups.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return rows.select(*GROUP, "band", "block", "k", "size", "copies", "signature", "shingles").mapInArrow(run, "u binary, v binary, links long")
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -317,42 +336,43 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """i (doc_id), h (hash of the text), class_i and class_h (the row that stands for the class) and n_links, for each row of docs (doc_id, text)."""
-    scratch = Scratch(docs.sparkSession)
-    least = least_matches(threshold, tolerance)
+    with Scratch(docs.sparkSession) as scratch:
+        return _classes(docs, threshold, least_matches(threshold, tolerance), scratch)
+
+
+def _classes(docs: DataFrame, threshold: float, least: list[int], scratch: Scratch) -> DataFrame:
     rows = _rows(docs)
     signed = scratch.write(_signed(rows), "signed")
     reps = scratch.write(
         signed.where("k is not null").groupBy("k").agg(F.min(F.struct("i", "h")).alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")), "reps"
     )
-    bands = reps.select("k", F.posexplode("signature").alias("band", "value"))
-    buckets = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("digest")).where("n > 1")
-    # the same texts often meet in several bands: one of those is enough
-    buckets = buckets.groupBy("n", "digest").agg(F.min(F.struct("band", "value")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.value").alias("value"), "n")
-    met = bands.join(buckets, ["band", "value"]).select("k", "n", F.xxhash64("band", "value").alias("bucket"))
+    bands = reps.select("k", "size", F.posexplode("signature").alias("band", "value"))
+    buckets = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.sum(F.xxhash64("k").cast("decimal(38,0)")).alias("digest")).where("n > 1")
+    # the same texts often meet in several bands: the first of those is the one that pairs are looked at in
+    buckets = buckets.groupBy("n", "shingles", "digest").agg(F.min(F.struct("band", "value")).alias("b")).select(F.col("b.band").alias("band"), F.col("b.value").alias("value"), "n", "shingles")
+    # written, so that both sides of the join come from exchanges, which adaptive execution splits at a hot bucket
+    buckets = scratch.write(buckets, "buckets")
+    met = bands.drop("size").join(buckets, ["band", "value"]).select("k", "n", "shingles", "band", F.xxhash64("band", "value").alias("bucket"))
     met = met.join(reps.select("k", "size", "signature"), "k")
-    edges = scratch.write(_candidates(_dealt(met, "bucket", "n", BLOCK), threshold, least), "candidates")
-    groups = components(edges, scratch)
-    members = scratch.write(groups.join(groups.groupBy("root").agg(F.count("*").alias("n")), "root").withColumnRenamed("node", "k").join(reps, "k"), "members")
-    wanted = members.select(F.col("row.i").alias("wi"), F.col("row.h").alias("wh"))
+    members = scratch.write(_candidates(_dealt(met), threshold, least), "candidates")
+    wanted = reps.join(members.select("k").distinct(), "k", "left_semi").select(F.col("row.i").alias("wi"), F.col("row.h").alias("wh"))
     # merged at every size: a broadcast would only hold while the candidates are few
     texts = rows.join(wanted.hint("merge"), rows["i"].eqNullSafe(F.col("wi")) & (rows["h"] == F.col("wh")), "left_semi")
-    shingles = _with_shingles(texts).groupBy("k").agg(F.first("shingles").alias("shingles"))
-    full = members.select("k", "n", "copies", "size", "signature", F.xxhash64("root").alias("root")).join(shingles, "k")
-    found = scratch.write(_verified(_dealt(full, "root", "n", BLOCK), threshold, least), "verified")
+    full = _with_shingles(texts).groupBy("k").agg(F.first("shingles").alias("shingles")).join(reps.select("k", "size", "copies", "signature"), "k")
+    found = scratch.write(_verified(members.join(full, "k"), threshold, least), "verified")
     links = found.where("v is null").groupBy(F.col("u").alias("k")).agg(F.sum("links").alias("links"))
     roots = components(found.where("v is not null").select("u", "v"), scratch).withColumnRenamed("node", "k")
     named = reps.select("k", "row", "copies").join(roots, "k", "left").join(links, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least_row = named.groupBy("root").agg(F.min("row").alias("least"))
+    named = scratch.write(named, "named")
+    least_row = scratch.write(named.groupBy("root").agg(F.min("row").alias("least")), "least_row")
     named = named.join(least_row, "root").select("k", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = signed.select("i", "h", "k").join(named, "k", "left")
+    out = signed.select("i", "h", "k").join(scratch.write(named, "named"), "k", "left")
     own = F.col("least").isNull()
     out = out.select(
         "i", "h", F.when(own, F.col("i")).otherwise(F.col("least.i")).alias("class_i"), F.when(own, F.col("h")).otherwise(F.col("least.h")).alias("class_h"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
-    result = Scratch(docs.sparkSession).write(out, "classes")
-    scratch.drop()
-    return result
+    return result(out, "classes")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
