@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from llm_helpers import documents, odd_texts, text
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import components, decontaminate, lines, ngram_join, substrings, suffixes
 from sparkwarden.llm.common import Scratch
@@ -87,32 +88,74 @@ def test_run_length_index():
 
 
 def brute_lines(texts, min_lines=3, min_chars=40):
-    one, three, out = set(), set(), []
+    seen, out = set(), []
     for t in texts:
         ls = [] if t is None else t.split("\n")
         gone = set()
-        for p, x in enumerate(ls):
-            if x in one and len(x) >= min_chars:
-                gone.add(p)
-            one.add(x)
-            if p + min_lines <= len(ls):
-                k = tuple(ls[p : p + min_lines])
-                if k in three:
-                    gone |= set(range(p, p + min_lines))
-                three.add(k)
+        for p in range(len(ls)):
+            for d in range(1, min_lines + 1):
+                k = tuple(ls[p : p + d])
+                if len(k) == d:
+                    if k in seen and (d == min_lines or sum(map(len, k)) >= min_chars):
+                        gone |= set(range(p, p + d))
+                    seen.add(k)
         out.append((len(ls), len(gone), None if t is None else "\n".join(x for p, x in enumerate(ls) if p not in gone)))
     return out
 
 
+def odd_lines():
+    """Copies of long line sequences, of parts of them, loops, and short lines that stand everywhere."""
+    rng = random.Random(6)
+    run = [text(rng, rng.choice((1, 3, 8))) for _ in range(70)]
+    texts = ["\n".join(run), "\n".join(run[7:60]), "\n".join(run[:33] + ["odd"] + run[33:]), "\n".join(["a", "b"] * 9), "\n".join(["b", "a"] * 6 + [""] * 5), "\n".join(run[60:] + run[:9])]
+    return texts + ["\n".join(rng.choice("abc") for _ in range(rng.randrange(1, 30))) for _ in range(8)] + odd_texts()
+
+
 @pytest.mark.parametrize("min_lines", [3, 1, 4, 6])
 def test_lines(spark, min_lines):
-    texts = odd_texts()
+    texts = odd_lines()
     out = lines.dedup_lines(documents(spark, texts), min_lines=min_lines)
     assert {"i", "h", "pos", "rank"} <= set(out.columns)  # the input's own
     got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in out.collect()}
     assert [got[i] for i in range(len(texts))] == brute_lines(texts, min_lines)
 
 
+def brute_runs(texts):
+    places = [(d, p) for d, t in enumerate(texts) for p in range(len(t.split("\n")))]
+    ls = [t.split("\n") for t in texts]
+    alike = {}
+    for d, p in places:
+        alike.setdefault(ls[d][p], []).append((d, p))
+
+    def longest(d, p):
+        best = 0
+        for e, q in alike[ls[d][p]]:
+            n = 0
+            while (e, q) != (d, p) and p + n < len(ls[d]) and q + n < len(ls[e]) and ls[d][p + n] == ls[e][q + n]:
+                n += 1
+            best = max(best, n)
+        return best
+
+    size = {x: longest(*x) for x in places}
+    return {(d, p, n) for (d, p), n in size.items() if n and n >= size.get((d, p - 1), 0)}
+
+
+def test_maximal_runs(spark):
+    texts = [t for t in odd_lines() if t is not None]
+    got = lines.repeated_runs(documents(spark, texts)).collect()
+    assert {(r["doc_id"], r["line"], r["n_lines"]) for r in got} == brute_runs(texts) and len(got) == len(brute_runs(texts))
+
+
+def test_long_text_is_rebuilt_in_one_pass(spark):
+    import time
+
+    one = "\n".join(f"line {k} of a long text that has very many of them" for k in range(16000))
+    began = time.perf_counter()
+    rows = {r["doc_id"]: r for r in lines.dedup_lines(documents(spark, [one, one + "\nend"])).select("doc_id", "n_removed", F.length("text").alias("n")).collect()}
+    assert rows[0]["n_removed"] == 0 and rows[0]["n"] == len(one) and (rows[1]["n_removed"], rows[1]["n"]) == (16000, 3)
+    assert time.perf_counter() - began < 60  # with a split for each line that is kept it took minutes
+
+
 def test_lines_repeated_and_null_rows(spark):
     t = "\n".join(text(random.Random(k), 12) for k in range(3))
     rows = lines.dedup_lines(documents(spark, [t, t, t, None], [None, 7, 7, None])).collect()
@@ -231,15 +274,46 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.op2(documents(spark, items), bench).collect()} == {(i, i) for i in range(4)}
 
 
-def test_multi_index_misses_nothing():
+@pytest.mark.parametrize("n", [200, 3000])
+def test_multi_index_misses_nothing_and_selects(n):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    prints = rng.integers(0, 2**63, 200, dtype=np.uint64)
-    index = decontaminate.MultiIndex(prints, 20)
-    for p in prints[:20]:
-        probe = int(p)
-        for b in rng.choice(64, 18, replace=False):
-            probe ^= 1 << int(b)
-        want = [i for i, q in enumerate(prints) if bin(int(q) ^ probe).count("1") <= 20]
-        assert index.within(probe).tolist() == want
+    prints = rng.integers(0, 2**63, (n, 4), dtype=np.uint64)
+    index = decontaminate.MultiIndex(prints, decontaminate.RADIUS)
+    assert index.small == (n == 200)
+    for p in prints[:10]:
+        flip = np.zeros(256, np.uint8)
+        flip[rng.choice(256, 60, replace=False)] = 1
+        probe = p ^ np.packbits(flip).view(np.uint64)
+        want = np.flatnonzero(np.bitwise_count(prints ^ probe).sum(axis=1) <= 63)
+        assert len(want) and index.within(probe).tolist() == want.tolist()
+    looked = sum(len(index.candidates(p)) for p in rng.integers(0, 2**63, (50, 4), dtype=np.uint64))
+    assert looked < 0.02 * 50 * n  # 0.8 in a hundred of random fingerprints
+
+
+def test_recall_at_the_threshold():
+    """Windows of similarity 0.8 to 0.85 are within the radius."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    missed = 0
+    for _ in range(2000):
+        n = int(rng.integers(9, 200))
+        item = rng.integers(1, 2**63, n, dtype=np.uint64)
+        other = item.copy()
+        k = n // 9  # (n - k) / (n + k) is 0.8 or more
+        other[:k] = rng.integers(1, 2**63, k, dtype=np.uint64)
+        a, b = decontaminate.fingerprint(np.stack((item, other)))
+        missed += int(np.bitwise_count(a ^ b).sum()) > decontaminate.RADIUS
+    assert missed <= 2
+
+
+def test_decontamination_odd_rows(spark):
+    t, other = text(random.Random(3), 40), text(random.Random(4), 30)
+    bench = spark.createDataFrame([(None, t), (5, t), (5, t)], "item_id long, text string")
+    out = decontaminate.op2(documents(spark, [t, t, other], [None, 1, 1]), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(None, None), (None, 5), (1, None), (1, 5)}
+    kept = decontaminate.decontaminate(documents(spark, [t, t, other], [None, 1, 1]), bench)
+    assert [r["text"] for r in kept.collect()] == [other] and kept.columns == documents(spark, [t]).columns
+    assert decontaminate.op2(documents(spark, [t]).limit(0), bench).count() == 0

@@ -2,13 +2,16 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import public_tokenizers as tokenizers
 import pytest
 import tiktoken
 from llm_helpers import documents, odd_texts, text
+from pyspark.sql import functions as F
 
 from sparkwarden.llm import bpe, chat, langid, quality, urls
 
@@ -122,26 +125,90 @@ def test_language_id(spark):
     assert langid.op6(documents(spark, texts, langs=langs).limit(0)).count() == 0
 
 
-def test_code_lengths_against_the_model_read_slowly():
+def slow_ppm(texts, ppm):
+    """Method C with exclusion straight from the counts: the bits of a text, symbol by symbol, context by context."""
+    counts = defaultdict(Counter)
+    for t in texts:
+        for i, x in enumerate(t):
+            for d in range(min(i, ppm.order) + 1):
+                counts[t[i - d : i]][x] += 1
+    known = {c for c, n in counts.items() if not c or sum(n.values()) >= ppm.min_count}
+    known = {c for c in known if all(c[k:] in known for k in range(len(c)))}
+
+    def p(context, x):
+        if context is None:
+            return 1 / 256
+        n = counts[context]
+        total, kinds = sum(n.values()), len(n)
+        shorter = context[1:] if context else None
+        if x in n:
+            return n[x] / (total + kinds)
+        if not kinds:
+            return p(shorter, x)
+        return kinds / (total + kinds) * p(shorter, x) / (1 - sum(p(shorter, y) for y in n))
+
+    def bits(t):
+        out = 0.0
+        for i, x in enumerate(t):
+            context = next(t[k:i] for k in range(max(0, i - ppm.order), i + 1) if t[k:i] in known)
+            out -= math.log2(p(context, x))
+        return out
+
+    return bits
+
+
+def test_code_lengths_against_slow_ppm():
     import pyarrow as pa
 
     rng = random.Random(2)
-    sample = {"a": [("".join(rng.choice("abc ") for _ in range(400))).encode()], "b": [("".join(rng.choice("bcd ") for _ in range(400))).encode()]}
-    m = langid.train(sample, langid.PPM(order=3, min_count=2))
-    texts = ["abc" * 300, "zq", "", "d c b" * 200]
-    got = langid.code_lengths(m, pa.array(texts))
-    for t, row in zip(texts, got):
-        state, bits = 0, [0.0, 0.0]
-        for x in t.encode():
-            c = state * m["symbols"] + int(m["classes"][x])
-            bits = [b + float(v) for b, v in zip(bits, m["bits"][c])]
-            state = int(m["move"][c])
-        assert row.tolist() == pytest.approx(bits, rel=1e-4)
+    ppm = langid.PPM(order=3, min_count=2)
+    samples = [[("".join(rng.choice(letters) for _ in range(n))).encode() for n in (300, 100, 1)] for letters in ("abc ", "bcdé ")]
+    found = [langid.train(x, ppm) for x in samples]
+    texts = ["abc" * 30, "zq", "", "d c b" * 60, "abc é" * 70]
+    got = langid.code_lengths(found, pa.array(texts))
+    for k, sample in enumerate(samples):
+        bits = slow_ppm(sample, ppm)
+        assert got[:, k].tolist() == pytest.approx([bits(t.encode()) for t in texts], rel=1e-4)
     import numpy as np
 
-    # each context's code is a probability over all 256 bytes
-    p = np.exp2(-m["bits"].astype(float)).reshape(-1, m["symbols"], 2)
-    assert np.allclose(p[:, 1:].sum(1) + p[:, 0] * (256 - m["symbols"] + 1), 1, atol=1e-3)
+    for m in found:  # each context's code is a probability over all 256 bytes
+        p = np.exp2(-m["bits"].astype(float)).reshape(-1, m["symbols"])
+        assert np.allclose(p[:, 1:].sum(1) + p[:, 0] * (256 - m["symbols"] + 1), 1, atol=1e-3)
+
+
+def test_every_language_is_sampled_whatever_its_size(spark):
+    ppm = langid.PPM()
+    most = [r[0] for r in spark.createDataFrame([(n,) for n in (1, 650, 651, 10**9, 10**12)], "n long").select(langid.share(F.col("n"), ppm)).collect()]
+    assert most[:2] == [2**63 - 1] * 2
+    for n, x in zip((651, 10**9, 10**12), most[2:]):
+        assert x / 2**63 * n == pytest.approx(650, rel=1e-6)
+
+
+def test_sample_is_bounded_and_takes_copies_once(spark):
+    rng = random.Random(1)
+    texts = [f"text {k} {rng.random()}" for k in range(500)] + ["hot"] * 800 + ["rare"]
+    df = spark.createDataFrame([(t, "rr" if t == "rare" else "hh") for t in texts], "text string, lang string").repartition(4)
+    rows = langid.training_sample(df, langid.PPM(docs_per_language=50)).collect()
+    assert len({r["text"] for r in rows}) == len(rows) == 51 and [r["text"] for r in rows if r["lang"] == "rr"] == ["rare"]
+
+
+def test_languages_in_several_passes(spark, monkeypatch):
+    rng = random.Random(0)
+    letters = {"aa": "abcd", "bb": "efgh", "cc": "ijkl", "dd": "mnop", "ee": "qrst"}
+    texts, langs = zip(*[("".join(rng.choice(x + " ") for _ in range(200)), k) for k, x in letters.items() for _ in range(30)])
+    docs = documents(spark, [*texts, None, "1"], langs=[*langs, None, None])
+    columns = ("doc_id", "lang_pred", "score", "bits_per_byte")
+    whole = sorted(langid.op6(docs.drop("lang_pred", "score")).select(*columns).collect(), key=str)
+    monkeypatch.setattr(langid, "MODEL_BYTES", 1)
+    parts = sorted(langid.op6(docs.drop("lang_pred", "score")).select(*columns).collect(), key=str)
+    assert [r["lang_pred"] for r in parts] == [r["lang_pred"] for r in whole]
+    assert all(a["score"] == pytest.approx(b["score"]) and a["bits_per_byte"] == pytest.approx(b["bits_per_byte"]) for a, b in zip(parts, whole))
+
+
+def test_language_id_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.001/documents.parquet"
+    rows = spark.read.parquet(d).select("doc_id", "lang").join(langid.op6(spark.read.parquet(d)), "doc_id").where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 20 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.98 * len(rows)
 
 
 def slow_glob(pattern, s):
