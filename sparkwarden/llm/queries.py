@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op10_quality_rules": quality.OP10_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op10_quality_rules": quality.OP10_SQL}

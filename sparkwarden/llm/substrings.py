@@ -7,7 +7,8 @@ compared by 96 bits of hash, together with where they start, and a window that a
 windows that overlap join to maximal exact repeats, whose words are removed.
 
 Order is (doc_id, word); null ids come first, rows that share an id are in order of their blocks. Null, empty and short
-texts have no windows. Repeated rows are copies: the later one goes. Other columns are left out of the result.
+texts have no windows; an empty table gives no rows. Repeated rows are copies: the later one goes. A text longer than a
+block is a block by itself, whole. Other columns, whatever their names, are left out of the result.
 """
 
 from __future__ import annotations
@@ -18,12 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import answer, buckets_for, deltas, each_block, hear, make_blocks, pack, say, unpack
-from .common import SPACES, Scratch, Words, covered, mix
-
-
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return (h & np.uint64(buckets - 1)).astype(np.int64)
+from .blocks import Buckets, buckets_for, each_block, exchange, flags_of, hear, make_blocks
+from .common import SPACES, Scratch, Words, covered, result
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +44,10 @@ class _Text:
         self.probe, self.whole = self.words.windows(self.anchor)
         self.at = np.flatnonzero(self.whole)
 
-    def probes(self, buckets: int):
+    def probes(self, buckets: Buckets):
         """Of the distinct probes, in order of bucket and key: their buckets, keys, and for each place its number; whether repeated, whether an anchor."""
         h = self.probe[self.at]
-        code = (h & np.uint64(buckets - 1)) << np.uint64(32) | h >> np.uint64(32)
+        code = (h & np.uint64(buckets.count - 1)) << np.uint64(32) | h >> np.uint64(32)
         distinct, number, count = np.unique(code, return_inverse=True, return_counts=True)
         first = np.repeat(self.words.first[:-1], np.diff(self.words.first))[self.at]
         anchors = np.zeros(len(distinct), bool)
@@ -73,59 +70,34 @@ class _Text:
         return self.words.windows(self.window)[0][at], (self.words.windows(self.window, second)[0][at] >> np.uint64(32)).astype(np.uint32)
 
 
-def _distinct_windows(text: _Text, at: np.ndarray, buckets: int):
+def _distinct_windows(text: _Text, at: np.ndarray, buckets: Buckets):
     """Which of ``at`` are the first of their window, in order of bucket and place, with buckets and keys."""
     key, more = text.full(at)
     order, start = _groups(key, more)
     first = np.zeros(len(at), bool)
     first[order[start]] = True
     lead = np.flatnonzero(first)
-    bucket = _bucket(key[lead], buckets)
+    bucket = buckets.of(key[lead])
     lead = lead[np.argsort(bucket, kind="stable")]
-    return lead, _bucket(key[lead], buckets), key[lead], more[lead]
-
-
-def _by_bucket(bucket: np.ndarray, buckets: int):
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        if edge[b + 1] > edge[b]:
-            yield b, slice(edge[b], edge[b + 1])
+    return lead, buckets.of(key[lead]), key[lead], more[lead]
 
 
-def _mask(answers: dict[int, bytes], bucket: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.zeros(len(bucket), bool)
-    for b, s in _by_bucket(bucket, buckets):
-        if b in answers:
-            out[s] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=s.stop - s.start).astype(bool)
-    return out
-
-
-def _hits(said: list[bytes]) -> list[bytes]:
-    """Of each block's probes, which are an anchor somewhere and stand at two places."""
-    parts = [unpack(x, np.uint32, np.uint8, np.uint8) for x in said]
-    sizes = [len(p[0]) for p in parts]
-    key = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
-    twice, anchor = (np.concatenate([np.unpackbits(p[i], count=n) for p, n in zip(parts, sizes)]) for i in (1, 2))
+def _hits(key: np.ndarray, twice: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Which probes are an anchor somewhere and stand at two places."""
     order, start = _groups(key)
     size = np.diff(np.append(start, len(order)))
-    hit = ((size > 1) | (np.add.reduceat(twice[order], start) > 0)) & (np.add.reduceat(anchor[order], start) > 0)
+    hit = ((size > 1) | (np.add.reduceat(twice[order], start, dtype=np.int64) > 0)) & (np.add.reduceat(anchor[order], start, dtype=np.int64) > 0)
     out = np.zeros(len(key), bool)
     out[order] = np.repeat(hit, size)
-    return [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(out, np.cumsum(sizes)[:-1])]
-
-
-def _later(said: list[bytes]) -> list[bytes]:
-    """Of each block's distinct windows, which also start earlier."""
-    parts = [unpack(x, np.uint64, np.uint32, np.int64, np.uint32) for x in said]
-    sizes = [len(p[0]) for p in parts]
-    key, more = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    doc, place = np.concatenate([np.cumsum(p[2]) for p in parts]), np.concatenate([np.cumsum(p[3], dtype=np.uint32) for p in parts])
-    order, start = _groups(key, more, doc, place)
-    same = np.zeros(len(order), bool)
-    same[1:] = (key[order][1:] == key[order][:-1]) & (more[order][1:] == more[order][:-1])
+    return out
+
+
+def _later(key: np.ndarray, more: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which of the blocks' distinct windows also start earlier."""
+    order, _ = _groups(key, more, doc, place)
     out = np.zeros(len(key), bool)
-    out[order] = same
-    return [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(out, np.cumsum(sizes)[:-1])]
+    out[order[1:]] = (key[order][1:] == key[order][:-1]) & (more[order][1:] == more[order][:-1])
+    return out
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
@@ -136,33 +108,31 @@ def dedup_substrings(docs: DataFrame, window: int = 20, digest: bool = False) ->
 
     ``window`` is even. The intermediate tables are gone when this returns; the result is a table in the shared folder.
     """
-    scratch = Scratch(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        return _dedup(docs, window, digest, scratch)
+
+
+def _dedup(docs: DataFrame, window: int, digest: bool, scratch: Scratch) -> DataFrame:
     blocks, n_blocks = make_blocks(scratch, docs)
     buckets = buckets_for(n_blocks)
 
     def speak_probes(block):
-        text = _Text(block[2], window)
-        bucket, key, _, twice, anchor = text.probes(buckets)
-        for b, s in _by_bucket(bucket, buckets):
-            yield b, pack(deltas(key[s]), np.packbits(twice[s]), np.packbits(anchor[s]))
+        bucket, key, _, twice, anchor = _Text(block.texts, window).probes(buckets)
+        return bucket, [key, twice, anchor]
 
     def found(block):
         """The block's text and its candidate windows, by the buckets' answers on probes."""
-        text = _Text(block[2], window)
+        text = _Text(block.texts, window)
         bucket, _, number, _, _ = text.probes(buckets)
-        hit = _mask({b: a for b, a in block[3].items() if b >= 0}, bucket, buckets)
+        hit = flags_of(block.answers.get("hits", {}), bucket, buckets).astype(bool)
         return text, text.candidates(hit[number])
 
     def speak_windows(block):
         text, at = found(block)
-        if not len(at):
-            return
         lead, bucket, key, more = _distinct_windows(text, at, buckets)
         doc = np.searchsorted(text.words.first, at[lead], side="right") - 1
-        ids = np.array([-(2**63) if x is None else x for x in block[1]], np.int64)
-        place = (at[lead] - text.words.first[doc]).astype(np.uint32)
-        for b, s in _by_bucket(bucket, buckets):
-            yield b, pack(key[s], more[s], deltas(ids[doc[s]]), deltas(place[s]))
+        ids = np.array([-(2**63) if x is None else x for x in block.doc_ids], np.int64)
+        return bucket, [key, more, ids[doc], (at[lead] - text.words.first[doc]).astype(np.uint32)]
 
     def finish(batches):
         for block in each_block(batches):
@@ -172,7 +142,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, digest: bool = False) ->
             if len(at):
                 lead, bucket, _, _ = _distinct_windows(text, at, buckets)
                 late = np.ones(len(at), bool)
-                late[lead] = _mask({-1 - b: a for b, a in block[3].items() if b < 0}, bucket, buckets)
+                late[lead] = flags_of(block.answers.get("late", {}), bucket, buckets)
                 gone = covered(at[late], window, len(words.start))
             data = np.where(SPACES[words.data], 0x20, words.data).astype(np.uint8)
             depth = np.zeros(len(data) + 1, np.int8)
@@ -185,16 +155,33 @@ def dedup_substrings(docs: DataFrame, window: int = 20, digest: bool = False) ->
             removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[words.first])
             kept = [hashlib.sha256(t).hexdigest() for t in texts] if digest else [t.decode() for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[1], pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
+                [pa.array(block.doc_ids, pa.int64()), pa.array(np.diff(words.first), pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"]
             )
 
-    hits = scratch.write(answer(say(blocks, speak_probes), _hits), "hits")
-    late = scratch.write(answer(say(hear(blocks, hits), speak_windows), _later).selectExpr("block_id", "-1 - bucket bucket", "answer"), "late")
-    out = hear(blocks, hits, late).mapInArrow(finish, SCHEMA)
-    result = Scratch(docs.sparkSession).write(out.withColumnRenamed("kept", "kept_sha256") if digest else out, "kept")
-    scratch.drop()
-    return result
+    hits = exchange(blocks, scratch, "hits", buckets, speak_probes, _hits)
+    late = exchange(hear(blocks, hits=hits), scratch, "late", buckets, speak_windows, _later)
+    out = hear(blocks, hits=hits, late=late).mapInArrow(finish, SCHEMA)
+    return result(out.withColumnRenamed("kept", "kept_sha256") if digest else out, "kept")
 
 
 def op8(docs: DataFrame) -> DataFrame:
     return dedup_substrings(docs, digest=True)
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos, len(ws) AS n FROM d
+), k AS (
+  SELECT doc_id, pos, n, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run FROM w
+), late AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY md5(run) ORDER BY doc_id, pos) AS k FROM k WHERE pos + 20 <= n) WHERE k > 1
+), m AS (
+  SELECT w.doc_id, w.pos, w.word, max(late.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM w LEFT JOIN late ON late.doc_id = w.doc_id AND late.pos = w.pos
+), g AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM m GROUP BY 1
+)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
