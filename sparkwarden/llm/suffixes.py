@@ -2,16 +2,19 @@
 
 Which bytes repeat is decided inside hash buckets, each with an index of its own. A window's minimizer (the least hash
 of its k-byte strings, leftmost on ties) is the same wherever the window stands, so windows are gathered by it:
-consecutive windows of one minimizer form a segment. Segments that stand alike at two places are matched whole, by 128
-bits of hash. Where one minimizer has different segments, one copy of each goes to a bucket. There the bucket's
-run-length index is built: the segments' suffix array (by prefix doubling), its Burrows-Wheeler transform, the runs of
-that, and suffix samples at both ends of each run. Matching statistics are streamed from the samples in text order (a
-match with the neighbour in the suffix array shrinks by one from byte to byte between samples), and places whose
-longest match elsewhere reaches the window are marked. A minimizer with very many different segments (text that stands
-in very many surroundings) is dealt out further, by the strings that 25 windows at like offsets share.
-
-Null text: as empty. Texts shorter than the window have no windows. Ids may be null or repeated, as may rows: copies
-match each other and all go. Other columns are left out of the result.
+consecutive windows of one minimizer form a segment. Segments are counted by their bytes (128 bits of hash); where a
+minimizer has several segments, or one that stands at several places, one copy of each goes to a bucket, with a mark
+if there are more: copies are a run, in the index as in the corpus. There the bucket's run-length index is built: the
+segments' suffix array (by prefix doubling), its Burrows-Wheeler transform, the runs of that, and suffix samples at both
+ends of each run. Matching statistics are streamed from the samples in text order (a match with the neighbour in the
+suffix array shrinks by one from byte to byte between samples), and places whose longest match elsewhere reaches the
+window are marked. A minimizer with very many different segments (text that stands in very many surroundings) is dealt
+out further, by the strings that 25 windows at like offsets share. Copies of a segment that the index holds as a run are
+removed where they stand; all other segments stand alone with their minimizer and cannot match.
+
+Null text: as empty. Texts shorter than the window have no windows; an empty table gives no rows. Ids may be null or
+repeated, as may rows: copies match each other and all go. A text longer than a block is a block by itself, whole. Other
+columns, whatever their names, are left out of the result.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import answer, buckets_for, each_block, hear, make_blocks, pack, say, unpack
-from .common import _BYTE, Scratch, covered, joined, mix, powers, spans
-from .substrings import _by_bucket, _groups
+from .blocks import Buckets, buckets_for, each_block, exchange, flags_of, hear, make_blocks, pack, unpack
+from .common import _BYTE, Scratch, joined, mix, powers, result, spans
+from .substrings import _groups
 
 #: Bytes of a minimizer, of text in a bucket's index on average, windows in a piece, and segments above which a minimizer's are cut to pieces.
 K, INDEX_BYTES, PIECE, MANY = 32, 1 << 20, 25, 1500
-COVERED, SHIP, CUT = 1, 2, 4
+#: What a bucket says of a segment: it stands at several places; its bytes go to an index; in pieces.
+SAME, SHIP, CUT = 1, 2, 4
 
 
 class _Rolling:
@@ -82,46 +86,34 @@ class _Segments:
         self.last = at[np.append(start[1:], len(at)) - 1] if len(at) else at
         self.at = least[self.first]
 
-    def entries(self, buckets: int):
+    def entries(self, buckets: Buckets):
         """Distinct segments in order of bucket: for each its bucket, minimizer, content and whether repeated; and the number of each segment."""
         m = self.hash.of(self.at, self.at + K)
         where = (self.at - self.first).astype(np.uint64)
         content = self.hash.of(self.first, self.last + self.window) ^ mix(where)
         more = _Rolling(self.data, 1).of(self.first, self.last + self.window) if len(self.first) else content
-        bucket = m & np.uint64(buckets - 1)
+        bucket = buckets.of(m)
         order, start = _groups(bucket, m, content, more)
         number = np.empty(len(order), np.int64)
         size = np.diff(np.append(start, len(order)))
         number[order] = np.repeat(np.arange(len(start)), size)
         lead = order[start]
-        return lead, bucket[lead].astype(np.int64), m[lead], content[lead], more[lead], size > 1, number
+        return lead, bucket[lead], m[lead], content[lead], more[lead], size > 1, number
 
 
-def _sort_out(said: list[bytes], *, many: int) -> list[bytes]:
+def _sort_out(m: np.ndarray, content: np.ndarray, more: np.ndarray, twice: np.ndarray, *, many: int) -> np.ndarray:
     """For each block's distinct segments: whether they stand elsewhere too, and whether to send their bytes (cut to pieces)."""
-    parts = [unpack(x, np.uint64, np.uint64, np.uint64, np.uint8) for x in said]
-    sizes = [len(p[0]) for p in parts]
-    m, content, more = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    twice = np.concatenate([np.unpackbits(p[3], count=n) for p, n in zip(parts, sizes)]).astype(bool)
     order, start = _groups(m, content, more)
     size = np.diff(np.append(start, len(order)))
-    same = (size > 1) | (np.add.reduceat(twice[order], start) > 0)
+    same = (size > 1) | (np.add.reduceat(twice[order], start, dtype=np.int64) > 0)
     lead = order[start]
     kinds_at = np.flatnonzero(np.append([True], m[lead][1:] != m[lead][:-1]))
     kinds = np.diff(np.append(kinds_at, len(lead)))
     kinds = np.repeat(kinds, kinds)  # different segments of the same minimizer
     flag = np.zeros(len(m), np.uint8)
-    flag[order] = np.repeat(np.where(same, COVERED, 0), size)
-    flag[lead] |= np.where(kinds > many, SHIP | CUT, np.where(kinds > 1, SHIP, 0)).astype(np.uint8)
-    return [x.tobytes() if x.any() else b"" for x in np.split(flag, np.cumsum(sizes)[:-1])]
-
-
-def _flags(answers: dict[int, bytes], bucket: np.ndarray, buckets: int) -> np.ndarray:
-    out = np.zeros(len(bucket), np.uint8)
-    for b, s in _by_bucket(bucket, buckets):
-        if b in answers:
-            out[s] = np.frombuffer(answers[b], np.uint8)
-    return out
+    flag[order] = np.repeat(np.where(same, SAME, 0), size)
+    flag[lead] |= np.where(kinds > many, SHIP | CUT, np.where(same | (kinds > 1), SHIP, 0)).astype(np.uint8)
+    return flag
 
 
 def _pieces(seg: _Segments, which: np.ndarray):
@@ -143,17 +135,17 @@ class RunLengthIndex:
 
     def __init__(self, text: np.ndarray, depth: int):
         self.text, self.n = text, len(text)
-        self.ranks: list[tuple[int, np.ndarray]] = []
+        ends = np.flatnonzero(text == 0)
+        self.left = ends[np.searchsorted(ends, np.arange(self.n))] - np.arange(self.n) if len(ends) else np.arange(self.n, 0, -1)
         self.array = self._sort(depth)
         before = np.where(self.array > 0, text[self.array - 1], 0)
-        self.bwt = before
         change = np.flatnonzero((before[1:] != before[:-1]) | (before[1:] == 0)) + 1
+        #: where the runs of the transform start and end; the array there is the samples
         self.run_start = np.append([0], change)
         self.run_end = np.append(change, self.n) - 1
-        self.head, self.tail = self.array[self.run_start], self.array[self.run_end]  # the samples
 
     def _sort(self, depth: int) -> np.ndarray:
-        """Suffixes up to their string's end, equal ones by place. Keeps the ranks of 8, 16, ... symbols for ``common``."""
+        """Suffixes up to their string's end, equal ones in any order."""
         n, text = self.n, self.text
         key = np.zeros(n, np.uint64)
         open_ = np.ones(n, bool)  # no end of string yet
@@ -162,108 +154,79 @@ class RunLengthIndex:
             x = pad[j : j + n]
             open_ &= x != 0
             key = key << np.uint64(8) | np.where(open_, x, 0).astype(np.uint64)
+        self.eight = np.concatenate((key, np.zeros(8, np.uint64)))  # the symbols from each place on, up to the string's end
         length = 8
-        order = np.argsort(key, kind="stable")
-        rank = self._dense(key[order], order)
+        order = np.argsort(key)
+        rank = np.empty(n, np.int64)
+        k = key[order]
+        rank[order] = np.maximum.accumulate(np.where(np.append([True], k[1:] != k[:-1]), np.arange(n), 0))
         done = ~open_  # their ends are in sight: nothing further counts
-        while True:
-            self.ranks.append((length, rank))
-            if length >= depth:
-                return order
-            ahead = np.zeros(n, np.int64)
-            ahead[: max(0, n - length)] = rank[length:] + 1
-            ahead[done] = 0
+        while length < depth:
             group = rank[order]
-            alone = np.ones(n, bool)
-            alone[1:] &= group[1:] != group[:-1]
-            alone[:-1] &= group[:-1] != group[1:]
-            open_at = np.flatnonzero(~alone)
+            alike = group[1:] == group[:-1]
+            tied = np.append(alike, False) | np.append(False, alike)
+            tied &= ~done[order]
+            open_at = np.flatnonzero(tied)
             if not len(open_at):
-                return order
+                break
             part = order[open_at]
-            key = rank[part].astype(np.uint64) << np.uint64(32) | ahead[part].astype(np.uint64)
-            resorted = np.argsort(key, kind="stable")
+            ahead = np.where(part + length < n, rank[np.minimum(part + length, n - 1)] + 1, 0)
+            key = rank[part].astype(np.uint64) << np.uint64(32) | ahead.astype(np.uint64)
+            resorted = np.argsort(key)
             order[open_at] = part[resorted]
             k = key[resorted]
             # a rank is the place in the order where its group begins, so that groups that split keep their places
-            fresh = np.append([True], k[1:] != k[:-1])
             new_rank = rank.copy()
-            begin = np.maximum.accumulate(np.where(fresh, open_at, 0))
-            new_rank[part[resorted]] = begin
+            new_rank[part[resorted]] = np.maximum.accumulate(np.where(np.append([True], k[1:] != k[:-1]), open_at, 0))
             nxt = np.ones(n, bool)
             nxt[: max(0, n - length)] = done[length:]
             done, rank = done | nxt, new_rank
             length *= 2
-
-    @staticmethod
-    def _dense(sorted_key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        rank = np.empty(len(order), np.int64)
-        fresh = np.append([True], sorted_key[1:] != sorted_key[:-1])
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
-        return rank
+        return order
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefixes of the suffixes at a and b, up to their strings' ends."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
-        while True:
-            moved = np.zeros(len(a), bool)
-            for length, rank in reversed(self.ranks):
-                ok = (a < self.n) & (b < self.n)
-                x, y = np.minimum(a, self.n - 1), np.minimum(b, self.n - 1)
-                ok &= (rank[x] == rank[y]) & (self.left[x] >= length) & (self.left[y] >= length)
-                a, b, out, moved = a + length * ok, b + length * ok, out + length * ok, moved | ok
-            if not moved.any():
-                break
-        for _ in range(8):
-            x, y = np.minimum(a, self.n - 1), np.minimum(b, self.n - 1)
-            ok = (a < self.n) & (b < self.n) & (self.text[x] == self.text[y]) & (self.text[x] != 0)
-            ok &= (x == a) & (y == b)
-            if not ok.any():
-                break
-            a, b, out = a + ok, b + ok, out + ok
+        out = np.minimum(self.left[a], self.left[b])
+        at, off = np.flatnonzero(out), 0
+        while len(at):
+            x = self.eight[a[at] + off] ^ self.eight[b[at] + off]
+            unlike = x != 0
+            y = x[unlike]
+            same = sum((y < np.uint64(1 << (8 * j))).astype(np.int64) for j in range(1, 8))
+            out[at[unlike]] = np.minimum(out[at[unlike]], off + same)
+            at, off = at[~unlike], off + 8
+            at = at[out[at] > off]
         return out
 
-    def matching(self) -> np.ndarray:
-        """For each place, its longest match that starts at another place."""
-        ends = np.flatnonzero(self.text == 0)
-        stop = ends[np.searchsorted(ends, np.arange(self.n))] if len(ends) else np.full(self.n, self.n)
-        self.left = stop - np.arange(self.n)
+    def matching(self, runs: np.ndarray | None = None) -> np.ndarray:
+        """For each place, its longest match that starts at another place. ``runs``: where strings start that stand for several copies."""
         base = np.full(self.n, -(1 << 40), np.int64)
-        s = self.run_start[self.run_start > 0]
-        j = self.array[s]
-        base[j] = np.maximum(base[j], self.common(j, self.array[s - 1]) + j)
-        e = self.run_end[self.run_end < self.n - 1]
-        j = self.array[e]
-        base[j] = np.maximum(base[j], self.common(j, self.array[e + 1]) + j)
+        for at, to in ((self.run_start[self.run_start > 0], -1), (self.run_end[self.run_end < self.n - 1], 1)):
+            j = self.array[at]
+            base[j] = np.maximum(base[j], self.common(j, self.array[at + to]) + j)
+        if runs is not None:
+            base[runs] = runs + self.left[runs]
         return np.maximum(0, np.maximum.accumulate(base) - np.arange(self.n))
 
 
-def _match(said: list[bytes], *, window: int) -> list[bytes]:
-    """Index the bucket's strings, and for each block the windows (by place in the block) that stand twice in it."""
-    parts = [unpack(x, np.int64, np.int64, np.uint8) for x in said]
-    sizes = [p[1] for p in parts]
-    place = np.concatenate([p[0] for p in parts])
-    size = np.concatenate(sizes)
-    text = np.concatenate([p[2] for p in parts])
+def _match(speaker: np.ndarray, first: np.ndarray, twice: np.ndarray, size: np.ndarray, data: np.ndarray, window: int) -> list[tuple[int, bytes]]:
+    """Index the bucket's strings; for each block that sent some, the runs of windows (by place in the block) that stand twice."""
     # bytes 255 and 254 never occur in UTF-8: one is free for the shift by one
     at = np.cumsum(size + 1) - size - 1
-    symbols = np.zeros(len(text) + len(size), np.uint8)
+    symbols = np.zeros(len(data) + len(size), np.uint8)
     mask = np.ones(len(symbols), bool)
     mask[at + size] = False
-    symbols[mask] = text + 1
+    symbols[mask] = data + 1
     index = RunLengthIndex(symbols, int(size.max(initial=0)) + 1)
-    hit = index.matching() >= window
+    hit = index.matching(at[twice]) >= window
     owner = np.repeat(np.arange(len(size)), size + 1)
     s, e = spans(hit)
     # a run of marked places lies in one string: the last places of each are too short to match
-    block_of = np.repeat(np.arange(len(sizes)), [len(x) for x in sizes])
-    out = []
-    start = place[owner[s]] + (s - at[owner[s]]) if len(s) else s
-    run_block = block_of[owner[s]] if len(s) else s
-    for b in range(len(said)):
-        mine = run_block == b
-        out.append(pack(start[mine], (e - s)[mine]) if mine.any() else b"")
-    return out
+    start, block = first[owner[s]] + (s - at[owner[s]]), speaker[owner[s]]
+    return [(int(b), pack(start[block == b], (e - s)[block == b])) for b in np.unique(block)]
+
+
+STRINGS = "bucket long, block_id long, first long, twice boolean, data binary"
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -274,56 +237,65 @@ def dedup_suffixes(docs: DataFrame, window: int = 200, digest: bool = False, man
 
     The intermediate tables are gone when this returns; the result is a table in the shared folder.
     """
-    scratch = Scratch(docs.sparkSession)
+    with Scratch(docs.sparkSession) as scratch:
+        return _dedup(docs, window, digest, many, scratch)
+
+
+def _dedup(docs: DataFrame, window: int, digest: bool, many: int, scratch: Scratch) -> DataFrame:
     blocks, n_blocks = make_blocks(scratch, docs)
     buckets = buckets_for(n_blocks)
 
     def speak_segments(block):
-        lead, bucket, m, content, more, twice, _ = _Segments(block[2], window).entries(buckets)
-        for b, s in _by_bucket(bucket, buckets):
-            yield b, pack(m[s], content[s], more[s], np.packbits(twice[s]))
+        _, bucket, m, content, more, twice, _ = _Segments(block.texts, window).entries(buckets)
+        return bucket, [m, content, more, twice]
 
     def flagged(block):
-        seg = _Segments(block[2], window)
-        lead, bucket, m, _, _, twice, number = seg.entries(buckets)
-        flag = _flags({b: a for b, a in block[3].items() if b >= 0}, bucket, buckets)
-        flag[twice] |= COVERED
-        return seg, lead, m, flag, number
-
-    said = answer(say(blocks, speak_segments), lambda x: _sort_out(x, many=many))
-    sorted_out = scratch.write(said, "sorted")
-    sent = sorted_out.select(F.sum(F.length(F.regexp_replace(F.hex("answer"), "0[0145]", ""))) / 2).first()[0] or 0
+        seg = _Segments(block.texts, window)
+        lead, bucket, m, _, _, _, number = seg.entries(buckets)
+        return seg, lead, m, flags_of(block.answers.get("sorted", {}), bucket, buckets), number
+
+    sorted_out = exchange(blocks, scratch, "sorted", buckets, speak_segments, lambda *x: _sort_out(*x, many=many))
+    # an answer with a segment to send has a byte for each segment, of which 2, 3, 6 and 7 are to be sent
+    sent = F.length(F.regexp_replace(F.hex("answer"), "0[0145]", "")) / 2
+    sent = sorted_out.where("hex(substring(answer, 1, 1)) = '02'").select(F.sum(sent)).first()[0] or 0
     indexes = 1 << max(0, int(sent * (window + window // 2) / INDEX_BYTES).bit_length())
 
-    def speak_strings(block):
-        seg, lead, m, flag, _ = flagged(block)
-        whole = np.flatnonzero((flag & (SHIP | CUT)) == SHIP)
-        cut = np.flatnonzero(flag & CUT)
-        first, last, key = seg.first[lead[whole]], seg.last[lead[whole]], m[whole]
-        if len(cut):
-            start, end, _, cores = _pieces(seg, lead[cut])
-            first, last, key = np.concatenate((first, start)), np.concatenate((last, end)), np.concatenate((key, cores))
-        bucket = (mix(key) & np.uint64(indexes - 1)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        first, size = first[order], (last - first)[order] + window
-        for b, s in _by_bucket(bucket[order], indexes):
-            n = size[s]
-            take = np.repeat(first[s], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield b, pack(first[s], n, seg.data[take])
+    def send(batches):
+        for block in each_block(batches):
+            seg, lead, m, flag, _ = flagged(block)
+            whole, cut = np.flatnonzero((flag & (SHIP | CUT)) == SHIP), np.flatnonzero(flag & CUT)
+            first, last, key, twice = seg.first[lead[whole]], seg.last[lead[whole]], m[whole], (flag[whole] & SAME) > 0
+            if len(cut):
+                start, end, of, cores = _pieces(seg, lead[cut])
+                first, last, key, twice = (np.concatenate(x) for x in ((first, start), (last, end), (key, cores), (twice, (flag[cut][of] & SAME) > 0)))
+            size = last - first + window
+            at = np.concatenate(([0], np.cumsum(size)))
+            take = np.arange(at[-1]) + np.repeat(first - at[:-1], size)
+            data = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(seg.data[take])]).cast(pa.binary())
+            bucket = (mix(key) & np.uint64(indexes - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(size), block.id)), pa.array(first), pa.array(twice), data], names=[c.split()[0] for c in STRINGS.split(", ")])
+
+    def match(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        speaker, first, twice = (table.column(c).to_numpy() for c in ("block_id", "first", "twice"))
+        order = np.argsort(speaker, kind="stable")
+        strings = table.column("data").take(pa.array(order)).to_pylist()
+        size = np.array([len(x) for x in strings], np.int64)
+        found = _match(speaker[order], first[order], twice[order], size, np.frombuffer(b"".join(strings), np.uint8), window)
+        number = table.column("bucket")[0].as_py()
+        return pa.table([pa.array([b for b, _ in found], pa.int64()), pa.array([number] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["block_id", "bucket", "answer"])
 
     def finish(batches):
         for block in each_block(batches):
             seg, lead, _, flag, number = flagged(block)
-            sure = ((flag & COVERED) > 0)[number]
+            sure = ((flag & SAME) > 0)[number]
             n = len(seg.data)
             depth = np.zeros(n + 1, np.int32)
-            starts = [seg.first[sure]]
-            ends = [seg.last[sure] + window]
-            for b, a in block[3].items():
-                if b < 0:
-                    s, count = unpack(a, np.int64, np.int64)
-                    starts.append(s)
-                    ends.append(s + count - 1 + window)
+            starts, ends = [seg.first[sure]], [seg.last[sure] + window]
+            for a in block.answers.get("matched", {}).values():
+                s, count = unpack(a)
+                starts.append(s)
+                ends.append(s + count - 1 + window)
             np.add.at(depth, np.concatenate(starts), 1)
             np.add.at(depth, np.concatenate(ends), -1)
             gone = np.cumsum(depth[:n]) > 0
@@ -338,17 +310,15 @@ def dedup_suffixes(docs: DataFrame, window: int = 200, digest: bool = False, man
             texts = [left[s:e] for s, e in zip(cut[:-1], cut[1:])]
             kept = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()) if digest else pa.array(texts, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block[1], pa.int64()), pa.array(np.diff(seg.ends) - 1, pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(edge), pa.int64()), kept],
+                [pa.array(block.doc_ids, pa.int64()), pa.array(np.diff(seg.ends) - 1, pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(edge), pa.int64()), kept],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    strings = say(hear(blocks, sorted_out), speak_strings)
-    matched = scratch.write(answer(strings, lambda x: _match(x, window=window)).selectExpr("block_id", "-1 - bucket bucket", "answer"), "matched")
-    schema = SCHEMA.replace("kept binary", "kept_sha256 string") if digest else SCHEMA
-    out = hear(blocks, sorted_out, matched).mapInArrow(finish, schema.replace("kept_sha256", "kept"))
-    result = Scratch(docs.sparkSession).write(out.withColumnRenamed("kept", "kept_sha256") if digest else out, "kept")
-    scratch.drop()
-    return result
+    strings = hear(blocks, sorted=sorted_out).mapInArrow(send, STRINGS)
+    matched = scratch.write(strings.groupBy("bucket").applyInArrow(match, "block_id long, bucket long, answer binary"), "matched")
+    schema = SCHEMA.replace("kept binary", "kept string") if digest else SCHEMA
+    out = hear(blocks, sorted=sorted_out, matched=matched).mapInArrow(finish, schema)
+    return result(out.withColumnRenamed("kept", "kept_sha256") if digest else out, "kept")
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from llm_helpers import documents, odd_texts, text
 from pyspark.sql import functions as F
 
-from sparkwarden.llm import components, decontaminate, lines, ngram_join, substrings, suffixes
+from sparkwarden.llm import blocks, common, components, decontaminate, lines, ngram_join, substrings, suffixes
 from sparkwarden.llm.common import Scratch
 
 words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -58,6 +58,63 @@ def test_substrings_odd_ids(spark):
     assert substrings.op8(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+@pytest.fixture
+def many_blocks(monkeypatch):
+    """Over 50 blocks and 16 buckets, which two blocks to a message reach in four steps."""
+    monkeypatch.setattr(blocks, "BLOCK", 400)
+    monkeypatch.setattr(blocks, "FAN_BITS", 1)
+    monkeypatch.setattr(blocks, "slices", lambda batch, column, most: common.slices(batch, column, 400))
+    made = []
+    count = blocks.buckets_for
+    for module in (substrings, suffixes):
+        monkeypatch.setattr(module, "buckets_for", lambda n: made.append((n, count(n).count)) or count(n))
+    return made
+
+
+def many_texts():
+    rng = random.Random(11)
+    passages = [text(rng, 45) for _ in range(6)]
+    return odd_texts() + [" ".join(rng.choice(passages) if rng.random() < 0.4 else text(rng, 25) for _ in range(3)) for _ in range(120)]
+
+
+def test_substrings_of_many_blocks(spark, many_blocks):
+    texts = many_texts()
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.op8(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_substrings(texts)
+    assert many_blocks[0][0] > 50 and many_blocks[0][1] >= 16
+
+
+def test_suffixes_of_many_blocks(spark, many_blocks, monkeypatch):
+    monkeypatch.setattr(suffixes, "INDEX_BYTES", 5000)
+    texts = many_texts()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.op9(documents(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_bytes(texts)
+    assert many_blocks[0][0] > 50 and many_blocks[0][1] >= 16
+
+
+def test_messages_are_linear_in_blocks(spark, many_blocks, tmp_path):
+    written = []
+
+    class Kept(Scratch):
+        def write(self, df, name):
+            out = super().write(df, name)
+            written.append((name, out.count()))
+            return out
+
+    texts = [text(random.Random(k), 60) for k in range(400)]
+    with Kept(spark) as scratch:
+        substrings._dedup(documents(spark, texts).select("doc_id", "text"), 20, True, scratch)
+    said = [n for name, n in written if name == "hits-said"]
+    assert len(said) >= 4 and said[0] <= 2 * many_blocks[0][0] and max(said[1:]) <= said[0]
+
+
+def test_pack():
+    import numpy as np
+
+    arrays = [np.array([5, 3, 2**63 + 1], np.uint64), np.array([-4, 2**62], np.int64), np.array([True, False, True]), np.zeros(0, np.uint32), np.arange(300, dtype=np.uint32)]
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(arrays, blocks.unpack(blocks.pack(*arrays))))
+
+
 @pytest.mark.parametrize("many", [1500, 1])
 def test_suffixes(spark, many):
     texts = odd_texts()
@@ -84,6 +141,9 @@ def test_run_length_index():
         common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         want = [max((common(a, b) for k, b in enumerate(suffix) if k != j), default=0) for j, a in enumerate(suffix)]
         assert index.matching().tolist() == want
+        start = np.cumsum([0, *(len(s) + 1 for s in strings[:-1])])
+        copies = [max(x, len(strings[0]) - j) if j <= len(strings[0]) else x for j, x in enumerate(want)]
+        assert index.matching(start[:1]).tolist() == copies  # the first string stands for several
         assert len(index.run_start) <= len(symbols)
 
 
