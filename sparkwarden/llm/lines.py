@@ -5,7 +5,7 @@ into a suffix array by distributed prefix doubling. At depth 1 the key of a suff
 at depth 2d suffixes whose keys still tie are told apart by the keys d lines on, and the rank of that pair is appended, so
 keys compare like the suffixes do. Doubling ends when no two suffixes tie that could go on, that is at the longest
 repeated run. Neighbours in the array are then compared exactly: keys that have m ranks in common share 2**(m-1) lines,
-and both suffixes move on by as many. Those common prefixes cut the array into intervals: all suffixes between two places
+and both suffixes move on by as many (for deletion, up to ``min_lines``). Those common prefixes cut the array into intervals: all suffixes between two places
 where the prefix falls below d lines share d lines, and those after the interval's first place are later copies.
 
 A run is deleted where it also starts earlier, if it has ``min_lines`` lines or ``min_chars`` characters in all (line
@@ -86,23 +86,26 @@ def _same(a: str, b: str) -> Column:
     return F.when(unlike > 0, unlike - 1).otherwise(F.size(a))
 
 
-def common_prefixes(places: DataFrame, array: DataFrame, scratch: Scratch) -> DataFrame:
-    """The array with ``lcp``: the lines that a key's suffixes have in common with those of the key before."""
+def common_prefixes(places: DataFrame, array: DataFrame, scratch: Scratch, enough: int | None = None) -> DataFrame:
+    """The array with ``lcp``: the lines that a key's suffixes have in common with those of the key before (or ``enough`` and perhaps more)."""
     within = Window.partitionBy("part").orderBy("seq")
     ends = array.groupBy("part").agg(F.max_by(F.struct("first", "key"), "seq").alias("last"))
     before = ends.select("part", F.lag("last").over(Window.orderBy("part")).alias("last"))  # one row a partition
     pairs = array.join(F.broadcast(before), "part").withColumn("before", F.coalesce(F.lag(F.struct("first", "key")).over(within), "last"))
+    more = F.lit(True) if enough is None else F.col("lcp") < enough
     open_ = scratch.write(pairs.select("seq", F.col("first").alias("a"), F.col("before.first").alias("b"), F.col("key").alias("x"), F.col("before.key").alias("y"), F.lit(0).alias("lcp")), "pairs")
-    done = open_.where(F.col("y").isNull() | (_same("x", "y") == 0)).select("seq", "lcp")
-    open_ = open_.where(F.col("y").isNotNull() & (_same("x", "y") > 0))
+    by = F.when(_same("x", "y") > 0, F.pow(F.lit(2), _same("x", "y") - 1)).otherwise(0).cast("int")
+    at_once = F.coalesce(by, F.lit(0))
+    known = F.col("y").isNull() | (_same("x", "y") == 0) | (F.lit(False) if enough is None else by >= enough)
+    done = open_.where(known).select("seq", at_once.alias("lcp"))
+    open_ = open_.where(~known)
     while not open_.isEmpty():
-        by = F.pow(F.lit(2), _same("x", "y") - 1).cast("int")
         moved = open_.withColumn("by", by).select("seq", (F.col("lcp") + F.col("by")).alias("lcp"), *(F.struct(F.col(f"{c}.i").alias("i"), F.col(f"{c}.h").alias("h"), (F.col(f"{c}.pos") + F.col("by")).alias("pos")).alias(c) for c in "ab"))
         for c, key in (("a", "x"), ("b", "y")):
             there = places.select(F.col("i").alias("pi"), F.col("h").alias("ph"), F.col("pos").alias("pp"), F.col("key").alias(key), F.col("left").alias(f"left_{c}"))
             moved = moved.join(there, F.col(f"{c}.i").eqNullSafe(F.col("pi")) & (F.col(f"{c}.h") == F.col("ph")) & (F.col(f"{c}.pos") == F.col("pp")), "left").drop("pi", "ph", "pp")
         step = scratch.write(moved, "moved")
-        on = F.coalesce((F.col("x") != F.col("y")) & (_same("x", "y") > 0), F.lit(False))
+        on = F.coalesce((F.col("x") != F.col("y")) & (_same("x", "y") > 0), F.lit(False)) & more
         # of equal keys the rest is equal
         done = done.unionByName(step.where(~on).select("seq", F.when(F.col("x") == F.col("y"), F.col("lcp") + F.col("left_a")).otherwise(F.col("lcp")).alias("lcp")))
         open_ = step.where(on)
@@ -125,10 +128,10 @@ def intervals(prefixes: DataFrame, depths: int, scratch: Scratch) -> DataFrame:
     return scratch.write(named.where("d = 1").select("seq", "key").join(of, "seq").drop("seq"), "keys")
 
 
-def _sorted(docs: DataFrame, depths: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _sorted(docs: DataFrame, depths: int, scratch: Scratch, enough: int | None = None) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     places, array = suffix_array(docs, depths, scratch)
-    return places, common_prefixes(places, array, scratch)
+    return places, common_prefixes(places, array, scratch, enough)
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -148,7 +151,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
 
 def late_lines(docs: DataFrame, min_lines: int, min_chars: int, scratch: Scratch) -> DataFrame:
     """i (doc_id), h (hash of the text) and gone: the places of the lines to delete, of documents that have any."""
-    places, prefixes = _sorted(docs, min_lines, scratch)
+    places, prefixes = _sorted(docs, min_lines, scratch, min_lines)
     found = places.join(intervals(prefixes, min_lines, scratch), "key")
     late = lambda d: (F.col("left") >= d) & (F.struct("i", "h", "pos") > F.col("firsts")[d - 1]["least"])
     size = F.lit(0)
