@@ -95,7 +95,7 @@ def common_prefixes(places: DataFrame, array: DataFrame, scratch: Scratch, enoug
     more = F.lit(True) if enough is None else F.col("lcp") < enough
     open_ = scratch.write(pairs.select("seq", F.col("first").alias("a"), F.col("before.first").alias("b"), F.col("key").alias("x"), F.col("before.key").alias("y"), F.lit(0).alias("lcp")), "pairs")
     by = F.when(_same("x", "y") > 0, F.pow(F.lit(2), _same("x", "y") - 1)).otherwise(0).cast("int")
-    at_once = F.coalesce(by, F.lit(0))
+    at_once = F.when(F.col("y").isNull(), 0).otherwise(by)
     known = F.col("y").isNull() | (_same("x", "y") == 0) | (F.lit(False) if enough is None else by >= enough)
     done = open_.where(known).select("seq", at_once.alias("lcp"))
     open_ = open_.where(~known)
