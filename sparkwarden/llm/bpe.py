@@ -6,7 +6,10 @@ a pair of lower rank than its own (possible where two merge paths lead to one to
 positions back to the index, so the order inside every word is the tokeniser's own. Every distinct pre-token is
 replayed once a batch and kept in a bounded table; texts are then only looked up, and nothing is shuffled.
 
-Null text: as empty, no tokens. Repeated rows are encoded alike. Other columns are left out of the result.
+Null text: as empty, no tokens; an empty table gives no rows. Rows without an id and repeated rows are encoded alike. A
+text is encoded whole, however long. Other columns, whatever their names, are left out of the result.
+
+Where the tokeniser's engine and ours know different Unicode versions, code points are classed as that engine does.
 """
 
 from __future__ import annotations
@@ -17,11 +20,13 @@ import heapq
 import re
 from bisect import bisect_right
 from contextlib import contextmanager
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from .common import slices
@@ -117,9 +122,49 @@ class Replay:
 LATIN_1 = {r"\p{L}": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"\p{N}": "0-9\xb2\xb3\xb9\xbc-\xbe", r"\s": "\t-\r \x85\xa0"}
 
 
+#: Code points that stand for others of their class: letter, number, space, anything else.
+STAND_INS = {r"\p{L}": "\u4e00", r"\p{N}": "\u2167", r"\s": "\u2003", "": "\xa7"}
+
+
+@cache
+def strangers() -> dict[int, str]:
+    """Code points that the tokeniser's engine classes in another way than ours, with a stand-in that both class as it does."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    bytes_ = {bytes((b,)): b for b in range(256)}
+    unlike, theirs = set(), {}
+    for name in [n for n in STAND_INS if n]:
+        engine = tiktoken.Encoding(f"class {name}", pat_str=name, mergeable_ranks=bytes_, special_tokens={})
+        # the engine leaves out what its pattern does not fit
+        found = {c for s in range(0, len(every), 1 << 14) for c in bytes(engine.encode_ordinary(every[s : s + (1 << 14)])).decode()}
+        unlike |= found ^ set(regex.findall(name, every))
+        theirs |= dict.fromkeys(found, name)
+    return {ord(c): STAND_INS[theirs.get(c, "")] for c in unlike}
+
+
+def _whole(pattern: str):
+    """Pre-tokens of any text."""
+    find, other = regex.compile(pattern), strangers()
+    if not other:
+        return find.findall
+    points = sorted(other)
+    ranges, start = [], points[0]
+    for a, b in zip(points, [*points[1:], -1]):
+        if b != a + 1:
+            ranges.append(f"\\U{start:08x}-\\U{a:08x}")
+            start = b
+    strange = re.compile(f"[{''.join(ranges)}]").search
+
+    def split(text: str) -> list[str]:
+        if not strange(text):
+            return find.findall(text)
+        return [text[m.start() : m.end()] for m in find.finditer(text.translate(other))]
+
+    return split
+
+
 def splitter(pattern: str):
     """A function from a text to its pre-tokens. Text in Latin-1 goes by an equal pattern without Unicode properties."""
-    whole, narrow = regex.compile(pattern).findall, pattern
+    whole, narrow = _whole(pattern), pattern
     narrow = narrow.replace(r"[^\s\p{L}\p{N}]", "[^" + "".join(LATIN_1.values()) + "]").replace(r"\S", f"[^{LATIN_1[chr(92) + 's']}]")
     for name, chars in LATIN_1.items():
         narrow = narrow.replace(name, f"[{chars}]")
