@@ -6,8 +6,10 @@ whose markers cannot occur inside texts: there ``\\`` is doubled and ``<|`` beco
 becomes the marker ``<|nl|>``. Beside the text it returns for each turn how many characters come before its body, in its
 body and after it, and whether the body is under the loss mask. ``read_back`` inverts it.
 
-Null text or role: as empty. A record whose paths no layout declares keeps its fingerprint, with null turns. A
-conversation is one row and is formatted alone; no turns give an empty text. Turns that tie are put in order by role
+Null text or role: as empty. Fields at top level that no layout knows (an id, a source) are passed over. A record whose
+other paths no layout declares keeps its fingerprint, with null turns. Columns that a function adds (fingerprint, layout,
+turns; formatted, mask; read_turns, loss_text) take the place of the input's of the same name, all others are carried
+through. An empty table stays empty. Texts are formatted whole, however long. A conversation is one row and is formatted alone; no turns give an empty text. Turns that tie are put in order by role
 and text, repeated rows stay repeated turns, and rows without a conv_id are one conversation of their own.
 """
 
@@ -17,6 +19,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import internal
+
 #: The template's fixed values.
 OPEN, CLOSE, LINE_BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -82,11 +86,21 @@ def structure(record: Column) -> Column:
     return F.regexp_replace(F.schema_of_variant(record), r": (?!ARRAY<|OBJECT<)[A-Z_]+(\([0-9, ]*\))?", "")
 
 
+def known_structure(record: Column, layouts: tuple[Layout, ...]) -> Column:
+    """``structure`` of those fields at top level that some layout begins with."""
+    names = sorted({p.path.split(".")[0] for x in layouts for p in x.parts})
+    held = [F.try_variant_get(record, f"$.{n}", "variant") for n in names]
+    parts = [F.when(x.isNotNull(), F.concat(F.lit(n), F.regexp_replace(F.concat(F.lit(": "), F.schema_of_variant(x)), r": (?!ARRAY<|OBJECT<)[A-Z_]+(\([0-9, ]*\))?", ""))) for n, x in zip(names, held)]
+    return F.concat(F.lit("OBJECT<"), F.concat_ws(", ", *parts), F.lit(">"))
+
+
 def canonical(records: DataFrame, column: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
     """Adds fingerprint, layout and turns to ``records``, whose ``column`` is a variant (see ``parse_json``)."""
     record = F.col(column)
-    mark = F.xxhash64(structure(record))
-    seen = records.withColumn("fingerprint", mark)
+    paths = structure(record)
+    # most records are a layout as they stand
+    paths = F.when(paths.isin([x.paths for x in layouts]), paths).otherwise(known_structure(record, layouts))
+    seen = records.withColumn("fingerprint", F.xxhash64(paths))
     marks = {x.name: F.xxhash64(F.lit(x.paths)) for x in layouts}
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
@@ -109,13 +123,14 @@ def render(turned: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """Adds formatted (string) and mask (a struct for each turn) to rows with ``turns``."""
     head = lambda t: F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit(LINE_BREAK)), F.lit("\n"))
     pieces = F.transform("turns", lambda t: F.struct(head(t).alias("head"), escape(t["text"]).alias("body"), (t["role"] == loss_role).alias("loss")))
-    out = turned.withColumn("_pieces", pieces)
+    held = internal(turned, "_pieces")
+    out = turned.withColumn(held, pieces)
     return out.withColumns(
         {
-            "formatted": F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""),
-            "mask": F.transform("_pieces", lambda p: F.struct(F.length(p["head"]).alias("before"), F.length(p["body"]).alias("body"), F.lit(len(CLOSE)).alias("after"), p["loss"].alias("loss"))),
+            "formatted": F.array_join(F.transform(held, lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), ""),
+            "mask": F.transform(held, lambda p: F.struct(F.length(p["head"]).alias("before"), F.length(p["body"]).alias("body"), F.lit(len(CLOSE)).alias("after"), p["loss"].alias("loss"))),
         }
-    ).drop("_pieces")
+    ).drop(held)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -129,13 +144,14 @@ def read_back(formatted: DataFrame) -> DataFrame:
         body = unescape(piece.substr(role_chars + F.lit(2), run["body"]))
         return F.struct(role.alias("role"), body.alias("text"), run["loss"].alias("loss"))
 
-    out = formatted.withColumn("_read", F.zip_with(pieces, F.col("mask"), turn))
+    held = internal(formatted, "_read")
+    out = formatted.withColumn(held, F.zip_with(pieces, F.col("mask"), turn))
     return out.withColumns(
         {
-            "read_turns": F.transform("_read", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))),
-            "loss_text": F.array_join(F.transform(F.filter("_read", lambda t: t["loss"]), lambda t: t["text"]), ""),
+            "read_turns": F.transform(held, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))),
+            "loss_text": F.array_join(F.transform(F.filter(held, lambda t: t["loss"]), lambda t: t["text"]), ""),
         }
-    ).drop("_read")
+    ).drop(held)
 
 
 def as_records(rows: DataFrame) -> DataFrame:
