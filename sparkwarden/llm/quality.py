@@ -4,8 +4,9 @@ Each line is judged alone by punctuation, navigation and boilerplate rules; fail
 that loses too much of its text is rejected. Beside that, whole-document counts (symbols, repeated lines, repeated
 five-word windows) give a base verdict. Every document is judged by itself, so nothing is shuffled.
 
-Null or empty text: no words, all counts 0, ``base_failed`` true, nothing kept. Repeated rows are judged alike;
-null ids are carried through; other columns of the input are left out of the result.
+Null or empty text: no words, all counts 0, ``base_failed`` true, nothing kept; an empty table gives no rows. Repeated
+rows are judged alike; null ids are carried through; other columns of the input, whatever their names, are left out of
+the result. A text is judged whole, however long.
 """
 
 from __future__ import annotations

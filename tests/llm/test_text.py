@@ -65,6 +65,30 @@ def test_bpe_small_table(monkeypatch, encoding):
         assert next(iter(tokenizer.encode_batch([t or ""]))) == encoding.encode_ordinary(t or "")
 
 
+def test_bpe_classes_code_points_as_the_tokeniser(encoding):
+    tokenizer = bpe.Tokenizer(bpe.load_ranks(PATH), tokenizers.PATTERN)
+    odd = [chr(c) for c in sorted(bpe.strangers())]
+    texts = ["".join(f"a{x} {x}{x}1{x}! " for x in odd[s : s + 40]) for s in range(0, len(odd), max(40, len(odd) // 50))] + ["plain é 你好"]
+    assert [ids for ids in tokenizer.encode_batch(texts)] == [encoding.encode_ordinary(t) for t in texts]
+
+
+def test_odd_rows(spark, encoding):
+    """Rows without an id, repeated rows, clashing columns and a very long text, for the operators on single texts."""
+    t, long = text(random.Random(4), 20), text(random.Random(5), 60000)
+    docs = documents(spark, [t, t, t, long], [None, 1, 1, 2])
+    ids = ",".join(map(str, encoding.encode_ordinary(long)))
+    rows = bpe.op4(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "2", "None"] and len({r["ids_sha256"] for r in rows}) == 2 and sha(ids) in {r["ids_sha256"] for r in rows}
+    rows = quality.op10(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "2", "None"] and {r["n_words"] for r in rows} == {20, 60000}
+    rows = langid.op6(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "2", "None"]
+    url = "http://a.com/en/" + "x" * 200_000
+    pages = spark.createDataFrame([(None, url, "h", "r"), (1, url, "h", "r"), (1, url, "h", "r")], "page_id long, url string, host string, rule string")
+    rows = urls.op7(pages).collect()
+    assert [(r["rule"], r["verdict"], len(r["path"])) for r in rows] == [("com/en/", "block", 200_004)] * 3
+
+
 def turns(spark, rows):
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, record string").repartition(3)
 
@@ -95,6 +119,8 @@ def test_chat_layouts(spark):
         (6, '{"prompt": [{"role": "user", "content": "p"}], "completion": [{"role": "assistant", "content": "c"}]}', "prompt_lists", [("user", "p"), ("assistant", "c")]),
         (7, '{"instruction": "do", "output": "a", "system": "be"}', "instruction_system", [("system", "be"), ("user", "do"), ("assistant", "a")]),
         (8, '{"something": {"else": 1}}', None, None),
+        (9, '{"id": 4, "source": {"of": "x"}, "prompt": null, "completion": "c"}', "prompt_completion", [("user", ""), ("assistant", "c")]),
+        (10, '{"meta": [1], "messages": [{"role": "user", "content": "q"}]}', "messages", [("user", "q")]),
     ]
     df = spark.createDataFrame([(i, j) for i, j, _, _ in data], "id long, json string").selectExpr("id", "parse_json(json) record")
     got = {r["id"]: r for r in chat.canonical(df).collect()}
@@ -104,6 +130,12 @@ def test_chat_layouts(spark):
     assert made["formatted"] == "<|im_start|>user\np<|im_end|>\n<|im_start|>assistant\nc<|im_end|>\n" and [m["loss"] for m in made["mask"]] == [False, True]
 
 
+def test_chat_columns_of_the_same_names(spark):
+    df = spark.createDataFrame([(1, '{"prompt": "p", "completion": "c"}', "x")], "turns long, json string, _pieces string").selectExpr("turns", "_pieces", "'m' mask", "'r' _read", "parse_json(json) record")
+    row = chat.read_back(chat.render(chat.canonical(df))).first()
+    assert row["_pieces"] == "x" and row["_read"] == "r" and [tuple(t) for t in row["read_turns"]] == [("user", "p"), ("assistant", "c")] == [tuple(t) for t in row["turns"]]
+
+
 def test_language_id(spark):
     rng = random.Random(0)
     make = {"aa": lambda n: " ".join(rng.choice(["bana", "nab", "abba", "anan"]) for _ in range(n)), "bb": lambda n: " ".join(rng.choice(["xyz", "zzy", "yyx", "öxy"]) for _ in range(n))}
@@ -225,6 +257,19 @@ def test_automaton():
         assert hits[i].tolist() == [slow_glob(g, t) for g in globs], t
 
 
+def test_many_rules_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(urls, "STATE_BYTES", 4096)
+    rules = spark.createDataFrame([("block", f"*.h{k}.com/**", f"h{k}.com/") for k in range(300)] + [("allow", "**", None)], "verdict string, pattern string, label string")
+    globs = urls.load_rules(rules)
+    automaton = urls.Automaton(globs)
+    texts = [f".a.h{k}.com/x".encode() for k in range(0, 300, 7)] + [b".h.com/", b""]
+    hits = automaton.run(texts)
+    assert [[globs[i].label for i in row.nonzero()[0]] for row in hits] == [[None, f"h{k}.com/"] for k in range(0, 300, 7)] + [[None], [None]]
+    monkeypatch.setattr(urls, "RULE_BYTES", 10)
+    with pytest.raises(ValueError):
+        urls.load_rules(rules)
+
+
 def test_url_query(spark):
     rows = {
         "https://Example.COM/en/7x": ("example.com", "/en/7x", "example.com/en/7", "allow"), "http://a.example.com/en/9#t": ("a.example.com", "/en/9", "com/en/", "block"),
