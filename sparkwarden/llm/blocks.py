@@ -27,7 +27,7 @@ BLOCK = 4 << 20
 #: Blocks' worth of windows that one bucket takes, on average; groups that a speaker speaks to, as a power of two.
 BLOCKS_PER_BUCKET, FAN_BITS = 4, 6
 #: Bytes of text in a bucket of the block table: what one task reads.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 16 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
