@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -42,6 +43,9 @@ class Scratch:
 
     def __exit__(self, *error) -> None:
         self.drop()
+        # Spark removes the shuffle files of what was computed when the plans are collected
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"

@@ -334,15 +334,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("i"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """i (doc_id), h (hash of the text), class_i and class_h (the row that stands for the class) and n_links, for each row of docs (doc_id, text)."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, among: DataFrame | None = None) -> DataFrame:
+    """i (doc_id), h (hash of the text), class_i and class_h (the row that stands for the class) and n_links, for each row of docs (doc_id, text).
+
+    With ``among`` (i), only rows with one of those ids count; so no text is moved to leave out the others.
+    """
     with Scratch(docs.sparkSession) as scratch:
-        return _classes(docs, threshold, least_matches(threshold, tolerance), scratch)
+        return _classes(docs, threshold, least_matches(threshold, tolerance), among, scratch)
 
 
-def _classes(docs: DataFrame, threshold: float, least: list[int], scratch: Scratch) -> DataFrame:
+def _classes(docs: DataFrame, threshold: float, least: list[int], among: DataFrame | None, scratch: Scratch) -> DataFrame:
     rows = _rows(docs)
-    signed = scratch.write(_signed(rows), "signed")
+    signed = _signed(rows)
+    if among is not None:
+        ids = among.select(F.col("i").alias("among_i"))
+        signed = signed.join(ids, signed["i"].eqNullSafe(F.col("among_i")), "left_semi")
+    signed = scratch.write(signed, "signed")
     reps = scratch.write(
         signed.where("k is not null").groupBy("k").agg(F.min(F.struct("i", "h")).alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")), "reps"
     )
@@ -375,9 +382,9 @@ def _classes(docs: DataFrame, threshold: float, least: list[int], scratch: Scrat
     return result(out, "classes")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all of its columns, with one row of each class: the least doc_id."""
-    found = classes(docs)
+def keep_one(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """``docs``, all of its columns, with one row of each class: the least doc_id. With ``among`` (i), of rows with one of those ids."""
+    found = classes(docs, among=among)
     stays = found.where("i <=> class_i and h = class_h").select(F.col("i").alias("stays_i"), F.col("h").alias("stays_h")).distinct()
     i, h, n = (internal(docs, x) for x in ("row_i", "row_h", "row_n"))
     keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(F.col("text").cast("string"))})
