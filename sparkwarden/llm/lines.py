@@ -24,6 +24,8 @@ what passes from one to the next is one row a partition.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch, internal, result
@@ -57,27 +59,28 @@ def _ahead(by: int) -> Column:
 
 def suffix_array(docs: DataFrame, depths: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Places with their keys, and the array: each distinct key in order (``seq``, ``part``) with how many places have it, their first, and ``left``."""
-    before = [_repeated_lines(docs, depths, scratch)]
-    places = before[0].withColumn("open", F.lit(True))
+    places = _repeated_lines(docs, depths, scratch).withColumn("open", F.lit(True))
+    columns, settled = [c for c in places.columns if c != "open"], []
     depth = 1
     while True:
         # a suffix that ends after ``depth`` lines sorts before those that go on
         following = F.when(F.col("open") & (F.col("left") > depth), _ahead(depth)).when(F.col("open") & (F.col("left") == depth), F.array().cast(KEY))
-        step = scratch.write(places.withColumn("next", following), f"depth{depth}")
-        scratch.drop(*before)
-        pairs = step.where("next is not null").groupBy("key", "next").agg(F.count("*").alias("n"))
-        ranks = scratch.write(_ranked(pairs), f"ranks{depth}")
-        before = [step, ranks]
+        alive = F.max(F.col("next").isNotNull()).over(Window.partitionBy("i", "h"))
+        step = scratch.write(places.withColumn("next", following).withColumn("alive", alive), f"depth{depth}")
+        settled.append(step.where("not alive").select(*columns))  # these documents take no part in further rounds
+        active = step.where("next is not null")
+        ranks = scratch.write(_ranked(active.groupBy("key", "next").agg(F.count("*").alias("n"))), f"ranks{depth}")
         if ranks.isEmpty():
             break
-        longer = step.where("next is not null").join(ranks, ["key", "next"])
+        longer = active.join(ranks, ["key", "next"])
         longer = longer.withColumns({"key": F.concat("key", F.array("seq")), "open": (F.col("n") > 1) & (F.col("left") > depth)})
-        places = step.where("next is null").withColumn("open", F.lit(False)).drop("next").unionByName(longer.drop("next", "n", "seq"))
+        places = step.where("alive and next is null").withColumn("open", F.lit(False)).select(*columns, "open").unionByName(longer.select(*columns, "open"))
         depth *= 2
+    found = scratch.write(reduce(DataFrame.unionByName, settled), "sorted")
     place = F.struct("i", "h", "pos")
-    keys = step.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("left").alias("left"))
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("left").alias("left"))
     array = keys.orderBy("key").withColumns({"seq": F.monotonically_increasing_id(), "part": F.spark_partition_id()})
-    return step.drop("next", "open"), scratch.write(array, "array")
+    return found, scratch.write(array, "array")
 
 
 def _same(a: str, b: str) -> Column:

@@ -63,10 +63,10 @@ def test_near_copies_of_many_lines(spark, tmp_path):
         lines = [text(rng, 14) for _ in range(12)]
         firsts.append(len(texts))
         texts.append("\n".join(lines))
-        for _ in range(2):
+        for n in range(2):
             other = list(lines)
             words = other[k := rng.randrange(12)].split()
-            words[5] = "changed"
+            words[5] = f"changed{n}"
             other[k] = " ".join(words)
             texts.append("\n".join(other))
     texts += [text(rng, 80) for _ in range(10)]
