@@ -43,6 +43,28 @@ def ranking_metrics(scores: DataFrame, by: str | None = None) -> DataFrame:
     return c.groupBy(*key).agg(*out)
 
 
+def precision_at_recall(scores: DataFrame, wanted: tuple[float, ...] = (0.80, 0.90), by: str | None = None) -> DataFrame:
+    """Precision at the highest score at which the recall is reached; null without a label of 1."""
+    key = [by] if by else []
+    precision = F.col("tp") / (F.col("tp") + F.col("fp"))
+    at = [F.max_by(precision, F.when(F.col("tp") >= num(w) * F.col("p"), F.col("score"))).alias(f"precision_at_{round(w * 100)}_recall") for w in wanted]
+    return curve(scores, by).where("p > 0").groupBy(*key).agg(*at)
+
+
+def class_report(scores: DataFrame, threshold: float) -> DataFrame:
+    """precision, recall, f1 and support of each class, their plain mean (macro) and their mean by support (weighted)."""
+    k = confusion(scores, threshold)
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(num(0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    one = lambda name, hit, wrong, missed: F.struct(F.lit(name).alias("class"), share(hit, hit + wrong).alias("precision"), share(hit, hit + missed).alias("recall"), share(2 * hit, 2 * hit + wrong + missed).alias("f1"), (hit + missed).alias("support"))
+    rows = k.select(F.explode(F.array(one("legitimate", tn, fn, fp), one("laundering", tp, fp, fn))).alias("x")).select("x.*")
+    n = F.sum("support")
+    figures = ("precision", "recall", "f1")
+    macro = rows.agg(F.lit("macro").alias("class"), *(F.avg(c).alias(c) for c in figures), n.alias("support"))
+    weighted = rows.agg(F.lit("weighted").alias("class"), *(F.coalesce(F.try_divide(F.sum(F.col(c) * F.col("support")), n), num(0)).alias(c) for c in figures), n.alias("support"))
+    return rows.unionByName(macro).unionByName(weighted)
+
+
 def confusion(scores: DataFrame, threshold: float | None = None, by: str | None = None) -> DataFrame:
     """Counts and rates at a threshold (a column ``threshold`` if none is given)."""
     hit = (F.col("score") >= (F.col("threshold") if threshold is None else num(threshold))).cast("int")

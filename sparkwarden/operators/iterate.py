@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the cluster shares; a local folder is made only where none is set."""
+    """A checkpoint in the folder that the cluster shares: spark.checkpoint.dir, or where that is unset one in the warehouse."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkwarden-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/sparkwarden-checkpoints")
     return df.checkpoint(eager=True)

@@ -7,26 +7,23 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..config import GraphConfig, RuleConfig
+from ..config import RuleConfig
 from ..functions.columns import num, rounded
 from ..operators import alerts as al, evaluation as ev, features as fe, graph as gr, ml, paths, report as rp, rules as ru, triage as tr
+from ..operators.iterate import cut
 from ..sources import ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MADE: dict[str, Callable] = {}
 
-# The test ledger has fewer transactions an hour than real ones and no silences, so some thresholds are lower here.
-RULES = RuleConfig(velocity=((1, 2), (24, 6)))
-TRIPS = RuleConfig(trip_max_hops=3, trip_min_amount=15_000.0)
-GRAPH = GraphConfig(min_amount=12_000.0)
+# The test ledger has fewer transactions an hour than real ones, so the thresholds of its four windows are lower here.
+RULES = RuleConfig(velocity=((1, 2), (6, 3), (24, 6), (168, 12)))
 AS_OF = "2024-02-10 00:00:00"
 
 
 def query(name: str, sql: str | None = None):
     def keep(f):
-        MADE[name] = f
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if sql is not None:
             SQL[name] = sql
@@ -64,6 +61,31 @@ def _(spark, d):
     return ledger.calendar(events(spark, d)).select("transaction_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "from_id", "to_id", "amount", "payment_format", "is_laundering", "hour", "day_of_week")
 
 
+RAW = f"""{O}, w AS (SELECT CASE WHEN transaction_id % 97 = 0 THEN 'not a time' ELSE strftime(ts, '%Y/%m/%d %H:%M') END AS t, ' 0' || from_bank || ' ' AS fb, from_id AS fa, to_bank AS tb, to_id AS ta, CASE WHEN transaction_id % 89 = 0 THEN 'n/a' ELSE CAST(amount AS VARCHAR) END AS rec,
+  'usd' AS rc, CAST(amount * 0.5e0 AS VARCHAR) AS paid, CASE WHEN transaction_id % 5 = 0 THEN ' Eur' ELSE 'Usd' END AS pc, ['Cheque', 'ACH', 'Wire', 'Credit Card', 'Cash', 'Reinvestment', 'Bitcoin'][transaction_id % 7 + 1] AS pf, CASE WHEN transaction_id % 83 = 0 THEN '' ELSE CAST(transaction_id % 2 AS VARCHAR) END AS y, ts, amount, transaction_id AS k FROM o),
+c AS (SELECT k, CAST(ts AS DATE) AS day, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS day_of_week, trim(fb) AS from_bank, trim(fb) || '_' || fa AS from_id, tb || '_' || ta AS to_id, coalesce(TRY_CAST(rec AS DOUBLE), 0) AS amount_received, TRY_CAST(paid AS DOUBLE) AS amount_paid, upper(trim(pc)) AS payment_currency,
+  upper(trim(rc)) AS receiving_currency, pf AS payment_format, CASE pf WHEN 'Cheque' THEN 'check' WHEN 'ACH' THEN 'ach' WHEN 'Wire' THEN 'wire' WHEN 'Credit Card' THEN 'credit_card' WHEN 'Cash' THEN 'cash' WHEN 'Reinvestment' THEN 'reinvestment' ELSE 'other' END AS payment_format_normalized, coalesce(TRY_CAST(y AS INTEGER), 0) AS is_laundering, ts FROM w WHERE t <> 'not a time')"""
+
+
+@query("ledger_raw", f"""WITH {RAW} SELECT row_number() OVER (ORDER BY ts, from_id, to_id, greatest(amount_paid, amount_received)) - 1 AS transaction_id, strftime(day, '%Y-%m-%d') AS date, hour, day_of_week, from_bank, from_id, to_id, round(amount_paid, 6) AS amount_paid, round(amount_received, 6) AS amount_received,
+  round(greatest(amount_paid, amount_received), 6) AS amount, payment_currency, receiving_currency, (payment_currency <> receiving_currency)::INTEGER AS is_cross_currency, payment_format, payment_format_normalized, is_laundering FROM c""")
+def _(spark, d):
+    """Orders written as a raw ledger, with unreadable times, amounts and labels, spaces, mixed case and an unknown format, and cleaned."""
+    o, k = orders(spark, d), F.col("transaction_id")
+    kinds = F.array(*map(F.lit, ("Cheque", "ACH", "Wire", "Credit Card", "Cash", "Reinvestment", "Bitcoin")))
+    values = (
+        F.when(k % 97 == 0, "not a time").otherwise(F.date_format("timestamp", "yyyy/MM/dd HH:mm")), F.concat(F.lit(" 0"), "from_bank", F.lit(" ")), F.col("from_id"), F.col("to_bank"), F.col("to_id"),
+        F.when(k % 89 == 0, "n/a").otherwise(F.col("amount").cast("string")), F.lit("usd"), (F.col("amount") * num(0.5)).cast("string"), F.when(k % 5 == 0, " Eur").otherwise("Usd"),
+        F.element_at(kinds, (k % 7 + 1).cast("int")), F.when(k % 83 == 0, "").otherwise((k % 2).cast("string")),
+    )
+    raw = o.select(*(v.alias(c) for v, c in zip(values, ledger.RAW_COLUMNS)))
+    out = ledger.clean(raw).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+    return out.select(
+        "transaction_id", "date", "hour", "day_of_week", "from_bank", "from_id", "to_id", "amount_paid", "amount_received", "amount", "payment_currency", "receiving_currency",
+        "is_cross_currency", "payment_format", "payment_format_normalized", "is_laundering",
+    )
+
+
 @query("ledger_number", f"WITH {O} SELECT transaction_id AS order_id, row_number() OVER (ORDER BY ts, from_id, to_id, amount, transaction_id) - 1 AS transaction_id FROM o")
 def _(spark, d):
     df = orders(spark, d).withColumnRenamed("transaction_id", "order_id")
@@ -110,10 +132,11 @@ def _(spark, d):
     return df.withColumns({c: F.unix_micros(c).cast("string") for c in ("out_first", "out_last", "in_first", "in_last")})
 
 
-@query("account_history", f"""WITH {E}, a AS (SELECT from_id AS account_id, count(*) AS out_count, sum(amount) AS out_sum, stddev_samp(amount) AS out_std FROM e GROUP BY 1), b AS (SELECT to_id AS account_id, count(*) AS in_count, sum(amount) AS in_sum FROM e GROUP BY 1)
-  SELECT account_id, {_z('out_count')}, {_z('out_sum', 'D')}, {_z('out_std', 'D')}, {_z('in_count')}, {_z('in_sum', 'D')} FROM a FULL JOIN b USING (account_id)""")
+@query("account_history", f"""WITH {E}, a AS (SELECT from_id AS account_id, count(*) AS out_count, sum(amount) AS out_sum, avg(amount) AS out_mean, max(amount) AS out_max, stddev_samp(amount) AS out_std, min(ts) AS out_first, max(ts) AS out_last FROM e GROUP BY 1),
+  b AS (SELECT to_id AS account_id, count(*) AS in_count, sum(amount) AS in_sum, avg(amount) AS in_mean, max(amount) AS in_max FROM e GROUP BY 1)
+  SELECT account_id, {_z('out_count')}, {', '.join(_z(c, 'D') for c in ('out_sum', 'out_mean', 'out_max', 'out_std', 'in_sum', 'in_mean', 'in_max'))}, {_z('in_count')}, {_us('out_first')}, {_us('out_last')} FROM a FULL JOIN b USING (account_id)""")
 def _(spark, d):
-    return ru.account_history(events(spark, d)).select("account_id", "out_count", "out_sum", "out_std", "in_count", "in_sum")
+    return ru.account_history(events(spark, d)).withColumns({c: F.unix_micros(c).cast("string") for c in ("out_first", "out_last")})
 
 
 @query("time_split", f"WITH {O} SELECT transaction_id, row_number() OVER (ORDER BY ts, transaction_id) <= floor((SELECT count(*) FROM o) * 0.8e0) AS is_train FROM o")
@@ -127,35 +150,40 @@ W = "OVER (PARTITION BY from_id ORDER BY ts RANGE BETWEEN {} AND {})"
 STRUCT = """least(1e0, CASE WHEN inr = 1 THEN 0.4e0 ELSE 0e0 END + CASE WHEN amount >= 9000e0 AND amount < 10000e0 THEN 0.2e0 ELSE 0e0 END + CASE WHEN inr = 1 AND ahead >= 2 THEN least(0.4e0, 0.1e0 * ahead) ELSE 0e0 END
   + CASE WHEN amount >= 9500e0 AND amount < 10000e0 AND amount % 100 < 10 THEN 0.1e0 ELSE 0e0 END + CASE WHEN amount >= 4750e0 AND amount < 5000e0 AND amount % 100 < 10 THEN 0.1e0 ELSE 0e0 END + CASE WHEN amount >= 2850e0 AND amount < 3000e0 AND amount % 100 < 10 THEN 0.1e0 ELSE 0e0 END)"""
 VELO = lambda c, t: f"CASE WHEN {c} >= {t} THEN least(1e0, 0.3e0 + 0.2e0 * ({c} / {t}e0 - 1)) ELSE 0e0 END"
+TRIP = """tb AS (SELECT * FROM e WHERE amount >= 1000 AND ts >= (SELECT max(ts) FROM e) - INTERVAL 30 DAY), te AS (SELECT DISTINCT from_id AS s, to_id AS d FROM tb WHERE from_id <> to_id),
+tk AS (SELECT * FROM te WHERE s IN (SELECT d FROM te) AND d IN (SELECT s FROM te)),
+t2 AS (SELECT a.s, a.d FROM tk a JOIN tk b ON b.s = a.d AND b.d = a.s), t3 AS (SELECT DISTINCT a.s, a.d FROM tk a JOIN tk b ON b.s = a.d AND b.d <> a.s JOIN tk c ON c.s = b.d AND c.d = a.s),
+tp AS (SELECT a.s, b.d, list(a.d) AS mids FROM tk a JOIN tk b ON b.s = a.d AND b.d <> a.s GROUP BY 1, 2),
+t4 AS (SELECT DISTINCT a.s, a.d FROM tk a JOIN tp p ON p.s = a.d AND p.d <> a.s JOIN tk f ON f.s = p.d AND f.d = a.s WHERE len(p.mids) > list_contains(p.mids, a.s)::INTEGER),
+t5 AS (SELECT DISTINCT s, d FROM (SELECT a.s, a.d, len(p.mids) - list_contains(p.mids, a.s)::INTEGER AS m, len(q.mids) - list_contains(q.mids, a.d)::INTEGER AS n, len(list_intersect(p.mids, q.mids)) AS both_ FROM tk a JOIN tp p ON p.s = a.d AND p.d <> a.s JOIN tp q ON q.s = p.d AND q.d = a.s)
+  WHERE m > 0 AND n > 0 AND NOT (m = 1 AND n = 1 AND both_ = 1)),
+tl AS (SELECT s, d, max(h) AS hops FROM (SELECT s, d, 2 AS h FROM t2 UNION ALL SELECT s, d, 3 FROM t3 UNION ALL SELECT s, d, 4 FROM t4 UNION ALL SELECT s, d, 5 FROM t5) GROUP BY 1, 2),
+trip AS (SELECT transaction_id, CASE WHEN from_id = to_id THEN 0.7e0 WHEN hops IS NOT NULL THEN least(1e0, 0.5e0 + 0.1e0 * hops) ELSE 0e0 END AS t FROM tb LEFT JOIN tl ON tl.s = from_id AND tl.d = to_id)"""
 SCORED = f"""{E}, r0 AS (SELECT *, CASE WHEN amount BETWEEN 8000e0 AND 9999.99e0 THEN 1 ELSE 0 END AS inr FROM e),
-r1 AS (SELECT *, sum(inr) {W.format('CURRENT ROW', 'INTERVAL 24 HOUR FOLLOWING')} AS ahead, count(*) {W.format('INTERVAL 1 HOUR PRECEDING', 'CURRENT ROW')} AS c1, count(*) {W.format('INTERVAL 24 HOUR PRECEDING', 'CURRENT ROW')} AS c24 FROM r0),
+r1 AS (SELECT *, sum(inr) {W.format('CURRENT ROW', 'INTERVAL 24 HOUR FOLLOWING')} AS ahead, {', '.join(f"count(*) {W.format(f'INTERVAL {h} HOUR PRECEDING', 'CURRENT ROW')} AS c{h}" for h, _ in RULES.velocity)} FROM r0),
 big AS (SELECT * FROM e WHERE amount >= 5000),
 infl AS (SELECT i.transaction_id, i.to_id AS acct, i.ts, sum(b.amount) / i.amount AS r, count(*) AS n FROM big i JOIN big b ON b.from_id = i.to_id AND b.ts BETWEEN i.ts AND i.ts + INTERVAL 4 HOUR GROUP BY i.transaction_id, i.to_id, i.ts, i.amount),
 hit AS (SELECT *, least(1e0, 0.3e0 + 0.3e0 * r + CASE WHEN n > 1 THEN 0.2e0 ELSE 0e0 END) AS s FROM infl WHERE r >= 0.8e0),
 rapid AS (SELECT transaction_id, max(s) AS s FROM (SELECT transaction_id, s FROM hit UNION ALL SELECT b.transaction_id, 0.8e0 * h.s FROM hit h JOIN big b ON b.from_id = h.acct AND b.ts BETWEEN h.ts AND h.ts + INTERVAL 4 HOUR) GROUP BY 1),
-r2 AS (SELECT r1.*, {STRUCT} AS rule_structuring_score, coalesce(rapid.s, 0e0) AS rule_rapid_movement_score, greatest({VELO('c1', 2)}, {VELO('c24', 6)}) AS rule_velocity_score FROM r1 LEFT JOIN rapid USING (transaction_id)),
-scored AS (SELECT *, least(1e0, (0.25e0 * rule_structuring_score + 0.20e0 * rule_rapid_movement_score + 0.10e0 * rule_velocity_score) / 0.55e0) AS rule_composite_score,
-  CAST(rule_structuring_score > 0 AS INTEGER) + CAST(rule_rapid_movement_score > 0 AS INTEGER) + CAST(rule_velocity_score > 0 AS INTEGER) AS rule_trigger_count, greatest(rule_structuring_score, rule_rapid_movement_score, rule_velocity_score) AS rule_max_score FROM r2)"""
+{TRIP},
+r2 AS (SELECT r1.*, {STRUCT} AS rule_structuring_score, coalesce(rapid.s, 0e0) AS rule_rapid_movement_score, coalesce(trip.t, 0e0) AS rule_round_tripping_score, greatest({', '.join(VELO(f'c{h}', t) for h, t in RULES.velocity)}) AS rule_velocity_score
+  FROM r1 LEFT JOIN rapid USING (transaction_id) LEFT JOIN trip USING (transaction_id)),
+scored AS (SELECT *, least(1e0, (0.25e0 * rule_structuring_score + 0.20e0 * rule_rapid_movement_score + 0.30e0 * rule_round_tripping_score + 0.10e0 * rule_velocity_score) / 0.85e0) AS rule_composite_score,
+  CAST(rule_structuring_score > 0 AS INTEGER) + CAST(rule_rapid_movement_score > 0 AS INTEGER) + CAST(rule_round_tripping_score > 0 AS INTEGER) + CAST(rule_velocity_score > 0 AS INTEGER) AS rule_trigger_count,
+  greatest(rule_structuring_score, rule_rapid_movement_score, rule_round_tripping_score, rule_velocity_score) AS rule_max_score FROM r2)"""
 
 
 def scored(spark, d):
-    df = events(spark, d)
-    for rule in (ru.rapid_movement, ru.structuring, ru.velocity):
-        df = rule(df, RULES)
-    return ru.combine(df, RULES)
-
-
-def scored_full(spark, d):
-    """With round trips by the production settings."""
+    """The four rules that the events ledger has columns for, written once for all that reads them."""
     df = events(spark, d)
     for rule in (ru.rapid_movement, ru.round_tripping, ru.structuring, ru.velocity):
         df = rule(df, RULES)
-    return ru.combine(df, RULES)
+    return cut(ru.combine(df, RULES))
 
 
-def full_scores(spark, d, score=scored):
-    """With 0 for the rules that ``score`` lacks: the two that the events ledger has no columns or times for, and in the SQL's queries round trips."""
-    df = score(spark, d)
+def full_scores(spark, d, df=None):
+    """With 0 for the two rules that the events ledger has no columns or times for."""
+    df = scored(spark, d) if df is None else df
     return df.withColumns({ru.score_name(r): num(0) for r in ru.RULES if ru.score_name(r) not in df.columns})
 
 
@@ -174,17 +202,8 @@ def _(spark, d):
     return ru.velocity(events(spark, d), RULES).select("transaction_id", "rule_velocity_score")
 
 
-@query("rule_round_tripping", f"""WITH {E}, b AS (SELECT * FROM e WHERE amount >= 15000 AND ts >= (SELECT max(ts) FROM e) - INTERVAL 30 DAY), g AS (SELECT DISTINCT from_id AS s, to_id AS d FROM b WHERE from_id <> to_id),
-  two AS (SELECT g.s, g.d FROM g JOIN g h ON h.s = g.d AND h.d = g.s), three AS (SELECT DISTINCT g.s, g.d FROM g JOIN g h ON h.s = g.d AND h.d <> g.s JOIN g k ON k.s = h.d AND k.d = g.s)
-  SELECT transaction_id, CASE WHEN amount < 15000 OR b_id IS NULL THEN 0e0 WHEN from_id = to_id THEN 0.7e0 WHEN t3 THEN 0.8e0 WHEN t2 THEN 0.7e0 ELSE 0e0 END AS rule_round_tripping_score
-  FROM e LEFT JOIN (SELECT transaction_id AS b_id FROM b) ON b_id = transaction_id LEFT JOIN (SELECT s, d, true AS t2 FROM two) x ON x.s = from_id AND x.d = to_id LEFT JOIN (SELECT s, d, true AS t3 FROM three) y ON y.s = from_id AND y.d = to_id""")
-def _(spark, d):
-    return ru.round_tripping(events(spark, d), TRIPS).select("transaction_id", "rule_round_tripping_score")
-
-
-@query("rule_round_tripping_full")
+@query("rule_round_tripping", f"WITH {E}, {TRIP} SELECT transaction_id, round(coalesce(t, 0e0), 6) AS rule_round_tripping_score FROM e LEFT JOIN trip USING (transaction_id)")
 def _(spark, d):
-    """By the production settings (5 hops, 1,000) over all events; the SQL above has 3 hops and 15,000."""
     return ru.round_tripping(events(spark, d)).select("transaction_id", "rule_round_tripping_score")
 
 
@@ -204,12 +223,12 @@ def _(spark, d):
 
 
 @query("rule_composite", f"WITH {SCORED} SELECT transaction_id, {R('rule_composite_score', 'rule_max_score')}, CAST(round(rule_composite_score, 12) > 0.3e0 AS INTEGER) AS rule_flagged, rule_trigger_count FROM scored")
-def _(spark, d, score=scored):
-    df = score(spark, d).withColumn("rule_flagged", (F.round("rule_composite_score", 12) > num(0.3)).cast("int"))
+def _(spark, d):
+    df = scored(spark, d).withColumn("rule_flagged", (F.round("rule_composite_score", 12) > num(0.3)).cast("int"))
     return df.select("transaction_id", "rule_composite_score", "rule_max_score", "rule_flagged", "rule_trigger_count")
 
 
-_RULE_NAMES = (("structuring", 0.25), ("rapid_movement", 0.20), ("velocity", 0.10))
+_RULE_NAMES = (("structuring", 0.25), ("rapid_movement", 0.20), ("round_tripping", 0.30), ("velocity", 0.10))
 
 
 @query("rule_stats", f"WITH {SCORED} " + " UNION ALL ".join(f"SELECT '{r}' AS rule, {w}e0 AS weight, count(*) FILTER (rule_{r}_score > 0) AS n_triggered FROM scored" for r, w in _RULE_NAMES))
@@ -294,27 +313,22 @@ def _(spark, d):
 
 @query("feat_all")
 def _(spark, d):
-    return fe.engineer(events(spark, d), scored_full(spark, d))
+    return fe.engineer(events(spark, d), scored(spark, d))
 
 
 # --- graph
 
-G = f"{E}, b AS (SELECT * FROM e WHERE amount >= 12000 AND ts >= (SELECT max(ts) FROM e) - INTERVAL 30 DAY), g AS (SELECT from_id AS src, to_id AS dst, sum(amount) AS amount, count(*) AS txn_count, avg(amount) AS mean_amount, max(amount) AS max_amount, max(is_laundering) AS is_laundering FROM b GROUP BY 1, 2)"
+G = f"{E}, b AS (SELECT * FROM e WHERE amount >= 100 AND ts >= (SELECT max(ts) FROM e) - INTERVAL 30 DAY), g AS (SELECT from_id AS src, to_id AS dst, sum(amount) AS amount, count(*) AS txn_count, avg(amount) AS mean_amount, max(amount) AS max_amount, max(is_laundering) AS is_laundering, min(ts) AS first_seen, max(ts) AS last_seen FROM b GROUP BY 1, 2)"
 V = f"{G}, nodes AS (SELECT src AS id FROM g UNION SELECT dst FROM g)"
 
 
 def edges(spark, d):
-    return gr.build_edges(events(spark, d), GRAPH)
-
-
-def whole_edges(spark, d):
-    """All flows by the production settings."""
     return gr.build_edges(events(spark, d))
 
 
-@query("graph_edges", f"WITH {G} SELECT src, dst, {R('amount', 'mean_amount', 'max_amount')}, txn_count, is_laundering FROM g")
+@query("graph_edges", f"WITH {G} SELECT src, dst, {R('amount', 'mean_amount', 'max_amount')}, txn_count, is_laundering, {_us('first_seen')}, {_us('last_seen')} FROM g")
 def _(spark, d):
-    return edges(spark, d).drop("first_seen", "last_seen")
+    return edges(spark, d).withColumns({c: F.unix_micros(c).cast("string") for c in ("first_seen", "last_seen")})
 
 
 VERT = "v AS (SELECT id, coalesce(od, 0) AS out_degree, coalesce(f, 0) AS out_flow, coalesce(idg, 0) AS in_degree, coalesce(i, 0) AS in_flow FROM nodes LEFT JOIN (SELECT src AS id, count(*) AS od, sum(amount) AS f FROM g GROUP BY 1) USING (id) LEFT JOIN (SELECT dst AS id, count(*) AS idg, sum(amount) AS i FROM g GROUP BY 1) USING (id))"
@@ -335,13 +349,10 @@ def _(spark, d):
     return gr.degree_centrality(edges(spark, d))
 
 
-CYC = """s AS (SELECT DISTINCT src, dst FROM g WHERE src <> dst), c2 AS (SELECT a.src AS x1, a.dst AS x2 FROM s a JOIN s b ON b.src = a.dst AND b.dst = a.src WHERE a.src < a.dst),
-  c3 AS (SELECT a.src AS x1, a.dst AS x2, b.dst AS x3 FROM s a JOIN s b ON b.src = a.dst JOIN s c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND b.dst <> a.dst)"""
-
-
-@query("graph_cycles", f"WITH {G}, {CYC} SELECT x1 || '>' || x2 AS cycle, 2 AS length FROM c2 UNION ALL SELECT x1 || '>' || x2 || '>' || x3, 3 FROM c3")
+@query("graph_cycles")
 def _(spark, d):
-    return paths.cycles(edges(spark, d), 3).select(F.array_join("cycle", ">").alias("cycle"), "length")
+    found = gr.AccountGraph().build(events(spark, d)).cycles()
+    return found.select(F.array_join("cycle", ">").alias("cycle"), "length")
 
 
 def _rank_sql(k: int) -> str:
@@ -354,7 +365,7 @@ def _rank_sql(k: int) -> str:
 
 @query("graph_pagerank_k", _rank_sql(5))
 def _(spark, d):
-    return gr.pagerank(edges(spark, d), GRAPH, iterations=5)
+    return gr.pagerank(edges(spark, d), iterations=5)
 
 
 NEAR = "nb AS (SELECT src AS v, dst AS u FROM g UNION SELECT dst, src FROM g), sz AS (SELECT v, count(*) AS n FROM nb GROUP BY 1)"
@@ -375,7 +386,7 @@ def _(spark, d):
     return paths.induced(e.select("src", "dst", "amount"), paths.neighbourhood(e, seeds, 2, 60))
 
 
-TRAIL = "(SELECT src, dst, amount FROM g WHERE amount >= 15000 AND src <> dst)"
+TRAIL = "(SELECT src, dst, amount FROM g WHERE src <> dst)"
 
 
 @query("graph_paths", f"""WITH {G}, t AS {TRAIL}, p1 AS (SELECT src AS a, dst AS b FROM t WHERE src = 'A1'), p2 AS (SELECT a, b, t.dst AS c FROM p1 LEFT JOIN t ON t.src = b), p3 AS (SELECT a, b, c, t.dst AS d FROM (SELECT * FROM p2 WHERE c IS NOT NULL AND c <> a) LEFT JOIN t ON t.src = c)
@@ -384,8 +395,7 @@ TRAIL = "(SELECT src, dst, amount FROM g WHERE amount >= 15000 AND src <> dst)"
   UNION ALL SELECT a || '>' || b || '>' || c FROM (SELECT a, b, c FROM p2 WHERE c IS NOT NULL AND c <> a EXCEPT SELECT a, b, c FROM p3 WHERE d IS NOT NULL AND d NOT IN (a, b))
   UNION ALL SELECT a || '>' || b || '>' || c || '>' || d FROM p3 WHERE d IS NOT NULL""")
 def _(spark, d):
-    e = edges(spark, d).where("amount >= 15000")
-    found = paths.money_trails(e, "A1", 3)
+    found = paths.money_trails(edges(spark, d), "A1", 3)
     return found.select(F.concat_ws(">", F.col("path")[0]["src"], F.transform("path", lambda x: x["dst"])).alias("path"))
 
 
@@ -412,29 +422,24 @@ def _(spark, d):
     return gr.clustering(edges(spark, d))
 
 
-@query("graph_summary", f"""WITH RECURSIVE {V}, {SCC}, {CLUS}, {CYC}, nb AS (SELECT src AS v, dst AS u FROM g UNION SELECT dst, src FROM g), reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, nb.u FROM reach JOIN nb ON nb.v = reach.r), wc AS (SELECT id, min(r) AS component FROM reach GROUP BY 1),
-  k AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(DISTINCT component) FROM wc) AS weak_components, (SELECT count(*) FROM g) AS edges, (SELECT count(DISTINCT component) FROM sc) AS strong_components, (SELECT round(avg(clustering), 6) FROM cl) AS mean_clustering, (SELECT count(*) FROM c2) + (SELECT count(*) FROM c3) AS cycles)
-  SELECT *, round(edges / (nodes * (nodes - 1))::DOUBLE, 6) AS density, (weak_components = 1)::INTEGER AS weakly_connected FROM k""")
+@query("graph_summary")
 def _(spark, d):
-    e = edges(spark, d)
-    return gr.summary(e, cycle=paths.cycles(e, 3))
+    return gr.AccountGraph().build(events(spark, d)).summary()
 
 
 @query("graph_communities")
 def _(spark, d):
-    return gr.communities(whole_edges(spark, d))
+    return gr.communities(edges(spark, d))
 
 
 @query("graph_betweenness")
 def _(spark, d):
-    return gr.betweenness(whole_edges(spark, d))
+    return gr.betweenness(edges(spark, d))
 
 
-@query("graph_suspicious", f"WITH {V}, {VERT}, {CYC}, ic AS (SELECT x1 AS id FROM c2 UNION SELECT x2 FROM c2 UNION SELECT x1 FROM c3 UNION SELECT x2 FROM c3 UNION SELECT x3 FROM c3) SELECT v.id AS account_id, round(0.2e0 * (ic.id IS NOT NULL)::INTEGER + 0.1e0 * least(1e0, out_degree / 50e0) + 0.1e0 * least(1e0, in_degree / 50e0), 6) AS suspicion_score FROM v LEFT JOIN ic ON ic.id = v.id")
+@query("graph_suspicious")
 def _(spark, d):
-    e = edges(spark, d)
-    cyc = paths.cycles(e, 3).select(F.explode("cycle").alias("id")).distinct().withColumn("in_cycle", F.lit(1))
-    return gr.suspicion(gr.vertices(e).join(cyc, "id", "left").withColumns({"betweenness": num(0), "pagerank": num(0)}))
+    return gr.AccountGraph().build(events(spark, d)).scores()
 
 
 @query("graph_features")
@@ -442,137 +447,55 @@ def _(spark, d):
     return gr.AccountGraph().build(events(spark, d)).features(events(spark, d))
 
 
-# The queries above whose SQL has 12,000 as the least amount; here with the production settings over all flows, and the same SQL but for that.
-
-
-def _whole_sql(name: str) -> str:
-    return SQL[name].replace("amount >= 12000", "amount >= 100").replace("WHERE amount >= 15000 AND src <> dst", "WHERE src <> dst")
-
-
-@query("graph_edges_full", _whole_sql("graph_edges"))
-def _(spark, d):
-    return whole_edges(spark, d).drop("first_seen", "last_seen")
-
-
-@query("graph_nodes_full", _whole_sql("graph_nodes"))
-def _(spark, d):
-    return gr.vertices(whole_edges(spark, d))
-
-
-@query("graph_top_edges_full", _whole_sql("graph_top_edges"))
-def _(spark, d):
-    return gr.top_edges(whole_edges(spark, d), 50).select("src", "dst", "amount")
-
-
-@query("graph_degree_centrality_full", _whole_sql("graph_degree_centrality"))
-def _(spark, d):
-    return gr.degree_centrality(whole_edges(spark, d))
-
-
-@query("graph_pagerank_k_full", _whole_sql("graph_pagerank_k"))
-def _(spark, d):
-    return gr.pagerank(whole_edges(spark, d), iterations=5)
-
-
-@query("graph_jaccard_full", _whole_sql("graph_jaccard"))
-def _(spark, d):
-    return gr.neighbour_jaccard(events(spark, d), whole_edges(spark, d))
-
-
-@query("graph_subgraph_full", _whole_sql("graph_subgraph"))
-def _(spark, d):
-    e = whole_edges(spark, d)
-    seeds = spark.createDataFrame([("A1",), ("A7",)], "node string")
-    return paths.induced(e.select("src", "dst", "amount"), paths.neighbourhood(e, seeds, 2, 60))
-
-
-@query("graph_paths_full", _whole_sql("graph_paths"))
-def _(spark, d):
-    found = paths.money_trails(whole_edges(spark, d), "A1", 3)
-    return found.select(F.concat_ws(">", F.col("path")[0]["src"], F.transform("path", lambda x: x["dst"])).alias("path"))
-
-
-@query("graph_wcc_full", _whole_sql("graph_wcc"))
-def _(spark, d):
-    return gr.weak_components(whole_edges(spark, d))
-
-
-@query("graph_scc_full", _whole_sql("graph_scc"))
-def _(spark, d):
-    c = gr.strong_components(whole_edges(spark, d))
-    return c.join(c.groupBy("component").agg(F.count("*").alias("component_size")), "component").select("id", "component_size")
-
-
-@query("graph_clustering_full", _whole_sql("graph_clustering"))
-def _(spark, d):
-    return gr.clustering(whole_edges(spark, d))
-
-
-@query("graph_cycles_full")
-def _(spark, d):
-    found = gr.AccountGraph().build(events(spark, d)).cycles()
-    return found.select(F.array_join("cycle", ">").alias("cycle"), "length")
-
-
-@query("graph_suspicious_full")
-def _(spark, d):
-    return gr.AccountGraph().build(events(spark, d)).scores()
-
-
-@query("graph_summary_full")
-def _(spark, d):
-    return gr.AccountGraph().build(events(spark, d)).summary()
-
-
 # --- alerts
 
 ML = "(transaction_id * 7919 % 1000) / 1000e0"
 ENS = f"{SCORED}, en AS (SELECT *, {ML} AS ml_score, least(1e0, round(0.30e0 * rule_composite_score + 0.45e0 * {ML}, 9)) AS ensemble_score FROM scored), ca AS (SELECT * FROM en WHERE ensemble_score >= 0.5e0)"
 ENT_ALERT = """al AS (SELECT from_id AS entity_id, max(ensemble_score) AS ensemble_score, avg(ensemble_score) AS mean_score, max(ml_score) AS ml_score, count(*) AS transaction_count, sum(amount) AS total_amount, max(amount) AS max_amount, min(ts) AS first_seen, max(ts) AS last_seen,
-  concat_ws(',', CASE WHEN max(rule_structuring_score) > 0 THEN 'structuring' END, CASE WHEN max(rule_rapid_movement_score) > 0 THEN 'rapid_movement' END, CASE WHEN max(rule_velocity_score) > 0 THEN 'velocity' END) AS triggered_rules FROM ca GROUP BY 1)"""
+  concat_ws(',', CASE WHEN max(rule_structuring_score) > 0 THEN 'structuring' END, CASE WHEN max(rule_rapid_movement_score) > 0 THEN 'rapid_movement' END, CASE WHEN max(rule_round_tripping_score) > 0 THEN 'round_tripping' END, CASE WHEN max(rule_velocity_score) > 0 THEN 'velocity' END) AS triggered_rules FROM ca GROUP BY 1)"""
 SEV = "CASE WHEN ensemble_score >= 0.8e0 THEN 'HIGH' WHEN ensemble_score >= 0.6e0 THEN 'MEDIUM' ELSE 'LOW' END"
 CLS = f"""{ENS}, {ENT_ALERT}, cl AS (SELECT *, {SEV} AS severity, upper(substr(sha256(entity_id || '|' || strftime(first_seen, '%Y-%m-%d %H:%M:%S') || '|' || strftime(last_seen, '%Y-%m-%d %H:%M:%S')), 1, 12)) AS alert_id, last_seen AS created_at FROM al),
   st AS (SELECT *, created_at + CASE severity WHEN 'HIGH' THEN INTERVAL 24 HOUR WHEN 'MEDIUM' THEN INTERVAL 72 HOUR ELSE INTERVAL 168 HOUR END AS sla_deadline, CASE ascii(alert_id) % 3 WHEN 0 THEN 'CLOSED' WHEN 1 THEN 'ESCALATED' ELSE 'OPEN' END AS status FROM cl)"""
 
 
-def ensembled(spark, d, score=scored):
-    df = full_scores(spark, d, score)
+def ensembled(spark, d, df=None):
+    df = full_scores(spark, d, df)
     fake = df.select("transaction_id", ((F.col("transaction_id") * 7919 % 1000) / num(1000)).alias("ml_score"))  # a stand-in that SQL can state
     return al.ensemble(df, fake).withColumn("ensemble_score", F.round("ensemble_score", 9))
 
 
-def entity_alerts(spark, d, score=scored):
-    return al.by_entity(al.candidates(ensembled(spark, d, score)))
+def entity_alerts(spark, d):
+    return al.by_entity(al.candidates(ensembled(spark, d)))
 
 
-def alert_table(spark, d, score=scored):
+def alert_table(spark, d):
     """Classified alerts, some of them followed up."""
-    df = al.classify(entity_alerts(spark, d, score))
+    df = al.classify(entity_alerts(spark, d))
     follow = df.select("alert_id", F.when(F.ascii("alert_id") % 3 == 0, "CLOSED").when(F.ascii("alert_id") % 3 == 1, "ESCALATED").otherwise("nonsense").alias("status"), F.lit(None).cast("string").alias("disposition"), F.col("created_at").alias("at"))
     return al.update_status(df, follow)
 
 
 @query("alert_ensemble", f"WITH {ENS} SELECT transaction_id, {R('ml_score', 'ensemble_score')} FROM en")
-def _(spark, d, score=scored):
-    return ensembled(spark, d, score).select("transaction_id", "ml_score", "ensemble_score")
+def _(spark, d):
+    return ensembled(spark, d).select("transaction_id", "ml_score", "ensemble_score")
 
 
 @query("alert_entity", f"WITH {ENS}, {ENT_ALERT} SELECT entity_id, {R('ensemble_score', 'mean_score', 'ml_score', 'total_amount', 'max_amount')}, transaction_count, triggered_rules FROM al")
-def _(spark, d, score=scored):
-    return entity_alerts(spark, d, score).select("entity_id", "ensemble_score", "mean_score", "ml_score", "total_amount", "max_amount", "transaction_count", F.array_join("triggered_rules", ",").alias("triggered_rules"))
+def _(spark, d):
+    return entity_alerts(spark, d).select("entity_id", "ensemble_score", "mean_score", "ml_score", "total_amount", "max_amount", "transaction_count", F.array_join("triggered_rules", ",").alias("triggered_rules"))
 
 
 SIDES = "sd AS (SELECT from_id AS entity_id, to_id AS cp, * FROM e UNION ALL SELECT to_id, from_id, * FROM e WHERE from_id <> to_id)"
 
 
 @query("alert_enrich", f"WITH {ENS}, {ENT_ALERT}, {SIDES} SELECT entity_id, count(DISTINCT cp) AS n_counterparties FROM sd SEMI JOIN al USING (entity_id) WHERE cp <> entity_id GROUP BY 1")
-def _(spark, d, score=scored):
-    return al.counterparties(events(spark, d), entity_alerts(spark, d, score)).select("entity_id", "n_counterparties")
+def _(spark, d):
+    return al.counterparties(events(spark, d), entity_alerts(spark, d)).select("entity_id", "n_counterparties")
 
 
 @query("alert_last_transactions", f"WITH {ENS}, {ENT_ALERT}, {SIDES}, rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, transaction_id DESC) AS k FROM sd SEMI JOIN al USING (entity_id)) SELECT entity_id, count(*) AS n, sum(transaction_id)::BIGINT AS ids FROM rk WHERE k <= 50 GROUP BY 1")
-def _(spark, d, score=scored):
-    out = al.last_transactions(events(spark, d), entity_alerts(spark, d, score))
+def _(spark, d):
+    out = al.last_transactions(events(spark, d), entity_alerts(spark, d))
     return out.select("entity_id", F.size("transactions").cast("long").alias("n"), F.aggregate("transactions", F.lit(0).cast("long"), lambda a, t: a + t["transaction_id"]).alias("ids"))
 
 
@@ -580,48 +503,48 @@ DUP = "two AS (SELECT entity_id, ensemble_score, transaction_count, total_amount
 
 
 @query("alert_dedup", f"WITH {ENS}, {ENT_ALERT}, {DUP} SELECT entity_id, round(least(1e0, max(ensemble_score) + 0.3e0 * (sum(ensemble_score) - max(ensemble_score))), 6) AS ensemble_score, sum(transaction_count)::BIGINT AS transaction_count, round(sum(total_amount), 4) AS total_amount FROM two GROUP BY 1")
-def _(spark, d, score=scored):
-    df = al.classify(entity_alerts(spark, d, score))
+def _(spark, d):
+    df = al.classify(entity_alerts(spark, d))
     both = df.unionByName(df.withColumn("entity_id", F.lit("X")))
     return al.deduplicate(both, "sum_score").select("entity_id", "ensemble_score", "transaction_count", F.round("total_amount", 4).alias("total_amount"))
 
 
 @query("alert_severity", f"WITH {CLS} SELECT alert_id, entity_id, severity, status, epoch_us(sla_deadline) AS sla_deadline FROM st")
-def _(spark, d, score=scored):
-    return alert_table(spark, d, score).select("alert_id", "entity_id", "severity", "status", F.unix_micros("sla_deadline").alias("sla_deadline"))
+def _(spark, d):
+    return alert_table(spark, d).select("alert_id", "entity_id", "severity", "status", F.unix_micros("sla_deadline").alias("sla_deadline"))
 
 
 @query("alert_queue", f"WITH {CLS} SELECT alert_id, severity, round(ensemble_score, 6) AS ensemble_score FROM st WHERE status = 'OPEN' ORDER BY CASE severity WHEN 'HIGH' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE 2 END, ensemble_score DESC, entity_id LIMIT 20")
-def _(spark, d, score=scored):
-    return al.queue(alert_table(spark, d, score), status="OPEN", limit=20).select("alert_id", "severity", "ensemble_score")
+def _(spark, d):
+    return al.queue(alert_table(spark, d), status="OPEN", limit=20).select("alert_id", "severity", "ensemble_score")
 
 
 @query("alert_dashboard", f"WITH {CLS} SELECT alert_id, severity, status, round(ensemble_score, 6) AS ensemble_score FROM st WHERE severity IN ('MEDIUM', 'LOW') AND status IN ('OPEN', 'ESCALATED') AND ensemble_score >= 0.52e0")
-def _(spark, d, score=scored):
-    return al.dashboard_queue(alert_table(spark, d, score), ["MEDIUM", "LOW"], ["OPEN", "ESCALATED"], 0.52).select("alert_id", "severity", "status", "ensemble_score")
+def _(spark, d):
+    return al.dashboard_queue(alert_table(spark, d), ["MEDIUM", "LOW"], ["OPEN", "ESCALATED"], 0.52).select("alert_id", "severity", "status", "ensemble_score")
 
 
 _cnt = lambda c, v: f"count(*) FILTER ({c} = '{v}') AS {c}_{v.lower()}"
 
 
 @query("alert_stats", f"WITH {CLS} SELECT count(*) AS total, {', '.join(_cnt('severity', v) for v in ('HIGH', 'MEDIUM', 'LOW'))}, {', '.join(_cnt('status', v) for v in al.STATUSES)}, round(avg(ensemble_score), 6) AS mean_score, round(stddev_pop(ensemble_score), 6) AS std_score, round(max(ensemble_score), 6) AS max_score, round(sum(total_amount), 4) AS total_amount FROM st")
-def _(spark, d, score=scored):
-    return al.statistics(alert_table(spark, d, score)).withColumn("total_amount", F.round("total_amount", 4))
+def _(spark, d):
+    return al.statistics(alert_table(spark, d)).withColumn("total_amount", F.round("total_amount", 4))
 
 
 @query("alert_rule_counts", f"WITH {CLS} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(triggered_rules, ',')) AS rule FROM st WHERE triggered_rules <> '') GROUP BY 1")
-def _(spark, d, score=scored):
-    return al.rule_counts(alert_table(spark, d, score))
+def _(spark, d):
+    return al.rule_counts(alert_table(spark, d))
 
 
 @query("alert_daily", f"WITH {CLS} SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS n FROM st GROUP BY 1")
-def _(spark, d, score=scored):
-    return al.daily_volume(alert_table(spark, d, score)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
+def _(spark, d):
+    return al.daily_volume(alert_table(spark, d)).withColumn("date", F.date_format("date", "yyyy-MM-dd"))
 
 
 @query("alert_histogram", f"WITH {CLS} SELECT severity, least(30, floor(ensemble_score * 30) + 1)::BIGINT AS bin, count(*) AS n FROM st GROUP BY 1, 2")
-def _(spark, d, score=scored):
-    return al.score_histogram(alert_table(spark, d, score))
+def _(spark, d):
+    return al.score_histogram(alert_table(spark, d))
 
 
 # --- evaluation
@@ -663,6 +586,24 @@ def _(spark, d):
     return ev.confusion(score_table(spark, d), 0.3)
 
 
+_par = lambda w: f"round(arg_max(tp::DOUBLE / (tp + fp), score) FILTER (tp >= {w}e0 * p), 6) AS precision_at_{round(w * 100)}_recall"
+
+
+@query("eval_precision_at_recall", f"WITH {CURVE} SELECT {', '.join(map(_par, (0.8, 0.9)))} FROM cv")
+def _(spark, d):
+    return ev.precision_at_recall(score_table(spark, d))
+
+
+_cls = lambda n, hit, wrong, missed: f"SELECT '{n}' AS class, {hit} / nullif({hit} + {wrong}, 0)::DOUBLE AS p, {hit} / nullif({hit} + {missed}, 0)::DOUBLE AS r, 2 * {hit} / nullif(2 * {hit} + {wrong} + {missed}, 0)::DOUBLE AS f, {hit} + {missed} AS support FROM k"
+
+
+@query("eval_class_report", f"""WITH {SC}, k AS (SELECT {CONF} FROM (SELECT *, 0.3e0 AS t FROM sc)), c AS ({_cls('legitimate', 'tn', 'fn', 'fp')} UNION ALL {_cls('laundering', 'tp', 'fp', 'fn')}),
+  z AS (SELECT class, coalesce(p, 0) AS p, coalesce(r, 0) AS r, coalesce(f, 0) AS f, support FROM c), a AS (SELECT * FROM z UNION ALL SELECT 'macro', avg(p), avg(r), avg(f), sum(support)::BIGINT FROM z UNION ALL SELECT 'weighted', sum(p * support) / sum(support), sum(r * support) / sum(support), sum(f * support) / sum(support), sum(support)::BIGINT FROM z)
+  SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS f1, support::BIGINT AS support FROM a""")
+def _(spark, d):
+    return ev.class_report(score_table(spark, d), 0.3)
+
+
 @query("eval_threshold", f"""WITH {SC}, th AS (SELECT i, 0.01e0 + i * (0.98e0 / 99) AS t FROM range(100) x(i)), k AS (SELECT i, t, {CONF} FROM sc, th GROUP BY 1, 2), r AS (SELECT round(t, 6) AS threshold, i, tp, fp, fn, tn, {RATES} FROM k)
   SELECT * EXCLUDE (i) FROM r ORDER BY recall >= 0.8e0 DESC, CASE WHEN recall >= 0.8e0 THEN f1 ELSE recall END DESC, i LIMIT 1""")
 def _(spark, d):
@@ -671,16 +612,16 @@ def _(spark, d):
 
 @query("eval_rules", f"WITH {SCORED}, l AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule, {'rule_' + r + '_score' if r in dict(_RULE_NAMES) else '0e0'} AS s, is_laundering AS y FROM scored" for r in ru.RULES) + """), k AS (SELECT rule, count(*) FILTER (s > 0) AS n_hits, avg((s > 0)::INTEGER) AS hr, coalesce(avg(s) FILTER (s > 0), 0) AS mw, count(*) FILTER (s > 0 AND y = 1) AS tp, sum(y) AS p FROM l GROUP BY 1)
   SELECT rule, n_hits, round(hr, 6) AS hit_rate, round(mw, 6) AS mean_when_hit, round(CASE WHEN n_hits > 0 THEN tp / n_hits::DOUBLE ELSE 0 END, 6) AS precision, round(tp / p::DOUBLE, 6) AS recall, round(2 * tp / (n_hits + p)::DOUBLE, 6) AS f1 FROM k""")
-def _(spark, d, score=scored):
-    return ev.rule_report(full_scores(spark, d, score))
+def _(spark, d):
+    return ev.rule_report(full_scores(spark, d))
 
 
 _col = lambda r: f"rule_{r}_score > 0" if r in dict(_RULE_NAMES) else "false"
 
 
 @query("eval_rule_overlap", f"WITH {SCORED}, k AS (" + " UNION ALL ".join(f"SELECT '{a}' AS rule_a, '{b}' AS rule_b, count(*) FILTER ({_col(a)} AND {_col(b)}) AS both_, count(*) FILTER ({_col(a)} OR {_col(b)}) AS n FROM scored" for i, a in enumerate(ru.RULES) for b in ru.RULES[i + 1 :]) + ") SELECT rule_a, rule_b, both_ AS both, round(CASE WHEN n > 0 THEN both_ / n::DOUBLE ELSE 0 END, 6) AS jaccard FROM k")
-def _(spark, d, score=scored):
-    return ev.rule_overlap(full_scores(spark, d, score))
+def _(spark, d):
+    return ev.rule_overlap(full_scores(spark, d))
 
 
 @query("eval_trigger_histogram", f"WITH {SCORED} SELECT rule_trigger_count, count(*) AS n FROM scored GROUP BY 1")
@@ -734,19 +675,10 @@ def _(spark, d):
 TEXTS = "cv AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)"
 
 
-@query("triage_parse", f"WITH {TEXTS}, w AS (SELECT conv_id, turn, substr(text, 1, 40) AS s FROM cv) SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN substr('no json ' || s, 1, 500) ELSE 'n' || turn END AS narrative_summary, CASE WHEN turn % 3 = 0 THEN 'CLOSE' ELSE 'CONTINUE_MONITORING' END AS recommended_disposition, turn % 3 = 2 AS parse_error FROM w")
-def _(spark, d):
-    said = F.substring(F.coalesce("text", F.lit("")), 1, 40)
-    plain = F.concat(F.lit("no json "), said)
-    body = F.concat(F.lit('Result: {"narrative_summary": "n'), F.col("turn").cast("string"), F.lit('", "recommended_disposition": "'), F.when(F.col("turn") % 3 == 0, "close").otherwise("odd"), F.lit('"} end'))
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 2, plain).otherwise(body).alias("response"))
-    return tr.validate(tr.parse(rows)).select("conv_id", "turn", "narrative_summary", "recommended_disposition", "parse_error")
-
-
 INNER = "regexp_extract(response, '(\\{[\\s\\S]*\\})', 1)"
 
 
-@query("triage_parse_full", f"""WITH {TEXTS}, w AS (SELECT conv_id, turn, text, 'no json ' || text AS response FROM cv), p AS (SELECT *, turn % 3 = 2 AND NOT ({INNER} <> '' AND json_valid({INNER})) AS bad FROM w)
+@query("triage_parse", f"""WITH {TEXTS}, w AS (SELECT conv_id, turn, text, 'no json ' || text AS response FROM cv), p AS (SELECT *, turn % 3 = 2 AND NOT ({INNER} <> '' AND json_valid({INNER})) AS bad FROM w)
   SELECT conv_id, turn, CASE WHEN turn % 3 <> 2 THEN text WHEN bad THEN substr(response, 1, 500) ELSE coalesce(json_extract_string({INNER}, '$.narrative_summary'), 'No summary available') END AS narrative_summary,
   CASE WHEN turn % 3 = 0 THEN 'CLOSE' ELSE 'CONTINUE_MONITORING' END AS recommended_disposition, bad AS parse_error FROM p""")
 def _(spark, d):
@@ -766,13 +698,14 @@ def _(spark, d):
     return tr.verify(df).select("transaction_id", "total_facts", "verified_facts", "verification_score", "verified")
 
 
-def full_alerts(spark, d, score=scored):
-    return al.generate(full_scores(spark, d, score), ensembled(spark, d, score).select("transaction_id", "ml_score"))
+def full_alerts(spark, d):
+    df = scored(spark, d)
+    return al.generate(full_scores(spark, d, df), ensembled(spark, d, df).select("transaction_id", "ml_score"))
 
 
 @query("triage_alerts")
 def _(spark, d):
-    return tr.triage(tr.chosen(full_alerts(spark, d, scored_full), 50))
+    return tr.triage(tr.chosen(full_alerts(spark, d), 50))
 
 
 OVER = ", ".join(f"count(*) FILTER (age > {h}) AS over_{h}h" for h in (24, 72, 168))
@@ -804,13 +737,13 @@ def _(spark, d):
 
 @query("sar_fields", f"""WITH {ENS}, {ENT_ALERT}, {SIDES}, rk AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, transaction_id DESC) AS k FROM sd SEMI JOIN al USING (entity_id))
   SELECT entity_id, count(*)::INTEGER AS n_transactions, round(sum(amount), 4) AS sum_amount, count(DISTINCT CASE WHEN cp <> entity_id THEN cp END)::INTEGER AS n_others, string_agg(DISTINCT payment_format, ',' ORDER BY payment_format) AS formats FROM rk WHERE k <= 50 GROUP BY 1""")
-def _(spark, d, score=scored):
-    return rp.sar_fields(full_alerts(spark, d, score)).select("entity_id", "n_transactions", F.round("sum_amount", 4).alias("sum_amount"), "n_others", F.array_join("formats", ",").alias("formats"))
+def _(spark, d):
+    return rp.sar_fields(full_alerts(spark, d)).select("entity_id", "n_transactions", F.round("sum_amount", 4).alias("sum_amount"), "n_others", F.array_join("formats", ",").alias("formats"))
 
 
 @query("sar_narratives")
 def _(spark, d):
-    return rp.sar_narrative(full_alerts(spark, d, scored_full), generated=F.lit(AS_OF).cast("timestamp"))
+    return rp.sar_narrative(full_alerts(spark, d), generated=F.lit(AS_OF).cast("timestamp"))
 
 
 @query("dormant_stream", """WITH g AS (SELECT o_orderkey AS transaction_id, 'C' || o_custkey AS from_id, datediff('day', lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_orderdate)::DOUBLE AS gap_days, o_totalprice AS amount FROM orders)
@@ -827,23 +760,6 @@ def _(spark, d):
     return spark.table("sparkwarden_dormant")
 
 
-@query("rule_stats_full")
-def _(spark, d):
-    return ru.statistics(scored_full(spark, d), replace(RULES, weights=(*_RULE_NAMES, ("round_tripping", 0.30))))
-
-
-def _with_trips(name: str) -> None:
-    """The query over scores with round trips, which its SQL does not have."""
-    query(f"{name}_full")(lambda spark, d: MADE[name](spark, d, scored_full))
-
-
-for _name in (
-    "rule_composite", "eval_rules", "eval_rule_overlap", "alert_ensemble", "alert_entity", "alert_enrich", "alert_last_transactions", "alert_dedup", "alert_severity", "alert_queue",
-    "alert_dashboard", "alert_stats", "alert_rule_counts", "alert_daily", "alert_histogram", "sar_fields",
-):
-    _with_trips(_name)
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -67,7 +67,7 @@ def test_triage(spark):
 
     got = triage.triage(df, lies).first()
     assert (got["total_facts"], got["verified_facts"]) == (3, 2) and not got["verified"] and got["confidence_level"] == "LOW" and got["recommended_disposition"] == "CLOSE"
-    assert got["disposition_rationale"].startswith("[VERIFICATION WARNING] why")
+    assert got["disposition_rationale"].startswith("[CHECK] why")
 
     def fails(system, text):
         raise RuntimeError("offline")

@@ -47,11 +47,11 @@ def small_events(spark, tmp_path):
 def test_graph_queries_take_all_flows(spark, tmp_path):
     d, flows = small_events(spark, tmp_path)
     want = {(s, t) for s, t, a in flows if a >= 100}
-    assert {(r["src"], r["dst"]) for r in q.QUERIES["graph_edges_full"](spark, d).collect()} == want
+    assert {(r["src"], r["dst"]) for r in q.QUERIES["graph_edges"](spark, d).collect()} == want
     nodes = {x for p in want for x in p}
     assert {r["id"] for r in q.QUERIES["graph_betweenness"](spark, d).collect()} == nodes
     found = brute_cycles([p for p in want if p[0] != p[1]], 6)
-    assert sorted(r["cycle"] for r in q.QUERIES["graph_cycles_full"](spark, d).collect()) == sorted(">".join(c) for c in found)
+    assert sorted(r["cycle"] for r in q.QUERIES["graph_cycles"](spark, d).collect()) == sorted(">".join(c) for c in found)
 
 
 def test_longest_cycle_of_each_edge(spark):
@@ -72,7 +72,7 @@ def test_round_trips_at_production_settings(spark, tmp_path):
     for c in brute_cycles([p for p in kept if p[0] != p[1]], 5):
         hops |= {(c[i], c[(i + 1) % len(c)]): len(c) for i in range(len(c))}
     want = {i: 0 if a < 1000 else 0.7 if s == t else round(0.5 + 0.1 * hops[s, t], 6) if (s, t) in hops else 0 for i, (s, t, a) in enumerate(flows)}
-    assert {r["transaction_id"]: r["rule_round_tripping_score"] for r in q.QUERIES["rule_round_tripping_full"](spark, d).collect()} == want
+    assert {r["transaction_id"]: r["rule_round_tripping_score"] for r in q.QUERIES["rule_round_tripping"](spark, d).collect()} == want
     assert max(want.values()) > 0.8
 
 
@@ -109,7 +109,7 @@ def test_suspicion_has_all_inputs(spark, tmp_path):
         rank = {v: 0.15 / n + 0.85 * (sum(rank[s] * a / out[s] for (s, t), a in edge.items() if t == v) + lost / n) for v in nodes}
     degree = lambda v, k: sum(x[k] == v for x in edge) / 50
     want = {f"A{v}": min(1, 0.3 * min(1, 100 * between[v]) + 0.3 * min(1, 100 * rank[v]) + 0.2 * (v <= 3) + 0.1 * degree(v, 0) + 0.1 * degree(v, 1)) for v in nodes}
-    got = {r["account_id"]: r["suspicion_score"] for r in q.QUERIES["graph_suspicious_full"](spark, str(tmp_path)).collect()}
+    got = {r["account_id"]: r["suspicion_score"] for r in q.QUERIES["graph_suspicious"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-5) for x in want)
 
 
@@ -118,15 +118,16 @@ def test_triage_takes_whole_texts(spark, tmp_path):
     texts = [long, "short", "x" * 40 + "{\"narrative_summary\": \"read\"}", None, "tail " * 200, "y" * 700]
     df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(texts)], "conv_id int, turn int, role string, text string")
     df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
-    got = {r["turn"]: (r["narrative_summary"], r["parse_error"]) for r in q.QUERIES["triage_parse_full"](spark, str(tmp_path)).collect()}
+    got = {r["turn"]: (r["narrative_summary"], r["parse_error"]) for r in q.QUERIES["triage_parse"](spark, str(tmp_path)).collect()}
     assert got == {0: (long, False), 1: ("short", False), 2: ("read", False), 3: ("", False), 4: ("tail " * 200, False), 5: (("no json " + "y" * 700)[:500], True)}
 
 
 def test_scores_have_round_trips(spark, tmp_path):
     d, _ = small_events(spark, tmp_path)
-    trip = {r["transaction_id"]: r["rule_round_tripping_score"] for r in q.QUERIES["rule_round_tripping_full"](spark, d).collect()}
-    without, all_ = ({r["transaction_id"]: r for r in q.QUERIES[n](spark, d).collect()} for n in ("rule_composite", "rule_composite_full"))
-    for i, t in trip.items():
-        want = min(1, (0.55 * without[i]["rule_composite_score"] + 0.3 * t) / 0.85)
-        assert math.isclose(all_[i]["rule_composite_score"], want, abs_tol=2e-6) and all_[i]["rule_trigger_count"] == without[i]["rule_trigger_count"] + (t > 0)
-    assert {r["rule"]: r["n_hits"] for r in q.QUERIES["eval_rules_full"](spark, d).collect()}["round_tripping"] == sum(t > 0 for t in trip.values()) > 0
+    one = {r: {x["transaction_id"]: x[f"rule_{r}_score"] for x in q.QUERIES[f"rule_{r}"](spark, d).collect()} for r in ("structuring", "rapid_movement", "round_tripping", "velocity")}
+    weights = {"structuring": 0.25, "rapid_movement": 0.20, "round_tripping": 0.30, "velocity": 0.10}
+    trips = sum(t > 0 for t in one["round_tripping"].values())
+    for x in q.QUERIES["rule_composite"](spark, d).collect():
+        s = {r: one[r][x["transaction_id"]] for r in one}
+        assert math.isclose(x["rule_composite_score"], min(1, sum(weights[r] * v for r, v in s.items()) / 0.85), abs_tol=2e-6) and x["rule_trigger_count"] == sum(v > 0 for v in s.values())
+    assert {r["rule"]: r["n_hits"] for r in q.QUERIES["eval_rules"](spark, d).collect()}["round_tripping"] == trips > 0
