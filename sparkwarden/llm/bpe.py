@@ -143,21 +143,21 @@ def strangers() -> dict[int, str]:
 
 def _whole(pattern: str):
     """Pre-tokens of any text."""
-    find, other = regex.compile(pattern), strangers()
-    if not other:
-        return find.findall
-    points = sorted(other)
-    ranges, start = [], points[0]
-    for a, b in zip(points, [*points[1:], -1]):
-        if b != a + 1:
-            ranges.append(f"\\U{start:08x}-\\U{a:08x}")
-            start = b
-    strange = re.compile(f"[{''.join(ranges)}]").search
+    find = regex.compile(pattern)
+
+    @cache  # not before a text asks for it
+    def strange():
+        points, ranges = sorted(strangers()), []
+        for a, b in zip([None, *points], points):
+            if a is None or b != a + 1:
+                ranges.append([b, b])
+            ranges[-1][1] = b
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]").search if ranges else lambda text: None
 
     def split(text: str) -> list[str]:
-        if not strange(text):
+        if not strange()(text):
             return find.findall(text)
-        return [text[m.start() : m.end()] for m in find.finditer(text.translate(other))]
+        return [text[m.start() : m.end()] for m in find.finditer(text.translate(strangers()))]
 
     return split
 
