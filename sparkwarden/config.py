@@ -62,6 +62,8 @@ class GraphConfig:
 class ModelConfig:
     minority_ratio: float = 0.1
     neighbours: int = 5
+    rounds: int = 30
+    stop_gain: float = 0.01
     target_recall: float = 0.80
     thresholds: int = 100
     folds: int = 5
@@ -74,6 +76,7 @@ class TriageConfig:
     retries: int = 3
     wait_seconds: float = 5.0
     batch: int = 10
+    pause_seconds: float = 1.0
     max_transactions: int = 50
     strictness: float = 0.90
     max_alerts: int = 50

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import RULES
@@ -196,3 +198,27 @@ def long_metrics(one_row: DataFrame) -> DataFrame:
     """A one-row report as (metric, value)."""
     numbers = [c for c, t in one_row.dtypes if t in ("double", "bigint", "int")]
     return one_row.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers))).alias("x")).select("x.*")
+
+
+def flatten(results: Mapping, prefix: str = "", most: int = 20) -> dict[str, float | str]:
+    """Nested results as dotted names: numbers stay, truth values become 0 and 1, lists below ``most`` entries become text, the rest is left out."""
+    out: dict[str, float | str] = {}
+    for k, v in results.items():
+        name = f"{prefix}{k}"
+        if isinstance(v, Mapping):
+            out |= flatten(v, f"{name}.", most)
+        elif isinstance(v, (int, float)):
+            out[name] = float(v)
+        elif isinstance(v, str) or (isinstance(v, (list, tuple)) and len(v) < most):
+            out[name] = str(v)
+    return out
+
+
+def summary_text(results: Mapping) -> str:
+    """The flat results, a line each, under the name of their section."""
+    lines: list[str] = []
+    for section, part in results.items():
+        lines.append(str(section))
+        flat = flatten(part if isinstance(part, Mapping) else {"value": part})
+        lines += [f"  {k}: {v:.6g}" if isinstance(v, float) else f"  {k}: {v}" for k, v in flat.items()]
+    return "\n".join(lines)

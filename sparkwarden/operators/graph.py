@@ -375,6 +375,10 @@ class AccountGraph:
     def suspicious(self, top_k: int | None = None) -> DataFrame:
         return self.scores().limit(self.cfg.top_k if top_k is None else top_k)
 
+    def central(self, n: int = 5) -> DataFrame:
+        """id and betweenness of the ``n`` most central accounts."""
+        return self.centrality().select("id", "betweenness").orderBy(F.desc("betweenness"), "id").limit(n)
+
     def summary(self) -> DataFrame:
         return summary(self.edges, self.communities(), self.cycles())
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -15,44 +17,80 @@ from ..functions.columns import num
 from . import evaluation
 
 DEFAULT = ModelConfig()
+CELL = 2_000
 
 
 def feature_names(df: DataFrame) -> list[str]:
     return [c for c, t in df.dtypes if c not in ("transaction_id", "label", "weight") and t in ("double", "float", "int", "bigint")]
 
 
-def weighted(df: DataFrame) -> DataFrame:
-    """Adds weight: the rarer class weighs as much as the other in all."""
-    ratio = df.agg(F.sum("label").alias("p"), F.count("*").alias("n"))
+def weighted(df: DataFrame, by: DataFrame | None = None) -> DataFrame:
+    """Adds weight: the rarer class weighs as much as the other in all, counted in ``by`` (df itself if not given)."""
+    ratio = (df if by is None else by).agg(F.sum("label").alias("p"), F.count("*").alias("n"))
     up = F.when((F.col("label") == 1) & (F.col("p") > 0), (F.col("n") - F.col("p")) / F.col("p")).otherwise(num(1))
     return df.crossJoin(F.broadcast(ratio)).withColumn("weight", up).drop("p", "n")
 
 
 def oversample(df: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
-    """Rows of the rarer class mixed with neighbours of theirs (in order of a random projection) until it is ``minority_ratio`` of the other."""
+    """Rows of the rarer class mixed with near ones until it is about ``minority_ratio`` of the other.
+
+    The rarer class is range-sorted by a random projection of the standardised columns; each row is mixed with one of its
+    ``neighbours`` nearest rows (all columns count) among the CELL rows that stand with it in that order. A task holds a cell
+    at a time. Every row has the whole part of the wanted copies, and one more by hash for the rest.
+    """
     names = feature_names(df)
     counts = {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}  # two rows
     p, n = counts.get(1, 0), counts.get(0, 0)
     want = int(cfg.minority_ratio * n) - p
-    if p < 2 or want <= 0:
+    if p < 2 or want <= 0 or not names:
         return df
-    few = df.where("label = 1")
-    key = sum((F.col(c) * num((i * 2654435761 % 1000) / 1000 - 0.5) for i, c in enumerate(names)), num(0))
-    near = F.lead(F.struct(*names), 1).over(Window.partitionBy(F.pmod(F.xxhash64("transaction_id"), F.lit(max(1, p // 50_000)))).orderBy(key))
-    copies = -(-want // p)
-    mixed = few.withColumn("_near", F.coalesce(near, F.struct(*names))).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    share = F.pmod(F.xxhash64("transaction_id", "_copy", F.lit(cfg.seed)), F.lit(1000)) / 1000
-    made = mixed.withColumn("_share", share).withColumns({c: F.col(c) + F.col("_share") * (F.col(f"_near.{c}") - F.col(c)) for c in names})
-    made = made.withColumn("transaction_id", -F.xxhash64("transaction_id", "_copy")).select(*df.columns).limit(want)
-    return df.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in df.columns]).unionByName(made)
-
-
-def estimators(cfg: ModelConfig, names: list[str]) -> dict[str, Pipeline]:
+    few = df.where("label = 1").select("transaction_id", *[F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in names])
+    stats = few.agg(F.struct(*[F.avg(c).alias(c) for c in names]).alias("mean"), F.struct(*[F.stddev_pop(c).alias(c) for c in names]).alias("std")).first()  # a row
+    mean, std = np.array(stats["mean"]), np.array(stats["std"])
+    std[std == 0] = 1.0
+    slope = np.random.default_rng(cfg.seed).normal(size=len(names)) / std
+    key = sum((F.col(c) * num(float(x)) for c, x in zip(names, slope)), num(0))
+    copies, seed, near = want / p, cfg.seed, cfg.neighbours
+
+    def mix(batches):
+        for batch in batches:
+            for at in range(0, len(batch), CELL):
+                cell = batch.iloc[at : at + CELL]
+                ids, x = cell["transaction_id"].to_numpy(dtype=np.int64), cell[names].to_numpy(dtype=float)
+                z = (x - mean) / std
+                square = (z * z).sum(1)
+                apart = square[:, None] + square[None, :] - 2 * z @ z.T
+                np.fill_diagonal(apart, np.inf)
+                k = min(near, len(ids) - 1)
+                nearest = np.argsort(apart, axis=1, kind="stable")[:, :k] if k else np.arange(len(ids))[:, None]
+                made = []
+                for i, one in enumerate(ids):
+                    draw = np.random.default_rng([seed, int(one) & (2**63 - 1)])
+                    for _ in range(int(copies) + int(draw.random() < copies % 1)):
+                        other = x[nearest[i, draw.integers(nearest.shape[1])]]
+                        made.append((int(one), *(x[i] + draw.random() * (other - x[i]))))
+                yield pd.DataFrame(made, columns=["transaction_id", *names])
+
+    cells = max(1, p // (8 * CELL))
+    ordered = few.withColumn("_key", key).repartitionByRange(cells, "_key", "transaction_id").sortWithinPartitions("_key", "transaction_id").drop("_key")
+    made = ordered.mapInPandas(mix, ", ".join(["transaction_id long", *(f"`{c}` double" for c in names)]))
+    made = made.withColumn("transaction_id", -F.pmod(F.xxhash64("transaction_id", *names), F.lit(1 << 62)) - 1).withColumn("label", F.lit(1))
+    kept = df.select(*[F.col(c).cast("double").alias(c) if c in names else F.col(c) for c in df.columns])
+    return kept.unionByName(made, allowMissingColumns=True)
+
+
+def estimators(cfg: ModelConfig, names: list[str], stopping: bool = False) -> dict[str, Pipeline]:
+    """Two boostings: one of shallow trees, one of deeper ones on shares of rows and columns, with smaller steps.
+
+    With ``stopping`` a column held marks rows that are not learned from: rounds end when they gain less than ``stop_gain``.
+    """
     assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    common = {"labelCol": "label", "weightCol": "weight", "seed": cfg.seed}
+    common = {"labelCol": "label", "weightCol": "weight", "seed": cfg.seed, "maxIter": cfg.rounds, "validationTol": cfg.stop_gain}
+    if stopping:
+        common["validationIndicatorCol"] = "held"
     return {
-        "gbt": Pipeline(stages=[assemble, GBTClassifier(maxIter=30, maxDepth=4, stepSize=0.1, **common)]),
-        "forest": Pipeline(stages=[assemble, RandomForestClassifier(numTrees=50, maxDepth=6, **common)]),
+        "gbt": Pipeline(stages=[assemble, GBTClassifier(maxDepth=4, stepSize=0.1, **common)]),
+        "gbt_deep": Pipeline(stages=[assemble, GBTClassifier(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **common)]),
     }
 
 
@@ -78,6 +116,25 @@ class Trained:
         values = self.model.stages[-1].featureImportances.toArray()
         return sorted(zip(self.names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
+    def explain(self, df: DataFrame, background: DataFrame | None = None, most: int = 5_000, top: int = 20) -> DataFrame:
+        """transaction_id, place, feature, value and effect of the ``top`` features of each row: how the score falls if the feature has its mean.
+
+        Means are those of ``background`` (df itself if not given). The first ``most`` rows by id are explained, each once for every
+        feature. Ties of effects are in order of name.
+        """
+        plain = [F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in self.names]
+        rows = df.select("transaction_id", *plain)
+        mean = (df if background is None else background).select(*plain).agg(F.struct(*[F.avg(c).alias(c) for c in self.names]).alias("_mean"))  # a row
+        few = rows.orderBy("transaction_id").limit(most).crossJoin(F.broadcast(mean))
+        each = few.withColumn("_feature", F.explode(F.array(F.lit(""), *map(F.lit, self.names))))
+        value = F.coalesce(*[F.when(F.col("_feature") == c, F.col(c)) for c in self.names])
+        changed = each.withColumn("_value", value).withColumns({c: F.when(F.col("_feature") == c, F.col(f"_mean.{c}")).otherwise(F.col(c)) for c in self.names})
+        scored = self.model.transform(changed).select("transaction_id", "_feature", "_value", vector_to_array("probability")[1].alias("_score"))
+        whole = F.max(F.when(F.col("_feature") == "", F.col("_score"))).over(Window.partitionBy("transaction_id"))
+        effect = scored.withColumn("effect", whole - F.col("_score")).where("_feature <> ''")
+        place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(F.desc(F.abs("effect")), "_feature"))
+        return effect.withColumn("place", place).where(F.col("place") <= top).select("transaction_id", "place", F.col("_feature").alias("feature"), F.col("_value").alias("value"), "effect")
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
         about = json.dumps({"name": self.name, "threshold": self.threshold, "metrics": self.metrics, "names": self.names})
@@ -90,11 +147,13 @@ class Trained:
 
 
 def train(train_rows: DataFrame, validation: DataFrame, cfg: ModelConfig = DEFAULT, resample: bool = False) -> Trained:
-    """Both estimators; the better average precision on the validation rows wins (the first on a tie), with its best threshold there."""
+    """Both estimators, stopped by the validation rows; the better average precision there wins (the first on a tie), with its best threshold."""
     names = feature_names(train_rows)
-    rows = weighted(oversample(train_rows, cfg) if resample else train_rows).persist()
+    learned = oversample(train_rows, cfg) if resample else train_rows
+    rows = weighted(learned.withColumn("held", F.lit(False)).unionByName(validation.withColumn("held", F.lit(True))), by=learned).persist()
+    stopping = bool(validation.limit(1).count())
     best = None
-    for name, estimator in estimators(cfg, names).items():
+    for name, estimator in estimators(cfg, names, stopping).items():
         model = estimator.fit(rows)
         scored = scores(model, validation).persist()
         ranking = evaluation.ranking_metrics(scored).first().asDict()

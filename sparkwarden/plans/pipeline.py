@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 
@@ -14,26 +15,50 @@ from ..operators.iterate import cut
 from ..sources import ledger, sinks
 
 STAGES = ("data_loading", "rule_engine", "graph_analysis", "feature_engineering", "ml_scoring", "alert_generation", "llm_triage", "compliance_reporting")
+#: What can be asked for by name: the stages up to the one that makes it. Features, models and alerts need the graph's columns.
+TARGETS = {
+    "rules": STAGES[:2], "graph": (STAGES[0], STAGES[2]), "features": STAGES[:4], "train": STAGES[:5],
+    "alerts": STAGES[:6], "triage": STAGES[:7], "report": STAGES, "full-pipeline": STAGES, "evaluate": STAGES[:6],
+}
+log = logging.getLogger("sparkwarden")
 
 
 class Pipeline:
-    """``results`` holds what the stages made, ``status`` and ``timings`` how they went, ``failed`` the stage that raised."""
+    """``results`` holds what the stages made, ``status`` and ``timings`` how they went, ``failed`` the stage that raised.
 
-    def __init__(self, spark: SparkSession, config: Config = Config(), folder: str | None = None, model: Callable[[str, str], str] = triage.offline_model, use_graph: bool = True):
+    ``model`` answers triage prompts; ``connect``, if given, makes it when triage begins. Where that raises, all alerts go to
+    manual review.
+    """
+
+    def __init__(
+        self, spark: SparkSession, config: Config = Config(), folder: str | None = None, model: Callable[[str, str], str] = triage.offline_model, use_graph: bool = True,
+        connect: Callable[[], Callable[[str, str], str]] | None = None,
+    ):
         config.validate()
-        self.spark, self.config, self.folder, self.model, self.use_graph = spark, config, folder, model, use_graph
+        self.spark, self.config, self.folder, self.model, self.use_graph, self.connect = spark, config, folder, model, use_graph, connect
         self.results: dict = {}
         self.status = dict.fromkeys(STAGES, "pending")
         self.timings: dict[str, float] = {}
         self.failed: str | None = None
 
     def run(self, source: DataFrame | None = None, stages: tuple[str, ...] = STAGES, skip_llm: bool = False) -> dict:
-        """Stages in order. ``source``: a canonical ledger, else a synthetic sample. A name that is no stage raises ValueError."""
+        """Stages in order. ``source``: a canonical ledger, else a synthetic sample. A name that is no stage is passed over with a warning."""
         for name in stages:
-            if not (skip_llm and name == "llm_triage"):
+            if name not in STAGES:
+                log.warning("no stage %r: passed over", name)
+            elif not (skip_llm and name == "llm_triage"):
                 self.run_stage(name, source)
         return self.results
 
+    def run_target(self, target: str, source: DataFrame | None = None) -> dict:
+        """The stages that a name of TARGETS stands for; ``evaluate`` adds what evaluate() gives. Another name raises ValueError."""
+        if target not in TARGETS:
+            raise ValueError(f"target {target!r} is none of {', '.join(TARGETS)}")
+        self.run(source, TARGETS[target])
+        if target == "evaluate":
+            self.results |= {f"evaluation_{k}": v for k, v in self.evaluate().items()}
+        return self.results
+
     def run_stage(self, name: str, source: DataFrame | None = None):
         if name not in STAGES:
             raise ValueError(f"no stage {name!r}")
@@ -68,7 +93,7 @@ class Pipeline:
     def _graph_analysis(self) -> dict:
         df = self._need("transactions")
         graph = AccountGraph(self.config.graph).build(df)
-        return {"graph": graph, "graph_features": cut(graph.features(df)), "suspicious": cut(graph.suspicious()), "graph_summary": graph.summary()}
+        return {"graph": graph, "graph_features": cut(graph.features(df)), "suspicious": cut(graph.suspicious()), "central_accounts": graph.central(), "graph_summary": graph.summary()}
 
     def _feature_engineering(self) -> dict:
         return {"features": cut(features.engineer(self._need("transactions"), self._need("scored"), self.results.get("graph_features") if self.use_graph else None))}
@@ -91,10 +116,20 @@ class Pipeline:
         return {"alerts": made, "alert_statistics": alerts.statistics(made)}
 
     def _llm_triage(self) -> dict:
-        return {"triage": cut(triage.triage(triage.chosen(self._need("alerts"), self.config.triage.max_alerts), self.model, self.config.triage))}
+        cfg, made = self.config.triage, self._need("alerts")
+        try:
+            model = self.connect() if self.connect else self.model
+        except Exception as e:  # the caller's code
+            log.warning("no triage model: %s", e)
+            return {"triage": cut(triage.unanswered(made, str(e), cfg))}
+        return {"triage": cut(triage.triage(triage.chosen(made, cfg.max_alerts), model, cfg))}
 
     def _compliance_reporting(self) -> dict:
-        return {f"report_{k}": v for k, v in report.package(self._need("alerts"), self.results.get("triage")).items()}
+        sections = report.package(self._need("alerts"), self.results.get("triage"))
+        page = report.page("Suspicious activity", sections)
+        if self.folder:
+            sinks.write_text(self.spark, page, f"{self.folder}/report.html")
+        return {f"report_{k}": v for k, v in sections.items()} | {"report_page": page}
 
     def evaluate(self) -> dict[str, DataFrame]:
         """Metrics of the held-out rows by system, of the rules, and of the alerts against labelled senders."""
