@@ -1,7 +1,7 @@
 """The account graph: edges (src, dst, amount, ...) and vertices, centrality, communities and components.
 
 Iterations are joins and aggregates whose state is checkpointed; Louvain and Brandes run in Arrow batches. PageRank,
-components and clustering have no limit of size; betweenness is exact at every size and takes time by vertices times edges, its adjacency a broadcast.
+components and clustering have no limit of size; betweenness is exact at every size and takes time by vertices times edges.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .iterate import cut
 from .paths import cycles, on_cycles
 
 DEFAULT = GraphConfig()
+#: The most that the adjacency of a broadcast may have.
+BROADCAST_BYTES = 64 << 20
 
 
 class GraphNotBuilt(RuntimeError):
@@ -167,18 +169,28 @@ class _Adjacency:
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """id and betweenness by Brandes' accumulation from every vertex, amounts as distances, normalised. Exact at every size."""
-    import heapq
+    """id and betweenness by Brandes' accumulation from every vertex, amounts as distances, normalised. Exact at every size.
 
+    An adjacency of up to ``BROADCAST_BYTES`` is broadcast; beyond that paths are followed by joins.
+    """
     edges = cut(edges.select("src", "dst", "amount"))
     nodes = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
+    n, longest = nodes.agg(F.count("*"), F.coalesce(F.max(F.length("id")), F.lit(0))).first()
+    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    fits = 12 * edges.count() + n * (8 + 4 * longest) <= BROADCAST_BYTES
+    parts = (_loads_by_broadcast if fits else _loads_by_joins)(edges, nodes, n)
+    return nodes.join(parts, "id", "left").select("id", (F.coalesce("part", num(0)) * num(scale)).alias("betweenness"))
+
+
+def _loads_by_broadcast(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """id and part, what the shortest paths of all sources add to it: sources are dealt out, each task has the adjacency."""
+    import heapq
+
     names = np.sort(nodes.toPandas()["id"].to_numpy(dtype=str))
-    n = len(names)
     flat = edges.where("src <> dst").toPandas()
     number = lambda c: np.searchsorted(names, flat[c].to_numpy(dtype=str))
     near = _Adjacency(n, number("src"), number("dst"), flat["amount"].to_numpy(dtype=float))
     shared = edges.sparkSession.sparkContext.broadcast((names, near))
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
 
     def run(batches):
         names, near = shared.value
@@ -191,8 +203,37 @@ def betweenness(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": names[list(total)].astype(object), "part": list(total.values())})
 
     tasks = max(edges.sparkSession.sparkContext.defaultParallelism, n // 5_000)
-    parts = nodes.repartition(tasks, "id").mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    return nodes.join(parts, "id", "left").select("id", (F.coalesce("part", num(0)) * num(scale)).alias("betweenness"))
+    return nodes.repartition(tasks, "id").mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
+
+
+def _loads_by_joins(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The same by joins over rows of (source, node), in as many rounds as a shortest path has edges; amounts must be above 0."""
+    hops = cut(edges.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("w"), "amount"))
+    if hops.where("amount <= 0").head(1):
+        raise ValueError("Shortest paths by joins need amounts above 0")
+    start = nodes.select(F.col("id").alias("s"), F.col("id").alias("v"))
+    distance = front = cut(start.withColumn("d", num(0)))
+    while front.head(1):
+        reached = front.join(hops, "v").groupBy("s", F.col("w").alias("v")).agg(F.min(F.col("d") + F.col("amount")).alias("new"))
+        front = cut(reached.join(distance, ["s", "v"], "left").where("d is null or new < d").select("s", "v", F.col("new").alias("d")))
+        distance = cut(distance.join(front.withColumnRenamed("d", "new"), ["s", "v"], "full_outer").select("s", "v", F.coalesce("new", "d").alias("d")))
+    ahead = distance.select("s", F.col("v").alias("w"), F.col("d").alias("to"))
+    steps = cut(distance.join(hops, "v").join(ahead, ["s", "w"]).where((F.col("d") + F.col("amount") == F.col("to")) & (F.col("d") < F.col("to"))).select("s", "v", "w"))
+    # shortest paths of 0, 1, 2 ... edges
+    walks = paths = cut(start.withColumn("p", num(1)))
+    while walks.head(1):
+        walks = cut(walks.join(steps, ["s", "v"]).groupBy("s", F.col("w").alias("v")).agg(F.sum("p").alias("p")))
+        paths = cut(paths.union(walks).groupBy("s", "v").agg(F.sum("p").alias("p")))
+    share = steps.join(paths, ["s", "v"]).join(paths.select("s", F.col("v").alias("w"), F.col("p").alias("all")), ["s", "w"])
+    share = cut(share.select("s", "v", "w", (F.col("p") / F.col("all")).alias("share")))
+    # a node's load is its share of what the next nodes have and of the nodes themselves, summed by the edges between
+    term = paths.select("s", F.col("v").alias("w"), num(1).alias("t"))
+    load = term.where("false").select(F.col("w").alias("id"), F.col("t").alias("part"))
+    while term.head(1):
+        term = cut(share.join(term, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("share") * F.col("t")).alias("t")).withColumnRenamed("v", "w"))
+        more = term.where("s <> w").select(F.col("w").alias("id"), F.col("t").alias("part"))
+        load = cut(load.union(more).groupBy("id").agg(F.sum("part").alias("part")))
+    return load
 
 
 def _brandes(near: _Adjacency, source: int, heapq) -> dict[int, float]:

@@ -1,3 +1,4 @@
+import random
 from dataclasses import replace
 
 import pytest
@@ -44,6 +45,15 @@ def test_pagerank_and_degrees(spark):
     assert b["HUB"] == pytest.approx(1) and b["S1"] == 0
 
 
+def test_betweenness_without_broadcast(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"N{rng.randrange(9)}", f"N{rng.randrange(9)}", rng.choice((1, 1, 2, 3)), i) for i in range(22)] + [("X", "Y", 1, 50)]
+    got = lambda: {r["id"]: r["betweenness"] for r in graph.betweenness(edges(spark, rows)).collect()}
+    want = got()
+    monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
+    assert got() == pytest.approx(want) and any(want.values())
+
+
 def test_components_and_summary(spark):
     e = edges(spark, SIMPLE)
     assert {r["id"]: r["component"] for r in graph.weak_components(e).collect()} == {"A": "A", "B": "A", "C": "A", "D": "D", "E": "D"}
