@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import FeatureConfig
 from ..functions.columns import DAY_US, num, us
+from .quantiles import quantiles
 from .windows import with_frames
 
 DEFAULT = FeatureConfig()
@@ -42,8 +43,9 @@ def sender_stats(df: DataFrame) -> DataFrame:
     span = (F.max(us()) - F.min(us())) / DAY_US
     out = df.groupBy("from_id").agg(
         F.count("*").alias("sender_count"), F.sum("amount").alias("sender_sum"), F.avg("amount").alias("sender_mean"), F.stddev_samp("amount").alias("sender_std"), F.max("amount").alias("sender_max"),
-        F.min("amount").alias("sender_min"), F.median("amount").alias("sender_median"), F.count_distinct("to_id").alias("sender_recipients"), F.greatest(num(1), span).alias("sender_days_active"),
+        F.min("amount").alias("sender_min"), F.count_distinct("to_id").alias("sender_recipients"), F.greatest(num(1), span).alias("sender_days_active"),
     )
+    out = out.join(quantiles(df, "amount", {"sender_median": 0.5}, ["from_id"]), "from_id", "left")
     return out.withColumn("sender_rate", F.col("sender_count") / F.col("sender_days_active"))
 
 
@@ -60,7 +62,8 @@ def account(df: DataFrame) -> DataFrame:
 
 def behavioral(df: DataFrame) -> DataFrame:
     a = F.col("amount")
-    stats = df.groupBy("from_id").agg(F.avg("amount").alias("m"), F.stddev_samp("amount").alias("s"), F.median("amount").alias("md"), F.max("amount").alias("mx"), F.mode(F.hour("timestamp"), deterministic=True).alias("mode_hour"))
+    stats = df.groupBy("from_id").agg(F.avg("amount").alias("m"), F.stddev_samp("amount").alias("s"), F.max("amount").alias("mx"), F.mode(F.hour("timestamp"), deterministic=True).alias("mode_hour"))
+    stats = stats.join(quantiles(df, "amount", {"md": 0.5}, ["from_id"]), "from_id", "left")
     daily = df.groupBy("from_id", F.to_date("timestamp").alias("date")).agg(F.count("*").alias("n"))
     spread = daily.groupBy("from_id").agg(F.avg("n").alias("dm"), F.stddev_samp("n").alias("ds"))
     whole = lambda c: F.when(F.coalesce(c, num(0)) == 0, num(1)).otherwise(F.col(c))
@@ -119,11 +122,12 @@ def entropy(df: DataFrame, bins: int = 20) -> DataFrame:
 
 def risk(df: DataFrame, cfg: FeatureConfig = DEFAULT) -> DataFrame:
     a, hour = F.col("amount"), F.hour("timestamp")
-    rows = with_scalars(df, _p=F.percentile("amount", F.array(num(0.95), num(0.99), num(0.5)))).join(entropy(df), "from_id")
-    large = a > F.col("_p")[2]
+    marks = quantiles(df, "amount", {"_p95": 0.95, "_p99": 0.99, "_half": 0.5})  # one row
+    rows = df.crossJoin(F.broadcast(marks)).join(entropy(df), "from_id")
+    large = a > F.col("_half")
     return rows.select(
         "transaction_id", *[flag((a % t == 0) & (a >= t)).alias(f"feat_round_{t}") for t in cfg.round_thresholds],
-        F.when((a >= 5_000) & (a < 10_000), 1 - (10_000 - a) / 5_000).otherwise(num(0)).alias("feat_structuring_proximity"), flag(a > F.col("_p")[0]).alias("feat_large"), flag(a > F.col("_p")[1]).alias("feat_very_large"),
+        F.when((a >= 5_000) & (a < 10_000), 1 - (10_000 - a) / 5_000).otherwise(num(0)).alias("feat_structuring_proximity"), flag(a > F.col("_p95")).alias("feat_large"), flag(a > F.col("_p99")).alias("feat_very_large"),
         flag(((hour >= 22) | (hour <= 5)) & large).alias("feat_night_large"), flag((F.weekday("timestamp") >= 5) & large).alias("feat_weekend_large"), F.col("entropy").alias("feat_amount_entropy"),
     )
 

@@ -6,6 +6,7 @@ import html
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .quantiles import quantiles
 from .triage import money
 
 REASONS = {
@@ -61,11 +62,12 @@ def sar_narrative(alerts: DataFrame, triage: DataFrame | None = None, generated:
 def alert_statistics(alerts: DataFrame, as_of: Column | None = None) -> DataFrame:
     now = as_of if as_of is not None else F.current_timestamp()
     s, late = "ensemble_score", (F.col("status") == "OPEN") & (F.col("sla_deadline") < now)
+    marks = quantiles(alerts, s, {"median": 0.5, "p90": 0.9, "p95": 0.95})  # one row
     return alerts.agg(
         F.count("*").alias("total"), F.min("created_at").alias("period_start"), F.max("created_at").alias("period_end"), *[F.count_if(F.col("severity") == v).alias(v.lower()) for v in ("HIGH", "MEDIUM", "LOW")],
-        *[F.count_if(F.col("status") == v).alias(v.lower()) for v in ("OPEN", "IN_REVIEW", "ESCALATED", "CLOSED")], F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_pop(s).alias("std"),
-        F.percentile(s, 0.9).alias("p90"), F.percentile(s, 0.95).alias("p95"), F.count_if(late).alias("sla_breached"), (F.try_divide(F.count_if(late), F.count("*")) * 100).alias("breach_rate_pct"),
-    )
+        *[F.count_if(F.col("status") == v).alias(v.lower()) for v in ("OPEN", "IN_REVIEW", "ESCALATED", "CLOSED")], F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"),
+        F.count_if(late).alias("sla_breached"), (F.try_divide(F.count_if(late), F.count("*")) * 100).alias("breach_rate_pct"),
+    ).crossJoin(F.broadcast(marks))
 
 
 def top_entities(alerts: DataFrame, n: int = 20) -> DataFrame:
@@ -77,7 +79,9 @@ def ageing(alerts: DataFrame, as_of: Column | None = None) -> DataFrame:
     now = as_of if as_of is not None else F.current_timestamp()
     age = F.when(F.col("status") == "OPEN", (F.unix_micros(now) - F.unix_micros("created_at")) / 3.6e9)
     df = alerts.select(age.alias("age"))
-    return df.agg(F.count("age").alias("open_alerts"), F.avg("age").alias("mean_hours"), F.median("age").alias("median_hours"), F.max("age").alias("max_hours"), *[F.count_if(F.col("age") > h).alias(f"over_{h}h") for h in (24, 72, 168)])
+    marks = quantiles(df, "age", {"median_hours": 0.5})  # one row
+    out = df.agg(F.count("age").alias("open_alerts"), F.avg("age").alias("mean_hours"), F.max("age").alias("max_hours"), *[F.count_if(F.col("age") > h).alias(f"over_{h}h") for h in (24, 72, 168)])
+    return out.crossJoin(F.broadcast(marks))
 
 
 def sla(alerts: DataFrame, as_of: Column | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..operators.quantiles import quantiles
+
 # Raw columns in file order, the timestamp format and the payment formats' short names.
 RAW_COLUMNS = ("Timestamp", "From Bank", "Account", "To Bank", "Account.1", "Amount Received", "Receiving Currency", "Amount Paid", "Payment Currency", "Payment Format", "Is Laundering")
 NAMES = dict(zip(RAW_COLUMNS, ("timestamp", "from_bank", "from_account", "to_bank", "to_account", "amount_received", "receiving_currency", "amount_paid", "payment_currency", "payment_format", "is_laundering")))
@@ -152,11 +154,12 @@ def account_summary(df: DataFrame) -> DataFrame:
 
 
 def profile_amounts(df: DataFrame) -> DataFrame:
+    marks = quantiles(df, "amount", {"median": 0.5} | {f"p{p}": p / 100 for p in (10, 25, 75, 90, 95, 99)})  # one row
     return df.agg(
         F.count("*").alias("n"), F.sum("is_laundering").alias("n_laundering"), F.avg("is_laundering").alias("rate"), F.datediff(F.max("timestamp"), F.min("timestamp")).alias("span_days"),
-        F.count_distinct("from_id").alias("senders"), F.count_distinct("to_id").alias("receivers"), F.avg("amount").alias("mean"), F.median("amount").alias("median"), F.stddev_samp("amount").alias("std"),
-        F.min("amount").alias("min"), F.max("amount").alias("max"), *[F.percentile("amount", p / 100).alias(f"p{p}") for p in (10, 25, 75, 90, 95, 99)],
-    )
+        F.count_distinct("from_id").alias("senders"), F.count_distinct("to_id").alias("receivers"), F.avg("amount").alias("mean"), F.stddev_samp("amount").alias("std"),
+        F.min("amount").alias("min"), F.max("amount").alias("max"),
+    ).crossJoin(F.broadcast(marks))
 
 
 def distinct_accounts(df: DataFrame) -> DataFrame:
