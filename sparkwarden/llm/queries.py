@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, langid, lines, ngram_join, quality, substrings, suffixes, urls
+from . import bpe, chat, decontaminate, fim, langid, lines, ngram_join, quality, substrings, suffixes, urls
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,8 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": _over("documents", substrings.op8),
         "op9_suffix_array_dedup": _over("documents", suffixes.op9),
         "op10_quality_rules": _over("documents", quality.op10),
+        "op13_fill_in_middle": _over("documents", fim.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op10_quality_rules": quality.OP10_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op10_quality_rules": quality.OP10_SQL, "op13_fill_in_middle": fim.OP13_SQL}
