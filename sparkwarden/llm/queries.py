@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fim, langid, lines, ngram_join, quality, substrings, suffixes, urls
+from . import bpe, chat, decontaminate, fim, langid, lines, ngram_join, quality, substrings, suffixes, urls, wavelet
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": _over("documents", substrings.op8),
         "op9_suffix_array_dedup": _over("documents", suffixes.op9),
         "op10_quality_rules": _over("documents", quality.op10),
+        "op12_wavelet_tokens": _over("documents", wavelet.op12),
         "op13_fill_in_middle": _over("documents", fim.op13),
     }
 
