@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fim, langid, lines, ngram_join, quality, substrings, suffixes, urls, wavelet
+from . import bpe, chat, decontaminate, fim, langid, lines, ngram_join, quality, search, substrings, suffixes, urls, wavelet
 
 
 def _over(table: str, op: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,10 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": _over("documents", substrings.op8),
         "op9_suffix_array_dedup": _over("documents", suffixes.op9),
         "op10_quality_rules": _over("documents", quality.op10),
+        "op11_ranked_search": lambda spark, sf_dir: search.op11(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
         "op12_wavelet_tokens": _over("documents", wavelet.op12),
         "op13_fill_in_middle": _over("documents", fim.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op10_quality_rules": quality.OP10_SQL, "op13_fill_in_middle": fim.OP13_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op5_line_dedup": lines.OP5_SQL, "op7_url_filter": urls.OP7_SQL, "op8_substring_dedup": substrings.OP8_SQL, "op10_quality_rules": quality.OP10_SQL, "op11_ranked_search": search.OP11_SQL, "op13_fill_in_middle": fim.OP13_SQL}
