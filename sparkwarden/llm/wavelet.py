@@ -20,7 +20,6 @@ import os
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -28,11 +27,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Scratch, result, slices
+from .common import Scratch, joined, result, slices
 
 SHARD_TOKENS = 4 << 20
 #: Bytes of text whose words are looked up at once, and encoded words that a worker keeps.
-PIECE, TABLE = 8 << 20, 500_000
+PIECE, TABLE = 4 << 20, 1_000_000
 
 # --- bit planes
 
@@ -45,8 +44,46 @@ _FIRST = np.searchsorted(_POP[_ORDER], np.arange(SMALL + 1)).astype(np.int64)  #
 _OFFSET = np.empty(1 << SMALL, np.uint16)
 _OFFSET[_ORDER] = np.arange(1 << SMALL) - _FIRST[_POP[_ORDER]]
 _WIDTH = np.array([int(n - 1).bit_length() for n in np.bincount(_POP)], np.uint8)
-#: Which of 16 bits an offset of each class is written with.
-_USED = np.arange(16)[None, :] >= 16 - _WIDTH[:, None]
+
+
+def _blocks(bits: np.ndarray) -> np.ndarray:
+    """Bits as numbers of 15 bits, the first bit the highest: 8 numbers are 15 bytes."""
+    packed = np.packbits(bits)
+    row = np.concatenate([packed, np.zeros(-len(packed) % SMALL, np.uint8)]).reshape(-1, SMALL).astype(np.uint32)
+    out = np.empty((len(row), 8), np.uint16)
+    for k in range(8):
+        at, skip = divmod(SMALL * k, 8)
+        three = row[:, at] << 16 | row[:, at + 1] << 8
+        if at + 2 < SMALL:
+            three |= row[:, at + 2]
+        out[:, k] = three >> np.uint32(9 - skip) & np.uint32(0x7FFF)
+    return out.reshape(-1)[: -(-len(bits) // SMALL)]
+
+
+def _unblocked(block: np.ndarray, n: int) -> np.ndarray:
+    """The bits again."""
+    row = np.concatenate([block, np.zeros(-len(block) % 8, np.uint16)]).reshape(-1, 8).astype(np.uint32)
+    out = np.empty((len(row), SMALL), np.uint8)
+    for c in range(SMALL):
+        k, skip = divmod(8 * c, SMALL)
+        pair = row[:, k] << SMALL | (row[:, k + 1] if k < 7 else np.uint32(0))
+        out[:, c] = pair >> np.uint32(2 * SMALL - 8 - skip) & np.uint32(255)
+    return np.unpackbits(out, count=n).view(bool)
+
+
+def _packed(values: np.ndarray, width: np.ndarray, at: np.ndarray) -> bytes:
+    """Numbers of some bits each, one after the other; each lies in two words of 32 bits at most, whose parts are summed."""
+    word = at >> 5
+    wide = values.astype(np.uint64) << (np.uint64(64) - (at & 31).astype(np.uint64) - width.astype(np.uint64)) % np.uint64(64)
+    n = int(word[-1]) + 3 if len(word) else 1
+    total = np.bincount(word, (wide >> np.uint64(32)).astype(float), n) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(float), n)
+    return total.astype(np.uint32).astype(">u4").tobytes() + bytes(8)
+
+
+def _unpacked(data: np.ndarray, width: np.ndarray, at: np.ndarray) -> np.ndarray:
+    byte = at >> 3
+    three = data[byte].astype(np.uint32) << 16 | data[byte + 1].astype(np.uint32) << 8 | data[byte + 2]
+    return three >> (24 - (at & 7) - width).astype(np.uint32) & ((np.uint32(1) << width.astype(np.uint32)) - np.uint32(1))
 
 
 class Plane:
@@ -55,9 +92,7 @@ class Plane:
     @staticmethod
     def write(bits: np.ndarray) -> list[bytes]:
         n = len(bits)
-        whole = np.zeros((-(-n // SMALL), SMALL), bool)
-        whole.reshape(-1)[:n] = bits
-        block = np.packbits(whole, axis=1).view(">u2").reshape(-1) >> 1
+        block = _blocks(bits)
         kind = _POP[block]
         width = _WIDTH[kind]
         if len(block) * 4 + int(width.sum(dtype=np.int64)) + len(block) * 64 // SAMPLE >= n * 17 // 16:
@@ -67,9 +102,8 @@ class Plane:
             return [np.array([0, n, int(ones.sum())], np.int64).tobytes(), words.tobytes(), (np.cumsum(ones) - ones).astype(np.uint32).tobytes()]
         at = np.cumsum(width, dtype=np.int64) - width
         ones = np.cumsum(kind, dtype=np.int64) - kind
-        offsets = np.unpackbits(_OFFSET[block].astype(">u2").view(np.uint8)).reshape(-1, 16)[_USED[kind]]
         classes = np.concatenate([kind, np.zeros(len(kind) % 2, np.uint8)])
-        parts = [(classes[::2] << 4 | classes[1::2]).tobytes(), np.packbits(offsets).tobytes() + bytes(8), ones[::SAMPLE].astype(np.uint32).tobytes(), at[::SAMPLE].astype(np.uint32).tobytes()]
+        parts = [(classes[::2] << 4 | classes[1::2]).tobytes(), _packed(_OFFSET[block], width, at), ones[::SAMPLE].astype(np.uint32).tobytes(), at[::SAMPLE].astype(np.uint32).tobytes()]
         return [np.array([1, n, int(kind.sum(dtype=np.int64))], np.int64).tobytes(), *parts]
 
     def __init__(self, parts: Iterator[bytes]):
@@ -85,12 +119,9 @@ class Plane:
         if self.kind == 0:
             return np.unpackbits(self.data, count=self.n).view(bool)
         kind = np.stack([self.classes >> 4, self.classes & 15], 1).reshape(-1)[: -(-self.n // SMALL)]
-        used = _USED[kind]
-        wide = np.zeros(used.shape, np.uint8)
-        wide[used] = np.unpackbits(self.offsets, count=int(_WIDTH[kind].sum(dtype=np.int64)))
-        offset = np.packbits(wide, axis=1).view(">u2").reshape(-1)
-        block = (_ORDER[_FIRST[kind] + offset] << 1).astype(">u2")
-        return np.unpackbits(block.view(np.uint8).reshape(-1, 2), axis=1, count=SMALL).reshape(-1)[: self.n].view(bool)
+        width = _WIDTH[kind].astype(np.int64)
+        offset = _unpacked(self.offsets, width, np.cumsum(width) - width)
+        return _unblocked(_ORDER[_FIRST[kind] + offset], self.n)
 
     def _kinds(self, block: np.ndarray) -> np.ndarray:
         pair = self.classes[np.minimum(block >> 1, len(self.classes) - 1)]
@@ -116,10 +147,7 @@ class Plane:
         ones = self.counts[group].astype(np.int64) + (kinds * earlier).sum(1, dtype=np.int64)
         pointer = self.pointers[group].astype(np.int64) + (_WIDTH[kinds] * earlier).sum(1, dtype=np.int64)
         kind = self._kinds(block)
-        byte = np.minimum(pointer >> 3, len(self.offsets) - 4)
-        four = sum(self.offsets[byte + j].astype(np.int64) << (24 - 8 * j) for j in range(4))
-        width = _WIDTH[kind].astype(np.int64)
-        offset = (four >> (32 - (pointer & 7) - width)) & ((1 << width) - 1)
+        offset = _unpacked(self.offsets, _WIDTH[kind].astype(np.int64), np.minimum(pointer, 8 * (len(self.offsets) - 3)))
         value = _ORDER[np.where(block * SMALL < self.n, _FIRST[kind] + offset, 0)].astype(np.int64)  # 0: no bit set
         rest = at % SMALL
         return ones + np.bitwise_count(value >> (SMALL - rest)), ((value >> (SMALL - 1 - rest)) & 1).astype(bool)
@@ -254,38 +282,99 @@ class WordTokens:
         return max(1, max(self.end_id, self.load().get_vocab_size(with_added_tokens=True) - 1).bit_length())
 
 
+#: Classes of bytes: white space, ASCII letters, digits, other ASCII, the apostrophe (which may begin a pre-token with letters), the rest.
+SPACE, LETTER, DIGIT, OTHER, APOSTROPHE, FOREIGN = range(6)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = SPACE
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_CLASS[0x30:0x3A], _CLASS[0x27], _CLASS[0x80:] = DIGIT, APOSTROPHE, FOREIGN
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, the words of all in order as numbers of these, and how many each text has.
+
+    A word ends at white space and, as no token crosses that either, beside a digit and between an ASCII letter and other ASCII but
+    the apostrophe. ASCII letters are lower-cased unless a code point beyond ASCII follows, which might join them.
+    """
+    data, at = joined(texts)
+    kind = _CLASS[data]
+    upper = (data >= 0x41) & (data <= 0x5A)
+    upper[:-1] &= kind[1:] != FOREIGN
+    data = data | (upper.view(np.uint8) << 5)
+    left, right = kind[:-1], kind[1:]
+    apart = (left == DIGIT) | (right == DIGIT) | ((left == LETTER) & (right == OTHER)) | ((left == OTHER) & (right == LETTER))
+    cut = np.flatnonzero(apart) + 1
+    at = at + np.searchsorted(cut, at, side="right")
+    data = np.insert(data, cut, 0x20)
+    held = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+    split = pc.ascii_split_whitespace(held)
+    flat = split.flatten().dictionary_encode()
+    return flat.dictionary, flat.indices.to_numpy(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 class WordEncoder:
-    """Texts to ids, by a table of words that this worker has met."""
+    """Texts to ids, by a table of the words that this worker has met: its ids one after the other, and where each word's begin."""
+
+    _of_worker: dict[WordTokens, WordEncoder] = {}
 
     def __init__(self, tokens: WordTokens, width: int):
         self.tokenizer, self.end_id = tokens.load(), tokens.end_id
         self.dtype = np.uint16 if width <= 16 else np.uint32
-        self.table: dict[str, np.ndarray] = {}
-
-    def _words(self, words: list[str]) -> list[np.ndarray]:
-        new = [w for w in words if w not in self.table]
-        if len(self.table) + len(new) > TABLE:
-            self.table, new = {}, words
-        for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.table[w] = np.array(x.ids, self.dtype)
-        return [self.table[w] for w in words]
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # the ids that end a pre-token
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self._clear()
+
+    @classmethod
+    def of_worker(cls, tokens: WordTokens, width: int) -> WordEncoder:
+        if tokens not in cls._of_worker:
+            cls._of_worker[tokens] = cls(tokens, width)
+        return cls._of_worker[tokens]
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.ids, self.ends = [np.zeros(0, self.dtype)], [np.zeros(2, np.int64)]
+
+    def _add(self, words: list[str]) -> None:
+        """Words of letters alone are one pre-token each, and go to the library in lines of many."""
+        plain = [w for w in words if w.isalpha()]
+        rest = [w for w in words if not w.isalpha()]
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for line, x in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(x.ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(line) and ends[-1] == len(ids):
+                self._keep(line, ids, np.diff(ends, prepend=0))
+            else:  # the library knows other letters
+                rest += line
+        if rest:
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self._keep(rest, np.fromiter((i for x in found for i in x), np.int64), np.array([len(x) for x in found]))
+
+    def _keep(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        self.ids.append(ids.astype(self.dtype))
+        self.ends.append(self.ends[-1][-1] + np.cumsum(sizes))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, the end id after each, and how many each has."""
-        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        flat = split.flatten().dictionary_encode()
-        known = self._words(flat.dictionary.to_pylist())
-        sizes = np.array([len(x) for x in known], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        words = flat.indices.to_numpy()
-        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct, words, n_words = words_of(texts)
+        known = distinct.to_pylist()
+        if new := [w for w in known if w not in self.number]:
+            if len(self.number) + len(new) > TABLE:
+                self._clear()
+                new = [w for w in known if w]
+            self._add(new)
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        number = np.array([self.number[w] for w in known], np.int64)
+        ids, ends = self.ids[0], self.ends[0]
+        starts, sizes = ends[number], ends[number + 1] - ends[number]
         size = sizes[words]
-        ends = np.concatenate([[0], np.cumsum(size)])
+        after = np.concatenate([[0], np.cumsum(size)])
+        out = ids[np.repeat(starts[words] - after[:-1], size) + np.arange(after[-1])]
         last = np.cumsum(n_words)
-        per_doc = ends[last] - ends[last - n_words]
-        source = np.repeat(starts[words] - ends[:-1], size) + np.arange(ends[-1])
-        ids = np.concatenate(known)[source] if len(known) else np.zeros(0, self.dtype)
-        return np.insert(ids, ends[last], self.end_id), per_doc + 1
+        return np.insert(out, after[last], self.end_id), after[last] - after[last - n_words] + 1
 
 
 def encode(docs: DataFrame, tokens: WordTokens) -> DataFrame:
@@ -293,7 +382,7 @@ def encode(docs: DataFrame, tokens: WordTokens) -> DataFrame:
     width = tokens.width
 
     def run(batches):
-        encoder = WordEncoder(tokens, width)
+        encoder = WordEncoder.of_worker(tokens, width)
         for batch in batches:
             for piece in slices(batch, "text", PIECE):
                 ids, sizes = encoder.encode(piece.column("text"))
