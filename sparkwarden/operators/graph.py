@@ -1,25 +1,23 @@
 """The account graph: edges (src, dst, amount, ...) and vertices, centrality, communities and components.
 
-Iterations are joins and aggregates whose state is checkpointed; Louvain and Brandes run in Arrow batches. PageRank,
-components and clustering have no limit of size; betweenness is exact at every size and takes time by vertices times edges.
+Everything is joins and aggregates whose state is checkpointed; no graph, component or neighbourhood is in one task or in
+the driver. Betweenness is exact, in a time by vertices times edges, or within a bound from drawn sources.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import GraphConfig
 from ..functions.columns import DAY_US, num, us
 from .iterate import cut
-from .paths import cycles, on_cycles
+from .louvain import louvain
+from .numbering import numbered
+from .paths import count_cycles, cycles, on_cycles
 
 DEFAULT = GraphConfig()
-#: The most that the adjacency of a broadcast may have.
-BROADCAST_BYTES = 64 << 20
 
 
 class GraphNotBuilt(RuntimeError):
@@ -155,187 +153,114 @@ def clustering(edges: DataFrame) -> DataFrame:
     return out.select("id", F.when(F.col("d") > 1, 2 * F.col("t") / (F.col("d") * (F.col("d") - 1))).otherwise(num(0)).alias("clustering"))
 
 
-class _Adjacency:
-    """The edges in arrays of 12 bytes an edge, by number of the source; ``get`` has a node's edges, as a dict of lists would."""
+#: Rows of (source, node) that betweenness keeps at once.
+BATCH_ROWS = 50_000_000
 
-    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray, amount: np.ndarray):
-        order = np.argsort(src, kind="stable")
-        self.start = np.searchsorted(src[order], np.arange(n + 1))
-        self.dst, self.amount = dst[order].astype(np.int32), amount[order]
 
-    def get(self, v: int, default=()):
-        a, b = self.start[v], self.start[v + 1]
-        return zip(self.dst[a:b].tolist(), self.amount[a:b].tolist())
+def _sources(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Edges (v, w, amount) without loops, nodes (id, place) in an order drawn by hash, and their number."""
+    hops = cut(edges.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("amount").cast("double").alias("amount")))
+    if hops.where("amount <= 0").head(1):
+        raise ValueError("betweenness takes amounts as distances, which must be above 0")
+    every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    nodes = cut(numbered(every, [F.xxhash64("id"), "id"], "place"))
+    return hops, nodes, nodes.count()
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
-    """id and betweenness by Brandes' accumulation from every vertex, amounts as distances, normalised. Exact at every size.
+def _loads(hops: DataFrame, sources: DataFrame) -> DataFrame:
+    """s, id and part: what the shortest paths of each source (column id) add to each node, by Brandes' sums over joins.
 
-    An adjacency of up to ``BROADCAST_BYTES`` is broadcast; beyond that paths are followed by joins.
+    All sources move together: a round follows one more edge of all shortest paths. Rows are (source, node); no path is listed.
     """
-    edges = cut(edges.select("src", "dst", "amount"))
-    nodes = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct())
-    n, longest = nodes.agg(F.count("*"), F.coalesce(F.max(F.length("id")), F.lit(0))).first()
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    fits = 12 * edges.count() + n * (8 + 4 * longest) <= BROADCAST_BYTES
-    parts = (_loads_by_broadcast if fits else _loads_by_joins)(edges, nodes, n)
-    return nodes.join(parts, "id", "left").select("id", (F.coalesce("part", num(0)) * num(scale)).alias("betweenness"))
-
-
-def _loads_by_broadcast(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """id and part, what the shortest paths of all sources add to it: sources are dealt out, each task has the adjacency."""
-    import heapq
-
-    names = np.sort(nodes.toPandas()["id"].to_numpy(dtype=str))
-    flat = edges.where("src <> dst").toPandas()
-    number = lambda c: np.searchsorted(names, flat[c].to_numpy(dtype=str))
-    near = _Adjacency(n, number("src"), number("dst"), flat["amount"].to_numpy(dtype=float))
-    shared = edges.sparkSession.sparkContext.broadcast((names, near))
-
-    def run(batches):
-        names, near = shared.value
-        total: dict[int, float] = {}
-        for batch in batches:
-            for source in np.searchsorted(names, batch["id"].to_numpy(dtype=str)).tolist():
-                for v, x in _brandes(near, source, heapq).items():
-                    total[v] = total.get(v, 0.0) + x
-        if total:
-            yield pd.DataFrame({"id": names[list(total)].astype(object), "part": list(total.values())})
-
-    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, n // 5_000)
-    return nodes.repartition(tasks, "id").mapInPandas(run, "id string, part double").groupBy("id").agg(F.sum("part").alias("part"))
-
-
-def _loads_by_joins(edges: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """The same by joins over rows of (source, node), in as many rounds as a shortest path has edges; amounts must be above 0."""
-    hops = cut(edges.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("w"), "amount"))
-    if hops.where("amount <= 0").head(1):
-        raise ValueError("Shortest paths by joins need amounts above 0")
-    start = nodes.select(F.col("id").alias("s"), F.col("id").alias("v"))
-    distance = front = cut(start.withColumn("d", num(0)))
-    while front.head(1):
-        reached = front.join(hops, "v").groupBy("s", F.col("w").alias("v")).agg(F.min(F.col("d") + F.col("amount")).alias("new"))
-        front = cut(reached.join(distance, ["s", "v"], "left").where("d is null or new < d").select("s", "v", F.col("new").alias("d")))
-        distance = cut(distance.join(front.withColumnRenamed("d", "new"), ["s", "v"], "full_outer").select("s", "v", F.coalesce("new", "d").alias("d")))
-    ahead = distance.select("s", F.col("v").alias("w"), F.col("d").alias("to"))
-    steps = cut(distance.join(hops, "v").join(ahead, ["s", "w"]).where((F.col("d") + F.col("amount") == F.col("to")) & (F.col("d") < F.col("to"))).select("s", "v", "w"))
-    # shortest paths of 0, 1, 2 ... edges
-    walks = paths = cut(start.withColumn("p", num(1)))
+    state = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), num(0).alias("d"), F.lit(True).alias("new")))
+    while state.where("new").head(1):
+        more = state.where("new").join(hops, "v").select("s", F.col("w").alias("v"), (F.col("d") + F.col("amount")).alias("d"), F.lit(False).alias("held"))
+        both = state.select("s", "v", "d", F.lit(True).alias("held")).unionByName(more).groupBy("s", "v").agg(F.min("d").alias("d"), F.min(F.when(F.col("held"), F.col("d"))).alias("old"))
+        state = cut(both.select("s", "v", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("new")))
+    ahead = state.select("s", F.col("v").alias("w"), F.col("d").alias("to"))
+    steps = state.join(hops, "v").join(ahead, ["s", "w"]).where((F.col("d") + F.col("amount") == F.col("to")) & (F.col("d") < F.col("to"))).select("s", "v", "w")
+    steps = cut(steps)
+    walks = state.where("s = v").select("s", "v", num(1).alias("p"))  # shortest paths of 0, 1, 2 ... edges
+    every = []
     while walks.head(1):
+        every.append(walks)
         walks = cut(walks.join(steps, ["s", "v"]).groupBy("s", F.col("w").alias("v")).agg(F.sum("p").alias("p")))
-        paths = cut(paths.union(walks).groupBy("s", "v").agg(F.sum("p").alias("p")))
+    paths = every[0] if every else walks
+    for more in every[1:]:
+        paths = paths.unionAll(more)
+    paths = cut(paths.groupBy("s", "v").agg(F.sum("p").alias("p")))
     share = steps.join(paths, ["s", "v"]).join(paths.select("s", F.col("v").alias("w"), F.col("p").alias("all")), ["s", "w"])
     share = cut(share.select("s", "v", "w", (F.col("p") / F.col("all")).alias("share")))
     # a node's load is its share of what the next nodes have and of the nodes themselves, summed by the edges between
     term = paths.select("s", F.col("v").alias("w"), num(1).alias("t"))
-    load = term.where("false").select(F.col("w").alias("id"), F.col("t").alias("part"))
+    load = None
     while term.head(1):
         term = cut(share.join(term, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("share") * F.col("t")).alias("t")).withColumnRenamed("v", "w"))
-        more = term.where("s <> w").select(F.col("w").alias("id"), F.col("t").alias("part"))
-        load = cut(load.union(more).groupBy("id").agg(F.sum("part").alias("part")))
-    return load
-
-
-def _brandes(near: _Adjacency, source: int, heapq) -> dict[int, float]:
-    """What one source's shortest paths add to each node."""
-    distance, paths, before, done = {source: 0.0}, {source: 1.0}, {source: []}, []
-    queue, closed = [(0.0, source)], set()
-    while queue:
-        d, v = heapq.heappop(queue)
-        if v in closed:
-            continue
-        closed.add(v)
-        done.append(v)
-        for w, x in near.get(v, ()):
-            if w not in distance or d + x < distance[w]:
-                distance[w], paths[w], before[w] = d + x, paths[v], [v]
-                heapq.heappush(queue, (d + x, w))
-            elif w not in closed and d + x == distance[w]:
-                paths[w] += paths[v]
-                before[w].append(v)
-    load = dict.fromkeys(done, 0.0)
-    for w in reversed(done):
-        for v in before[w]:
-            load[v] += paths[v] / paths[w] * (1 + load[w])
-    load.pop(source)
-    return load
+        part = term.where("s <> w").select("s", F.col("w").alias("id"), F.col("t").alias("part"))
+        load = part if load is None else load.unionAll(part)
+    if load is None:
+        return sources.where("false").select(F.col("id").alias("s"), "id", num(0).alias("part"))
+    return load.groupBy("s", "id").agg(F.sum("part").alias("part"))
 
 
-def communities(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFrame:
-    """id and community: Louvain's method within each weak component, nodes in order; communities below the least size are -1."""
-    weak = weak_components(edges)
-    pairs = undirected(edges).join(weak.select(F.col("id").alias("a"), "component"), "a")
-    resolution = cfg.resolution
+def betweenness(edges: DataFrame) -> DataFrame:
+    """id and betweenness by shortest paths from every vertex, amounts (above 0) as distances, normalised. Exact at every size.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        found = louvain(list(zip(frame["a"], frame["b"], frame["weight"])), resolution)
-        return pd.DataFrame({"id": list(found), "leader": list(found.values())})
+    Sources come in batches of so many that there are ``BATCH_ROWS`` rows of (source, node); the time is that of vertices times edges.
+    """
+    hops, nodes, n = _sources(edges)
+    batch, total = max(1, BATCH_ROWS // max(1, n)), None
+    for start in range(0, n, batch):
+        part = cut(_loads(hops, nodes.where(F.col("place").between(start, start + batch - 1))).groupBy("id").agg(F.sum("part").alias("part")))
+        total = part if total is None else total.unionAll(part)
+    scale = num(1 / ((n - 1) * (n - 2)) if n > 2 else 0.0)
+    if total is None:
+        return nodes.select("id", num(0).alias("betweenness"))
+    total = total.groupBy("id").agg(F.sum("part").alias("part"))
+    return nodes.join(total, "id", "left").select("id", (F.coalesce("part", num(0)) * scale).alias("betweenness"))
+
+
+def betweenness_within(edges: DataFrame, error: float, failure: float = 0.05, batch: int = 256) -> DataFrame:
+    """id, betweenness and bound: from as many sources as make it right within ``error`` for all vertices at once, with probability 1 - ``failure``.
+
+    Sources are drawn without replacement, a batch at a time. A source adds between 0 and n - 2 to a vertex; the empirical Bernstein
+    bound, by each vertex's own variance and over all vertices and rounds, says how far its mean can be off. Where all sources
+    are drawn before that, the result is exact and the bound 0.
+    """
+    if not 0 < error or not 0 < failure < 1:
+        raise ValueError("error and failure must be above 0, failure below 1")
+    hops, nodes, n = _sources(edges)
+    batch, k, rounds = max(1, min(batch, BATCH_ROWS // max(1, n))), 0, 0
+    if n <= 2:
+        return nodes.select("id", num(0).alias("betweenness"), num(0).alias("bound"))
+    sums, out = None, None
+    while k < n:
+        drawn = nodes.where(F.col("place").between(k, k + batch - 1))
+        k, rounds = min(n, k + batch), rounds + 1
+        x = F.col("part") / num(n - 2)
+        fresh = _loads(hops, drawn).groupBy("id").agg(F.sum(x).alias("x"), F.sum(x * x).alias("xx"))
+        sums = cut((fresh if sums is None else sums.unionAll(fresh)).groupBy("id").agg(F.sum("x").alias("x"), F.sum("xx").alias("xx")))
+        mean = F.coalesce("x", num(0)) / num(k)
+        variance = F.greatest(num(0), F.coalesce("xx", num(0)) / num(k) - mean * mean) * num(k / max(1, k - 1))
+        log = math.log(3 * n * rounds * (rounds + 1) / failure)
+        bound = F.sqrt(2 * variance * num(log / k)) + num(3 * log / k) if k < n else num(0)
+        scale = num(n / (n - 1))
+        out = cut(nodes.join(sums, "id", "left").select("id", (mean * scale).alias("betweenness"), (bound * scale).alias("bound")))
+        if out.agg(F.max("bound")).first()[0] <= error:
+            break
+    return out
 
-    total = pairs.groupBy("component").applyInPandas(run, "id string, leader string")
-    size = total.groupBy("leader").agg(F.count("*").alias("size"))
-    from pyspark.sql import Window
 
-    named = size.where(F.col("size") >= cfg.min_community).withColumn("community", F.row_number().over(Window.orderBy(F.desc("size"), "leader")) - 1)  # a row a community
-    out = weak.select("id").join(total, "id", "left").join(named, "leader", "left")
+def communities(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFrame:
+    """id and community by Louvain's method, the largest first from 0 on; communities below the least size are -1."""
+    leader = cut(louvain(undirected(edges), cfg.resolution))
+    size = leader.groupBy("leader").agg(F.count("*").alias("size")).where(F.col("size") >= cfg.min_community)
+    named = numbered(size, [-F.col("size"), "leader"], "community").select("leader", "community")
+    every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    out = every.join(leader, "id", "left").join(named, "leader", "left")
     return out.select("id", F.coalesce("community", F.lit(-1)).cast("long").alias("community"))
 
 
-def louvain(pairs: list[tuple[str, str, float]], resolution: float = 1.0) -> dict[str, str]:
-    """The leader of each node's community: local moves in order of node until none gains, then the same on communities."""
-    near: dict[str, dict[str, float]] = {}
-    for a, b, w in pairs:
-        near.setdefault(a, {})[b] = near.get(a, {}).get(b, 0.0) + w
-        near.setdefault(b, {})[a] = near.get(b, {}).get(a, 0.0) + w
-    own = dict.fromkeys(near, 0.0)
-    member = {v: v for v in near}
-    total = sum(w for x in near.values() for w in x.values())
-    while near and total > 0:
-        degree = {v: sum(x.values()) + own[v] for v, x in near.items()}
-        where, held = {v: v for v in near}, dict(degree)
-        order, moved_any = deque(sorted(near)), False
-        waiting = set(order)
-        while order:
-            v = order.popleft()
-            waiting.discard(v)
-            weight: dict[str, float] = {}
-            for u, w in near[v].items():
-                weight[where[u]] = weight.get(where[u], 0.0) + w
-            home = where[v]
-            held[home] -= degree[v]
-            best, most = home, weight.get(home, 0.0) - resolution * held[home] * degree[v] / total
-            for c in sorted(weight):
-                gain = weight[c] - resolution * held[c] * degree[v] / total
-                if gain > most + 1e-12:
-                    best, most = c, gain
-            where[v] = best
-            held[best] += degree[v]
-            if best != home:
-                moved_any = True
-                for u in near[v]:
-                    if where[u] != best and u not in waiting:
-                        waiting.add(u)
-                        order.append(u)
-        if not moved_any:
-            break
-        leader: dict[str, str] = {}
-        for v in sorted(near):
-            leader.setdefault(where[v], v)
-        member = {v: leader[where[c]] for v, c in member.items()}
-        next_near: dict[str, dict[str, float]] = {x: {} for x in leader.values()}
-        next_own = dict.fromkeys(next_near, 0.0)
-        for v, x in near.items():
-            a = leader[where[v]]
-            next_own[a] += own[v]
-            for u, w in x.items():
-                b = leader[where[u]]
-                if a == b:
-                    next_own[a] += w
-                else:
-                    next_near[a][b] = next_near[a].get(b, 0.0) + w
-        near, own = next_near, next_own
-    return member
-
-
 def neighbour_jaccard(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """from_id, to_id and the Jaccard similarity of their neighbourhoods (both directions), by joins: no neighbourhood is gathered."""
     near = edges.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(edges.select("dst", "src")).distinct()
@@ -420,8 +345,8 @@ class AccountGraph:
         """id and betweenness of the ``n`` most central accounts."""
         return self.centrality().select("id", "betweenness").orderBy(F.desc("betweenness"), "id").limit(n)
 
-    def summary(self) -> DataFrame:
-        return summary(self.edges, self.communities(), self.cycles())
+    def summary(self, with_communities: bool = True) -> DataFrame:
+        return summary(self.edges, self.communities() if with_communities else None, self._once("cycle_counts", lambda e: count_cycles(e, self.cfg.max_cycle)))
 
 
 def suspicion(v: DataFrame) -> DataFrame:
@@ -431,15 +356,15 @@ def suspicion(v: DataFrame) -> DataFrame:
     return v.select(F.col("id").alias("account_id"), F.least(num(1), score).alias("suspicion_score")).orderBy(F.desc("suspicion_score"), "account_id")
 
 
-def summary(edges: DataFrame, community: DataFrame | None = None, cycle: DataFrame | None = None) -> DataFrame:
-    """One row of counts and means of the whole graph."""
+def summary(edges: DataFrame, community: DataFrame | None = None, cycle_counts: DataFrame | None = None) -> DataFrame:
+    """One row of counts and means of the whole graph; ``cycle_counts`` has the number of cycles by length."""
     weak, strong = weak_components(edges), strong_components(edges)
     n = weak.agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("weak_components"))
     parts = [edges.agg(F.count("*").alias("edges")), strong.agg(F.count_distinct("component").alias("strong_components")), clustering(edges).agg(F.avg("clustering").alias("mean_clustering"))]
     if community is not None:
         parts.append(community.agg(F.count_distinct("community").alias("communities")))
-    if cycle is not None:
-        parts.append(cycle.agg(F.count("*").alias("cycles")))
+    if cycle_counts is not None:
+        parts.append(cycle_counts.agg(F.sum("n").alias("cycles")))
     for p in parts:
         n = n.crossJoin(p)  # one row each
     density = F.when(F.col("nodes") > 1, F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(num(0))

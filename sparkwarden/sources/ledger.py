@@ -6,6 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..operators.numbering import numbered
 from ..operators.quantiles import quantiles
 
 # Raw columns in file order, the timestamp format and the payment formats' short names.
@@ -77,12 +78,8 @@ def calendar(df: DataFrame) -> DataFrame:
 
 
 def number(df: DataFrame, tie: tuple[str, ...] = ("from_id", "to_id", "amount")) -> DataFrame:
-    """transaction_id 0, 1, ... in order of time, then of ``tie``. No task sorts more than a day."""
-    day = F.to_date("timestamp")
-    per_day = df.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    before = per_day.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a day
-    ranked = df.withColumn("day", day).withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy("timestamp", *tie)))
-    return ranked.join(before.select("day", "before"), "day").withColumn("transaction_id", F.col("before") + F.col("rank") - 1).drop("day", "rank", "before")
+    """transaction_id 0, 1, ... in order of time, then of ``tie``, by ranges of rows however many share a day or a time."""
+    return numbered(df.drop("transaction_id"), ["timestamp", *tie], "transaction_id")
 
 
 def time_split(df: DataFrame, test_share: float = 0.2) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ import pytest
 from helpers import ledger
 
 from sparkwarden.config import GraphConfig
-from sparkwarden.operators import graph, paths
+from sparkwarden.operators import graph, louvain, paths
 
 CFG = GraphConfig(min_amount=0, window_days=365, min_community=2)
 SIMPLE = [("A", "B", 5000, 0), ("A", "B", 3000, 10), ("B", "C", 7000, 20), ("C", "A", 6000, 30), ("D", "E", 2000, 40)]
@@ -45,13 +45,68 @@ def test_pagerank_and_degrees(spark):
     assert b["HUB"] == pytest.approx(1) and b["S1"] == 0
 
 
-def test_betweenness_without_broadcast(spark, monkeypatch):
+def brandes(pairs):
+    """Betweenness from plain lists of (source, target, amount): {id: value}."""
+    import heapq
+
+    near, nodes = {}, sorted({x for s, t, _ in pairs for x in (s, t)})
+    for s, t, a in pairs:
+        if s != t:
+            near.setdefault(s, []).append((t, a))
+    total = dict.fromkeys(nodes, 0.0)
+    for source in nodes:
+        distance, paths, before, done, queue = {source: 0.0}, {source: 1.0}, {source: []}, [], [(0.0, source)]
+        while queue:
+            d, v = heapq.heappop(queue)
+            if v in done:
+                continue
+            done.append(v)
+            for w, a in near.get(v, ()):
+                if w not in distance or d + a < distance[w]:
+                    distance[w], paths[w], before[w] = d + a, paths[v], [v]
+                    heapq.heappush(queue, (d + a, w))
+                elif d + a == distance[w]:
+                    paths[w] += paths[v]
+                    before[w].append(v)
+        load = dict.fromkeys(done, 0.0)
+        for w in reversed(done):
+            for v in before[w]:
+                load[v] += paths[v] / paths[w] * (1 + load[w])
+            if w != source:
+                total[w] += load[w]
+    n = len(nodes)
+    return {v: x / ((n - 1) * (n - 2)) for v, x in total.items()}
+
+
+def test_betweenness_in_batches(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(f"N{rng.randrange(9)}", f"N{rng.randrange(9)}", rng.choice((1, 1, 2, 3)), i) for i in range(22)] + [("X", "Y", 1, 50)]
-    got = lambda: {r["id"]: r["betweenness"] for r in graph.betweenness(edges(spark, rows)).collect()}
-    want = got()
-    monkeypatch.setattr(graph, "BROADCAST_BYTES", 0)
+    e = edges(spark, rows)
+    want = brandes([(r["src"], r["dst"], r["amount"]) for r in e.collect()])
+    got = lambda: {r["id"]: r["betweenness"] for r in graph.betweenness(e).collect()}
     assert got() == pytest.approx(want) and any(want.values())
+    monkeypatch.setattr(graph, "BATCH_ROWS", 60)
+    assert got() == pytest.approx(want)
+    with pytest.raises(ValueError):
+        graph.betweenness(edges(spark, [("A", "B", 0, 0)]))
+
+
+def test_betweenness_within_a_bound(spark):
+    # two groups that only meet in a few accounts, so that some are central by far
+    rng = random.Random(8)
+    pairs = {(f"{g}{rng.randrange(150)}", f"{g}{rng.randrange(150)}") for g in "pq" for _ in range(700)}
+    pairs |= {(f"p{i}", f"m{i % 4}") for i in range(40)} | {(f"m{i % 4}", f"q{i}") for i in range(40)} | {(f"q{i}", f"p{i + 9}") for i in range(3)}
+    flows = [(s, t, float(rng.randrange(1, 30))) for s, t in sorted(pairs)]
+    e = spark.createDataFrame(flows, "src string, dst string, amount double").coalesce(2)
+    want = brandes(flows)
+    got = {r["id"]: (r["betweenness"], r["bound"]) for r in graph.betweenness_within(e, 0.4, batch=120).collect()}
+    assert got.keys() == want.keys() and 0 < max(b for _, b in got.values()) <= 0.4
+    assert all(abs(got[v][0] - want[v]) <= got[v][1] for v in want)
+    top = lambda x: set(sorted(want, key=lambda v: -x(v))[:10])
+    assert len(top(want.get) & top(lambda v: got[v][0])) >= 9
+    few = flows[:30]
+    exact = {r["id"]: (r["betweenness"], r["bound"]) for r in graph.betweenness_within(spark.createDataFrame(few, "src string, dst string, amount double"), 0.01).collect()}
+    assert {v: x for v, (x, _) in exact.items()} == pytest.approx(brandes(few)) and all(b == 0 for _, b in exact.values())
 
 
 def test_components_and_summary(spark):
@@ -59,7 +114,7 @@ def test_components_and_summary(spark):
     assert {r["id"]: r["component"] for r in graph.weak_components(e).collect()} == {"A": "A", "B": "A", "C": "A", "D": "D", "E": "D"}
     strong = {r["id"]: r["component"] for r in graph.strong_components(e).collect()}
     assert strong["A"] == strong["B"] == strong["C"] and len(set(strong.values())) == 3
-    s = graph.summary(e, cycle=paths.cycles(e, 6)).first()
+    s = graph.summary(e, cycle_counts=paths.count_cycles(e, 6)).first()
     assert (s["nodes"], s["edges"], s["weak_components"], s["strong_components"], s["cycles"]) == (5, 4, 2, 3, 1) and s["density"] == pytest.approx(0.2)
     assert s["mean_clustering"] == pytest.approx(3 / 5)
 
@@ -72,6 +127,54 @@ def test_louvain_finds_cliques(spark):
     assert lone["D"] == -1 and lone["A"] >= 0
 
 
+def one_after_the_other(pairs, resolution=1.0):
+    """Louvain's method node by node, in plain Python: the modularity that it reaches."""
+    near, own = {}, {}
+    for a, b, w in pairs:
+        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + w
+        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + w
+    total = sum(w for x in near.values() for w in x.values())
+    while True:
+        degree = {v: sum(x.values()) + own.get(v, 0) for v, x in near.items()}
+        where, held, moved_any, moved = {v: v for v in near}, dict(degree), False, True
+        while moved:
+            moved = False
+            for v in sorted(near):
+                weight = {}
+                for u, w in near[v].items():
+                    weight[where[u]] = weight.get(where[u], 0) + w
+                held[where[v]] -= degree[v]
+                score = lambda c: weight.get(c, 0) - resolution * held[c] * degree[v] / total  # noqa: B023, E731
+                best = max(sorted(weight), key=score, default=where[v])
+                if score(best) > score(where[v]) + 1e-12:
+                    where[v], moved, moved_any = best, True, True
+                held[where[v]] += degree[v]
+        if not moved_any:
+            return sum(own.values()) / total - resolution * sum((k / total) ** 2 for k in degree.values())
+        fresh, loops = {where[v]: {} for v in near}, {}
+        for v, x in near.items():
+            loops[where[v]] = loops.get(where[v], 0) + own.get(v, 0)
+            for u, w in x.items():
+                if where[u] == where[v]:
+                    loops[where[v]] += w
+                else:
+                    fresh[where[v]][where[u]] = fresh[where[v]].get(where[u], 0) + w
+        near, own = fresh, loops
+
+
+@pytest.mark.parametrize("kind", ["planted"])
+def test_louvain_by_joins_is_as_good(spark, kind):
+    rng = random.Random(4)
+    if kind == "planted":
+        rows = {(min(a, b), max(a, b)): 1.0 for a in range(60) for b in range(a) if rng.random() < (0.35 if a % 5 == b % 5 else 0.03)}
+    else:
+        rows = {(8 * g + i, 8 * g + j): 1.0 for g in range(7) for i in range(8) for j in range(i + 1, 8)} | {(min(8 * g, 8 * ((g + 1) % 7) + 1), max(8 * g, 8 * ((g + 1) % 7) + 1)): 1.0 for g in range(7)}
+    pairs = [(f"n{a:03d}", f"n{b:03d}", w) for (a, b), w in rows.items()]
+    df = spark.createDataFrame(pairs, "a string, b string, weight double").coalesce(2)
+    labels = louvain.louvain(df).withColumnRenamed("leader", "community")
+    assert louvain.modularity(df, labels) >= 0.99 * one_after_the_other(pairs)
+
+
 def test_subgraph_and_trails(spark):
     e = edges(spark, SIMPLE)
     seed = spark.createDataFrame([("A",), ("nobody",)], "node string")
