@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 _folders: dict[str, tuple[SparkSession, str]] = {}
 
 
-def _folder(spark: SparkSession) -> str:
+def shared_path(spark: SparkSession) -> str:
     """One for each application below the folder that driver and executors share (spark.checkpoint.dir, or where that is unset the warehouse); it goes when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
@@ -30,6 +30,6 @@ def _forget(app: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """A written table in the shared folder. It outlives lost executors, and later plans know its size: a checkpoint keeps the
     estimates of the plan that made it, which in a loop over joins multiply with every round."""
-    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{shared_path(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..config import ModelConfig
 from ..functions.columns import num
-from . import evaluation
+from . import boosting, evaluation, shapley
 
 DEFAULT = ModelConfig()
 CELL = 2_000
@@ -79,23 +79,17 @@ def oversample(df: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     return kept.unionByName(made, allowMissingColumns=True)
 
 
-def estimators(cfg: ModelConfig, names: list[str], stopping: bool = False) -> dict[str, Pipeline]:
-    """Two boostings: one of shallow trees, one of deeper ones on shares of rows and columns, with smaller steps.
-
-    With ``stopping`` a column held marks rows that are not learned from: rounds end when they gain less than ``stop_gain``.
-    """
+def estimator(cfg: ModelConfig, names: list[str], stopping: bool = False) -> Pipeline:
+    """Boosting of shallow trees. With ``stopping`` a column held marks rows that are not learned from: rounds end when they gain less than ``stop_gain``."""
     assemble = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
-    common = {"labelCol": "label", "weightCol": "weight", "seed": cfg.seed, "maxIter": cfg.rounds, "validationTol": cfg.stop_gain}
-    if stopping:
-        common["validationIndicatorCol"] = "held"
-    return {
-        "gbt": Pipeline(stages=[assemble, GBTClassifier(maxDepth=4, stepSize=0.1, **common)]),
-        "gbt_deep": Pipeline(stages=[assemble, GBTClassifier(maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", **common)]),
-    }
+    more = {"validationIndicatorCol": "held"} if stopping else {}
+    return Pipeline(stages=[assemble, GBTClassifier(maxDepth=4, stepSize=0.1, labelCol="label", weightCol="weight", seed=cfg.seed, maxIter=cfg.rounds, validationTol=cfg.stop_gain, **more)])
 
 
-def scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+def scores(model: PipelineModel | boosting.Boosted, df: DataFrame) -> DataFrame:
     """transaction_id, label (if it is there) and score."""
+    if isinstance(model, boosting.Boosted):
+        return model.scores(df)
     out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
     return out.select("transaction_id", *(["label"] if "label" in df.columns else []), "score")
 
@@ -103,7 +97,7 @@ def scores(model: PipelineModel, df: DataFrame) -> DataFrame:
 class Trained:
     """A model with its threshold, metrics and feature names."""
 
-    def __init__(self, model: PipelineModel, name: str, threshold: float, metrics: dict, names: list[str]):
+    def __init__(self, model: PipelineModel | boosting.Boosted, name: str, threshold: float, metrics: dict, names: list[str]):
         self.model, self.name, self.threshold, self.metrics, self.names = model, name, threshold, metrics, names
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
@@ -113,57 +107,49 @@ class Trained:
         return self.predict_proba(df).withColumn("prediction", (F.col("ml_score") >= num(self.threshold)).cast("int"))
 
     def importances(self) -> list[tuple[str, float]]:
-        values = self.model.stages[-1].featureImportances.toArray()
+        values = self.model.importances() if isinstance(self.model, boosting.Boosted) else self.model.stages[-1].featureImportances.toArray()
         return sorted(zip(self.names, map(float, values)), key=lambda x: (-x[1], x[0]))
 
-    def explain(self, df: DataFrame, background: DataFrame | None = None, most: int = 5_000, top: int = 20) -> DataFrame:
-        """transaction_id, place, feature, value and effect of the ``top`` features of each row: how the score falls if the feature has its mean.
-
-        Means are those of ``background`` (df itself if not given). The first ``most`` rows by id are explained, each once for every
-        feature. Ties of effects are in order of name.
-        """
-        plain = [F.coalesce(F.col(c).cast("double"), num(0)).alias(c) for c in self.names]
-        rows = df.select("transaction_id", *plain)
-        mean = (df if background is None else background).select(*plain).agg(F.struct(*[F.avg(c).alias(c) for c in self.names]).alias("_mean"))  # a row
-        few = rows.orderBy("transaction_id").limit(most).crossJoin(F.broadcast(mean))
-        each = few.withColumn("_feature", F.explode(F.array(F.lit(""), *map(F.lit, self.names))))
-        value = F.coalesce(*[F.when(F.col("_feature") == c, F.col(c)) for c in self.names])
-        changed = each.withColumn("_value", value).withColumns({c: F.when(F.col("_feature") == c, F.col(f"_mean.{c}")).otherwise(F.col(c)) for c in self.names})
-        scored = self.model.transform(changed).select("transaction_id", "_feature", "_value", vector_to_array("probability")[1].alias("_score"))
-        whole = F.max(F.when(F.col("_feature") == "", F.col("_score"))).over(Window.partitionBy("transaction_id"))
-        effect = scored.withColumn("effect", whole - F.col("_score")).where("_feature <> ''")
-        place = F.row_number().over(Window.partitionBy("transaction_id").orderBy(F.desc(F.abs("effect")), "_feature"))
-        return effect.withColumn("place", place).where(F.col("place") <= top).select("transaction_id", "place", F.col("_feature").alias("feature"), F.col("_value").alias("value"), "effect")
+    def explain(self, df: DataFrame, top: int = 20) -> DataFrame:
+        """transaction_id, margin, base, place, feature, value and effect: the ``top`` features of every row by their Shapley values of the trees."""
+        return shapley.explain(self.model, self.names, df, top)
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
+        if isinstance(self.model, boosting.Boosted):
+            boosting.save(self.model, SparkSession.getActiveSession(), f"{path}/model")
+        else:
+            self.model.write().overwrite().save(f"{path}/model")
         about = json.dumps({"name": self.name, "threshold": self.threshold, "metrics": self.metrics, "names": self.names})
         SparkSession.getActiveSession().createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @staticmethod
     def load(path: str) -> Trained:
-        about = json.loads(SparkSession.getActiveSession().read.text(f"{path}/about").first()[0])
-        return Trained(PipelineModel.load(f"{path}/model"), about["name"], about["threshold"], about["metrics"], about["names"])
+        read = lambda part: SparkSession.getActiveSession().read.text(f"{path}/{part}").first()[0]
+        about = json.loads(read("about"))
+        model = boosting.Boosted.of_text(read("model")) if about["name"] == "histogram" else PipelineModel.load(f"{path}/model")
+        return Trained(model, about["name"], about["threshold"], about["metrics"], about["names"])
 
 
-def train(train_rows: DataFrame, validation: DataFrame, cfg: ModelConfig = DEFAULT, resample: bool = False) -> Trained:
-    """Both estimators, stopped by the validation rows; the better average precision there wins (the first on a tie), with its best threshold."""
+def candidates(train_rows: DataFrame, validation: DataFrame, cfg: ModelConfig = DEFAULT, resample: bool = False) -> list[Trained]:
+    """Both boostings (first order, and second order on histograms), stopped by the validation rows, each with its metrics and best threshold there."""
     names = feature_names(train_rows)
     learned = oversample(train_rows, cfg) if resample else train_rows
     rows = weighted(learned.withColumn("held", F.lit(False)).unionByName(validation.withColumn("held", F.lit(True))), by=learned).persist()
     stopping = bool(validation.limit(1).count())
-    best = None
-    for name, estimator in estimators(cfg, names, stopping).items():
-        model = estimator.fit(rows)
+    out = []
+    for name in ("gbt", "histogram"):
+        model = estimator(cfg, names, stopping).fit(rows) if name == "gbt" else boosting.fit(rows, names, boosting.BoostingConfig(rounds=cfg.rounds))
         scored = scores(model, validation).persist()
-        ranking = evaluation.ranking_metrics(scored).first().asDict()
-        if best is None or (ranking["average_precision"] or 0) > (best[2]["average_precision"] or 0):
-            cut = evaluation.best_threshold(scored, cfg.target_recall, cfg.thresholds).first().asDict()
-            best = (name, model, ranking | cut)
+        metrics = evaluation.ranking_metrics(scored).first().asDict() | evaluation.best_threshold(scored, cfg.target_recall, cfg.thresholds).first().asDict()
         scored.unpersist()
+        out.append(Trained(model, name, float(metrics["threshold"]), {k: float(v) for k, v in metrics.items() if v is not None}, names))
     rows.unpersist()
-    name, model, metrics = best
-    return Trained(model, name, float(metrics["threshold"]), {k: float(v) for k, v in metrics.items() if v is not None}, names)
+    return out
+
+
+def train(train_rows: DataFrame, validation: DataFrame, cfg: ModelConfig = DEFAULT, resample: bool = False) -> Trained:
+    """The candidate with the better average precision on the validation rows (the first on a tie)."""
+    return max(candidates(train_rows, validation, cfg, resample), key=lambda m: m.metrics.get("average_precision", 0.0))
 
 
 def folds(df: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
@@ -183,7 +169,7 @@ def cross_validate(df: DataFrame, cfg: ModelConfig = DEFAULT) -> DataFrame:
     parts = None
     for k in range(cfg.folds):
         names = feature_names(df)
-        model = estimators(cfg, names)["gbt"].fit(weighted(dealt.where(F.col("fold") != k).drop("fold")))
+        model = estimator(cfg, names).fit(weighted(dealt.where(F.col("fold") != k).drop("fold")))
         part = evaluation.long_metrics(evaluation.ranking_metrics(scores(model, dealt.where(F.col("fold") == k))))
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))

@@ -703,6 +703,15 @@ def _(spark, d):
     return trained.predict(rows.drop("label"))
 
 
+@query("ml_explain")
+def _(spark, d):
+    """The five features that move each transaction's score most, by Shapley values of the trees."""
+    rows = _matrix(spark, d)
+    part = F.pmod(F.xxhash64("transaction_id"), F.lit(5))
+    trained = ml.train(rows.where(part > 1), rows.where(part == 1))
+    return trained.explain(rows.drop("label"), top=5)
+
+
 @query("cv_folds", f"WITH {E} SELECT label, fold, count(*) AS n FROM (SELECT is_laundering AS label, ((row_number() OVER (PARTITION BY is_laundering ORDER BY transaction_id) - 1) % 5)::INTEGER AS fold FROM e) GROUP BY 1, 2")
 def _(spark, d):
     df = events(spark, d).select("transaction_id", F.col("is_laundering").alias("label"))

@@ -111,8 +111,9 @@ def test_models(spark):
     part = F.pmod(F.col("transaction_id"), F.lit(3))
     trained = ml.train(df.where(part > 0), df.where(part == 0), ModelConfig(rounds=8), resample=True)
     assert trained.metrics["average_precision"] > 0.99
-    why = trained.explain(df.where("label = 1"), df, most=5, top=1).collect()
-    assert len(why) == 5 and all(r["feature"] == "x" and r["value"] >= 95 and r["effect"] > 0 for r in why)
+    why = trained.explain(df.where("label = 1"), top=1).collect()
+    assert len(why) == 30 and all(r["feature"] == "x" and r["value"] >= 95 and r["effect"] > 0 for r in why)
     # where nothing can be learned, boosting stops early
     noise = df.withColumn("label", F.pmod(F.xxhash64("transaction_id"), F.lit(2)).cast("int"))
-    assert ml.train(noise.where(part > 0), noise.where(part == 0), ModelConfig(rounds=20)).model.stages[-1].getNumTrees < 20
+    found = ml.candidates(noise.where(part > 0), noise.where(part == 0), ModelConfig(rounds=20))
+    assert found[0].model.stages[-1].getNumTrees < 20 and len(found[1].model.trees) < 20
