@@ -283,6 +283,14 @@ def test_url_query(spark):
     assert urls.op7(df.limit(0)).count() == 0
 
 
+def test_url_verdict_of_each_rule(spark):
+    want = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}  # the contract's list
+    df = spark.createDataFrame([(i, f"http://{r}") for i, r in enumerate(want)] + [(9, "http://a.net/de/x.zip")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.op7(df).collect()}
+    assert [got[i] for i in range(5)] == list(want.items())
+    assert got[9] == ("net/de/", "allow")  # a rule that fits goes before the default globs
+
+
 def brute_quality(t):
     t = t or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
