@@ -248,15 +248,11 @@ def _(spark, d):
     return df.select("transaction_id", *[ru.score_name(r) for r in _SIX], "rule_composite_score", "rule_flagged", "rule_trigger_count", "rule_max_score")
 
 
-ONE = SCORED.replace("FROM events)", "FROM events WHERE user_id = (SELECT user_id FROM events WHERE event_id = 77))")
-
-
-@query("rule_single", f"WITH {ONE} SELECT transaction_id, {', '.join(f'round(rule_{r}_score, 6) AS {r}' for r in ('structuring', 'rapid_movement', 'velocity'))}, 0e0 AS geographic_risk FROM scored WHERE transaction_id = 77")
+@query("rule_single", f"WITH {SCORED} SELECT transaction_id, {', '.join(f'round(rule_{r}_score, 6) AS {r}' for r in ('structuring', 'rapid_movement', 'velocity'))}, 0e0 AS geographic_risk FROM scored WHERE transaction_id = 77")
 def _(spark, d):
-    """One transaction beside its sender's others: all four results."""
+    """One transaction beside the whole ledger: what passes an inflow on is sent by others. All four results."""
     df = events(spark, d).withColumns({"from_bank": F.lit("XX"), "to_bank": F.lit("XX"), "is_cross_currency": F.lit(0)})
-    one = df.where("transaction_id = 77")
-    past = df.join(one.select("from_id"), "from_id", "left_semi").where("transaction_id <> 77")
+    one, past = df.where("transaction_id = 77"), df.where("transaction_id <> 77")
     out = ru.evaluate_single(spark, one, past, RULES)
     score = F.map_from_entries(F.transform("results", lambda x: F.struct(x["rule_name"], x["risk_score"])))
     return out.select("transaction_id", *[score[r].alias(r) for r in ("structuring", "rapid_movement", "velocity", "geographic_risk")])

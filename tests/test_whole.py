@@ -131,3 +131,11 @@ def test_scores_have_round_trips(spark, tmp_path):
         s = {r: one[r][x["transaction_id"]] for r in one}
         assert math.isclose(x["rule_composite_score"], min(1, sum(weights[r] * v for r, v in s.items()) / 0.85), abs_tol=2e-6) and x["rule_trigger_count"] == sum(v > 0 for v in s.values())
     assert {r["rule"]: r["n_hits"] for r in q.QUERIES["eval_rules"](spark, d).collect()}["round_tripping"] == trips > 0
+
+
+def test_single_transaction_beside_whole_ledger(spark, tmp_path):
+    rows = [(77, "2024-01-01 10:00:00", 1, 2, 100.0), (78, "2024-01-01 11:00:00", 2, 3, 90.0), (79, "2024-01-02 10:00:00", 1, 4, 5.0)]
+    df = spark.createDataFrame([(i, t, s, f'{{"k": {k}}}', v, "click") for i, t, s, k, v in rows], "event_id long, ts string, user_id long, props string, value double, event_type string")
+    df.selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "props", "value", "event_type").write.parquet(str(tmp_path / "events.parquet"))
+    got = q.QUERIES["rule_single"](spark, str(tmp_path)).collect()
+    assert [(r["transaction_id"], r["rapid_movement"]) for r in got] == [(77, 0.57)]  # its receiver, another account, sends 90 % on
