@@ -110,3 +110,29 @@ def test_config():
         from dataclasses import replace
 
         replace(Config(), alerts=replace(Config().alerts, weight_ml=0.9)).validate()
+
+
+def test_rolling_windows_grow_only(spark):
+    import random
+    from datetime import timedelta
+
+    import numpy as np
+    from helpers import START
+
+    from sparkwarden.operators import features
+
+    # times at the ends of blocks (midnight), at frames' open left ends and together
+    rng = random.Random(7)
+    rows = [(rng.choice("AAB"), rng.choice("ABC"), rng.choice((5, 9200.25, 300, 8100)), rng.choice((0, 0, 1)) + 720 * rng.randrange(240) - 600) for _ in range(160)]
+    df = features.rolling(ledger(spark, rows).coalesce(1))
+    assert "RangeFrame, -" not in df._jdf.queryExecution().toString()  # a sliding frame is summed anew for every row
+    got = {r["transaction_id"]: r for r in df.collect()}
+    assert len(got) == len(rows)
+    at = [START + timedelta(minutes=r[3]) for r in rows]
+    for i, row in enumerate(rows):
+        for side, key in (("sender", 0), ("receiver", 1)):
+            for d in (1, 7, 30, 90):
+                a = [r[2] for k, r in enumerate(rows) if r[key] == row[key] and at[i] - timedelta(days=d) < at[k] <= at[i]]
+                want = {"count": len(a), "sum": sum(a), "mean": sum(a) / len(a), "max": max(a), "std": np.std(a, ddof=1) if len(a) > 1 else 0}
+                for name, value in want.items():
+                    assert got[i][f"feat_{side}_{name}_{d}d"] == pytest.approx(value, abs=1e-6), (i, side, name, d)
