@@ -44,7 +44,6 @@ class FeatureConfig:
 @dataclass(frozen=True)
 class GraphConfig:
     min_amount: float = 100.0
-    max_nodes: int = 100_000
     window_days: int = 30
     resolution: float = 1.0
     min_community: int = 3

@@ -41,11 +41,6 @@ def top_edges(edges: DataFrame, n: int) -> DataFrame:
     return edges.orderBy(F.desc("amount"), "src", "dst").limit(n)
 
 
-def cap_edges(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFrame:
-    """All edges, or the 5 * max_nodes largest if there are over 10 * max_nodes."""
-    return top_edges(edges, 5 * cfg.max_nodes) if edges.count() > 10 * cfg.max_nodes else edges
-
-
 def vertices(edges: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"), F.sum("amount").alias("out_flow"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"), F.sum("amount").alias("in_flow"))
@@ -282,7 +277,7 @@ class AccountGraph:
         self.cfg, self._edges, self._kept = cfg, None, {}
 
     def build(self, df: DataFrame) -> AccountGraph:
-        self._edges, self._kept = cut(cap_edges(build_edges(df, self.cfg), self.cfg)), {}
+        self._edges, self._kept = cut(build_edges(df, self.cfg)), {}
         return self
 
     @property

@@ -139,3 +139,9 @@ def test_single_transaction_beside_whole_ledger(spark, tmp_path):
     df.selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "props", "value", "event_type").write.parquet(str(tmp_path / "events.parquet"))
     got = q.QUERIES["rule_single"](spark, str(tmp_path)).collect()
     assert [(r["transaction_id"], r["rapid_movement"]) for r in got] == [(77, 0.57)]  # its receiver, another account, sends 90 % on
+
+
+def test_graph_takes_every_edge(spark):
+    n = 1_000_100
+    df = spark.range(n).selectExpr("'A' || id % 2000 from_id", "'B' || id div 2000 to_id", "100d + id amount", "timestamp '2024-01-01 10:00:00' timestamp")
+    assert graph.AccountGraph().build(df).edges.count() == n
