@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -27,20 +28,33 @@ def stateless(stream: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
     return stream.withColumn("rule_structuring_score", clip(score))
 
 
+#: Senders are dealt to so many groups: a call to Python and a state row a sender take far longer than its few transactions.
+BUCKETS = 8192
+
+
 def dormant(stream: DataFrame, cfg: RuleConfig = DEFAULT) -> DataFrame:
-    """Large transactions of senders that were silent for long: each sender's last time is its state."""
+    """Large transactions of senders that were silent for long: each sender's last time is state, of which a bucket of senders has one row. Rows without a time are passed over."""
     keep = "transaction_id long, from_id string, gap_days double, amount double"
-    rows = stream.select("transaction_id", "from_id", "amount", us().alias("us"))
+    rows = stream.select("transaction_id", "from_id", "amount", us().alias("us"), F.pmod(F.xxhash64("from_id"), F.lit(BUCKETS)).alias("bucket"))
 
     def run(key, frames, state):
-        last = state.get[0] if state.exists else None
-        frame = pd.concat(list(frames)).sort_values(["us", "transaction_id"])
-        out = []
-        for t in frame.itertuples():
-            if last is not None and t.us - last >= cfg.dormant_days * DAY_US and t.amount >= cfg.dormant_min_amount:
-                out.append((t.transaction_id, key[0], (t.us - last) / DAY_US, t.amount))
-            last = t.us if last is None else max(last, t.us)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["transaction_id", "from_id", "gap_days", "amount"])
-
-    return rows.groupBy("from_id").applyInPandasWithState(run, keep, "last long", "append", GroupStateTimeout.NoTimeout)
+        known = dict(zip(*state.get)) if state.exists else {}
+        frame = pd.concat(list(frames))
+        frame = frame[frame["us"].notna()]
+        code, names = pd.factorize(frame["from_id"], use_na_sentinel=False)
+        names = [None if pd.isna(n) else n for n in names]
+        order = np.lexsort((frame["transaction_id"].to_numpy(), frame["us"].to_numpy(), code))
+        frame, code = frame.iloc[order], code[order]
+        at = frame["us"].to_numpy().astype(float)  # microseconds are exact up to the year 2255
+        first = np.append(True, code[1:] != code[:-1])[: len(code)]
+        before = np.where(first, np.nan, np.append(np.nan, at[:-1])[: len(at)])
+        before = np.fmax(before, np.array([known.get(n, np.nan) for n in names], float)[code])
+        hit = (at - before >= cfg.dormant_days * DAY_US) & (frame["amount"].to_numpy() >= cfg.dormant_min_amount)
+        for n, t in zip(names, at[np.append(first[1:], True)[: len(at)]]):  # codes are in order of names
+            known[n] = max(known.get(n, int(t)), int(t))
+        state.update((list(known), list(known.values())))
+        if hit.any():
+            found = frame[hit]
+            yield pd.DataFrame({"transaction_id": found["transaction_id"], "from_id": found["from_id"], "gap_days": (at - before)[hit] / DAY_US, "amount": found["amount"]})
+
+    return rows.groupBy("bucket").applyInPandasWithState(run, keep, "senders array<string>, last array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -145,3 +145,9 @@ def test_graph_takes_every_edge(spark):
     n = 1_000_100
     df = spark.range(n).selectExpr("'A' || id % 2000 from_id", "'B' || id div 2000 to_id", "100d + id amount", "timestamp '2024-01-01 10:00:00' timestamp")
     assert graph.AccountGraph().build(df).edges.count() == n
+
+
+def test_dormant_stream_is_written_by_executors(spark):
+    found = q.QUERIES["dormant_stream"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles()  # rows of a memory sink are the driver's
+    assert found.count() == q.QUERIES["dormant_stream"](spark, "/root/testdata/sf0.001").count() > 0
