@@ -176,7 +176,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_chars: int = 40) -> Dat
     gone = gone.select(F.col("i").alias(f"{i}r"), F.col("h").alias(f"{h}r"), F.col("gone").alias(g))
     text = F.col("text").cast("string")
     keyed = docs.withColumns({i: F.col("doc_id").cast("long"), h: F.xxhash64(text)})
-    joined = keyed.join(gone, keyed[i].eqNullSafe(F.col(f"{i}r")) & (keyed[h] == F.col(f"{h}r")), "left")
+    # merged at every size: a broadcast would only hold while the deletions are few
+    joined = keyed.join(gone.hint("merge"), keyed[i].eqNullSafe(F.col(f"{i}r")) & (keyed[h] == F.col(f"{h}r")), "left")
     split = F.split(text, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - F.lit(1)), F.col(g))
     # bound as a variable, the lines are split once and not again for each that is kept

@@ -378,3 +378,13 @@ def test_decontamination_odd_rows(spark):
     kept = decontaminate.decontaminate(documents(spark, [t, t, other], [None, 1, 1]), bench)
     assert [r["text"] for r in kept.collect()] == [other] and kept.columns == documents(spark, [t]).columns
     assert decontaminate.op2(documents(spark, [t]).limit(0), bench).count() == 0
+
+
+def test_lines_small_tables_move_texts_as_large_ones_do(spark):
+    """Deletions meet their texts by one plan at every size, so disk grows with the input and not by a change of plan."""
+    line = "a line of text that is longer than forty characters"
+    docs = spark.createDataFrame([(k, f"{line}\nnumber {k}") for k in range(20)], "doc_id long, text string")
+    out = lines.dedup_lines(docs)
+    assert sum(r["n_removed"] for r in out.collect()) == 19
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
