@@ -3,8 +3,9 @@
 The distinct pre-tokens of a batch form one array of symbols. An inverted index from a pair's merge rank to the
 positions where that pair stands is drained in rank order; a merge touches only its two neighbours. A merge that makes
 a pair of lower rank than its own (possible where two merge paths lead to one token) sends the rest of that word's
-positions back to the index, so the order inside every word is the tokeniser's own. Every distinct pre-token is
-replayed once a batch and kept in a bounded table; texts are then only looked up, and nothing is shuffled.
+positions back to the index, so the order inside every word is the tokeniser's own. A distinct pre-token is
+replayed once and kept in a worker's bounded tables, where those that recur stay, also for the worker's next tasks; texts
+are then only looked up, and nothing is shuffled.
 
 Null text: as empty, no tokens; an empty table gives no rows. Rows without an id and repeated rows are encoded alike. A
 text is encoded whole, however long. Other columns, whatever their names, are left out of the result.
@@ -19,7 +20,6 @@ import hashlib
 import heapq
 import re
 from bisect import bisect_right
-from contextlib import contextmanager
 from functools import cache
 from itertools import chain
 
@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from .common import slices
 
-#: Distinct pre-tokens kept by a worker; beyond that only those of the batch at hand stay.
-TABLE = 250_000
+#: Distinct pre-tokens of a worker's table; beyond that another is begun, which takes over what is met again, and only the last two are kept.
+TABLE = 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -186,12 +186,19 @@ class Tokenizer:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.split = Replay(ranks), splitter(pattern)
         self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
         self.names = {i: str(i) for i in ranks.values()}
 
     def learn(self, pieces: set[str]) -> None:
-        new = [w for w in pieces if w not in self.known]
-        if len(self.known) + len(new) > TABLE:
-            self.known = {w: self.known[w] for w in pieces if w in self.known}
+        if len(self.known) >= TABLE:
+            self.known, self.older = {}, self.known
+        new = []
+        for w in pieces:
+            if w not in self.known:
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                else:
+                    new.append(w)
         ids = self.replay.encode([w.encode() for w in new])
         flat = np.fromiter(chain.from_iterable(ids), np.uint32).tobytes()
         start = 0
@@ -218,16 +225,12 @@ class Tokenizer:
 _kept: dict[tuple[str, str], Tokenizer] = {}
 
 
-@contextmanager
-def _tokenizer(path: str, pattern: str):
-    """A worker's tokenizer for a vocabulary. The table of pre-tokens goes when the task ends; the ranks stay."""
+def _tokenizer(path: str, pattern: str) -> Tokenizer:
+    """A worker's tokenizer for a vocabulary; its tables stay for the worker's next tasks."""
     if (path, pattern) not in _kept:
         _kept.clear()
         _kept[path, pattern] = Tokenizer(load_ranks(path), pattern)
-    try:
-        yield _kept[path, pattern]
-    finally:
-        _kept[path, pattern].known = {}
+    return _kept[path, pattern]
 
 
 def _pieces(batches):
@@ -239,10 +242,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and the token ids of every whole text. ``path``: a .tiktoken file that every executor has."""
 
     def run(batches):
-        with _tokenizer(path, pattern) as tokenizer:
-            for piece in _pieces(batches):
-                texts = [t or "" for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokenizer.encode_batch(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        tokenizer = _tokenizer(path, pattern)
+        for piece in _pieces(batches):
+            texts = [t or "" for t in piece.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokenizer.encode_batch(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -251,10 +254,10 @@ def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the bytes that the ids stand for. Null ids: as none."""
 
     def run(batches):
-        with _tokenizer(path, pattern) as tokenizer:
-            for batch in batches:
-                data = [tokenizer.decode_bytes(ids or ()) for ids in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
+        tokenizer = _tokenizer(path, pattern)
+        for batch in batches:
+            data = [tokenizer.decode_bytes(ids or ()) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())], names=["doc_id", "ids", "data"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, data binary")
 
@@ -264,14 +267,14 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        with _tokenizer(path, pattern) as tokenizer:
-            for piece in _pieces(batches):
-                n, said, decoded = [], [], []
-                for ids in tokenizer.encode_batch([t or "" for t in piece.column("text").to_pylist()]):
-                    n.append(len(ids))
-                    said.append(sha(tokenizer.said(ids).encode()))
-                    decoded.append(sha(tokenizer.decode_bytes(ids)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokenizer = _tokenizer(path, pattern)
+        for piece in _pieces(batches):
+            n, said, decoded = [], [], []
+            for ids in tokenizer.encode_batch([t or "" for t in piece.column("text").to_pylist()]):
+                n.append(len(ids))
+                said.append(sha(tokenizer.said(ids).encode()))
+                decoded.append(sha(tokenizer.decode_bytes(ids)))
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -317,3 +317,20 @@ def test_quality(spark):
     assert got[n - 4][6] and got[n - 1][6]  # clean prose stays, a footer does not condemn it
     cleaned = {r["doc_id"]: r["cleaned"] for r in quality.quality(documents(spark, texts)).collect()}
     assert "rights" not in cleaned[n - 1] and "menu" not in cleaned[n - 3] and quality.op10(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_bpe_words_that_recur_are_replayed_once(monkeypatch):
+    """Also where a worker meets more distinct words than a table holds, and in its next task."""
+    monkeypatch.setattr(bpe, "TABLE", 20)
+    monkeypatch.setattr(bpe, "_kept", {})
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokenizer, replayed = bpe._tokenizer(path, tokenizers.PATTERN), []
+    replay = tokenizer.replay.encode
+    monkeypatch.setattr(tokenizer.replay, "encode", lambda words: replayed.extend(words) or replay(words))
+    theirs = tiktoken.Encoding("test", pat_str=tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    for k in range(30):
+        text = "qzxrecurs" + "".join(f" qzx{'abcdefghij'[k % 10]}{'klmnopqrst'[j]}{k}" for j in range(9))
+        ids = next(iter(bpe._tokenizer(path, tokenizers.PATTERN).encode_batch([text])))
+        assert ids == theirs.encode_ordinary(text)
+        assert len(tokenizer.known) + len(tokenizer.older) < 120
+    assert replayed.count(b"qzxrecurs") == 1
