@@ -4,8 +4,9 @@ The distinct pre-tokens of a batch form one array of symbols. An inverted index
 positions where that pair stands is drained in rank order; a merge touches only its two neighbours. A merge that makes
 a pair of lower rank than its own (possible where two merge paths lead to one token) sends the rest of that word's
 positions back to the index, so the order inside every word is the tokeniser's own. A distinct pre-token is
-replayed once and kept in a worker's bounded tables, where those that recur stay, also for the worker's next tasks; texts
-are then only looked up, and nothing is shuffled.
+replayed once and kept in a worker's bounded tables, where those that recur stay; texts are then only looked up, and
+nothing is shuffled. ``digests`` leaves the tables to the worker's next tasks. ``encode`` drops them when its task ends:
+what follows it in a pipeline runs in the same workers and needs the memory.
 
 Null text: as empty, no tokens; an empty table gives no rows. Rows without an id and repeated rows are encoded alike. A
 text is encoded whole, however long. Other columns, whatever their names, are left out of the result.
@@ -207,6 +208,9 @@ class Tokenizer:
             self.known[w] = flat[start:end]
             start = end
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def encode_batch(self, texts: list[str]):
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split))
@@ -226,7 +230,7 @@ _kept: dict[tuple[str, str], Tokenizer] = {}
 
 
 def _tokenizer(path: str, pattern: str) -> Tokenizer:
-    """A worker's tokenizer for a vocabulary; its tables stay for the worker's next tasks."""
+    """A worker's tokenizer for a vocabulary; its tables stay for the worker's next tasks unless a task drops them."""
     if (path, pattern) not in _kept:
         _kept.clear()
         _kept[path, pattern] = Tokenizer(load_ranks(path), pattern)
@@ -243,9 +247,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         tokenizer = _tokenizer(path, pattern)
-        for piece in _pieces(batches):
-            texts = [t or "" for t in piece.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokenizer.encode_batch(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        try:
+            for piece in _pieces(batches):
+                texts = [t or "" for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokenizer.encode_batch(texts), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        finally:
+            tokenizer.forget()
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, ids array<int>")
 

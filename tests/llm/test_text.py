@@ -334,3 +334,21 @@ def test_bpe_words_that_recur_are_replayed_once(monkeypatch):
         assert ids == theirs.encode_ordinary(text)
         assert len(tokenizer.known) + len(tokenizer.older) < 120
     assert replayed.count(b"qzxrecurs") == 1
+
+
+def test_encode_leaves_no_tables_in_its_workers(spark):
+    """What comes after it in a pipeline runs in the same workers."""
+    pattern = f"(?:{tokenizers.PATTERN})"  # a tokenizer of this test alone
+    out = bpe.encode(documents(spark, [f"qzx{k} words of a text" for k in range(40)]).repartition(4), PATH, pattern).collect()
+    assert len(out) == 40 and all(r["ids"] for r in out)
+
+    def held(batches):
+        import pyarrow as pa
+        from sparkwarden.llm import bpe as theirs
+
+        for _ in batches:
+            kept = [t for (_, p), t in theirs._kept.items() if p == pattern]
+            yield pa.RecordBatch.from_pydict({"tokenizers": [len(kept)], "words": [sum(len(t.known) + len(t.older) for t in kept)]})
+
+    rows = spark.range(8, numPartitions=4).mapInArrow(held, "tokenizers long, words long").collect()
+    assert sum(r["tokenizers"] for r in rows) and not sum(r["words"] for r in rows)
