@@ -688,8 +688,9 @@ def _(spark, d):
 
 
 def _matrix(spark, d):
+    """The features with their label, written once: training, each model's validation and the result all read it."""
     rows = events(spark, d)
-    return fe.transaction(rows).join(fe.risk(rows), "transaction_id").join(rows.select("transaction_id", F.col("is_laundering").alias("label")), "transaction_id")
+    return cut(fe.transaction(rows).join(fe.risk(rows), "transaction_id").join(rows.select("transaction_id", F.col("is_laundering").alias("label")), "transaction_id"))
 
 
 @query("ml_scores")

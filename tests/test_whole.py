@@ -151,3 +151,10 @@ def test_dormant_stream_is_written_by_executors(spark):
     found = q.QUERIES["dormant_stream"](spark, "/root/testdata/sf0.001")
     assert found.inputFiles()  # rows of a memory sink are the driver's
     assert found.count() == q.QUERIES["dormant_stream"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_model_matrix_is_made_once(spark, tmp_path):
+    """Its readers (two models, their validation and the result) read a table; they do not join the features again."""
+    small_events(spark, tmp_path)
+    made = q._matrix(spark, str(tmp_path))
+    assert made.count() and "Join" not in made._jdf.queryExecution().executedPlan().toString()
