@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import GraphConfig
 from ..functions.columns import DAY_US, num, us
@@ -150,69 +150,104 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 #: Rows of (source, node) that betweenness keeps at once.
 BATCH_ROWS = 50_000_000
+#: A batch has at most so many times the sources of the one before, whose rows say how many nodes a source reaches.
+BATCH_GROWTH = 16
 
 
-def _sources(edges: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Edges (v, w, amount) without loops, nodes (id, place) in an order drawn by hash, and their number."""
-    hops = cut(edges.where("src <> dst").select(F.col("src").alias("v"), F.col("dst").alias("w"), F.col("amount").cast("double").alias("amount")))
-    if hops.where("amount <= 0").head(1):
-        raise ValueError("betweenness takes amounts as distances, which must be above 0")
-    every = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    nodes = cut(numbered(every, [F.xxhash64("id"), "id"], "place"))
-    return hops, nodes, nodes.count()
-
+def _sources(edges: DataFrame, *order: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (v, w, amount) without loops, those of them that leave a node which an edge enters, and nodes (id, kind, place).
 
-def _loads(hops: DataFrame, sources: DataFrame) -> DataFrame:
-    """s, id and part: what the shortest paths of each source (column id) add to each node, by Brandes' sums over joins.
-
-    All sources move together: a round follows one more edge of all shortest paths. Rows are (source, node); no path is listed.
+    v and w are places, which follow ``order``, then a hash. kind: 0 has edges in and out, 1 only out, 2 none out.
     """
-    state = cut(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), num(0).alias("d"), F.lit(True).alias("new")))
+    flat = edges.where("src <> dst").select("src", "dst", F.col("amount").cast("double").alias("amount"))
+    if flat.where("amount <= 0").head(1):
+        raise ValueError("betweenness takes amounts as distances, which must be above 0")
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("src").alias("id"), (F.col("src") != F.col("dst")).alias("out"), F.lit(False).alias("into")),
+        F.struct(F.col("dst").alias("id"), F.lit(False).alias("out"), (F.col("src") != F.col("dst")).alias("into")),
+    )).alias("e")).select("e.*").groupBy("id").agg(F.max("out").alias("out"), F.max("into").alias("into"))
+    every = ends.select("id", F.when(~F.col("out"), 2).when(F.col("into"), 0).otherwise(1).alias("kind"))
+    nodes = cut(numbered(every, [*order, F.xxhash64("id"), "id"], "place"))
+    v, w = (nodes.select(F.col("id").alias(c), F.col("place").alias(p)) for c, p in (("src", "v"), ("dst", "w")))
+    hops = cut(flat.join(v, "src").join(w, "dst").select("v", "w", "amount"))
+    inner = cut(hops.join(nodes.where("kind = 0").select(F.col("place").alias("v")), "v", "left_semi"))
+    return hops, inner, nodes
+
+
+def _loads(hops: DataFrame, inner: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
+    """Of the sources with places from ``start`` to before ``end``: s, v and d, the distances; s, id and part, what the shortest paths of each add to each node.
+
+    Brandes' sums over joins. All sources move together: a round follows one more edge of all shortest paths, the first of ``hops``,
+    further ones of ``inner``. Rows are (source, node); no path is listed.
+    """
+    spark = hops.sparkSession
+    first = cut(hops.where(F.col("v").between(start, end - 1)).select(F.col("v").alias("s"), "v", "w", "amount"))
+    own = spark.range(start, end).select(F.col("id").alias("s"), F.col("id").alias("v"), num(0).alias("d"), F.lit(False).alias("new"))
+    state = cut(own.unionByName(first.groupBy("s", F.col("w").alias("v")).agg(F.min("amount").alias("d")).withColumn("new", F.lit(True))))
     while state.where("new").head(1):
-        more = state.where("new").join(hops, "v").select("s", F.col("w").alias("v"), (F.col("d") + F.col("amount")).alias("d"), F.lit(False).alias("held"))
+        more = state.where("new").join(inner, "v").select("s", F.col("w").alias("v"), (F.col("d") + F.col("amount")).alias("d"), F.lit(False).alias("held"))
         both = state.select("s", "v", "d", F.lit(True).alias("held")).unionByName(more).groupBy("s", "v").agg(F.min("d").alias("d"), F.min(F.when(F.col("held"), F.col("d"))).alias("old"))
         state = cut(both.select("s", "v", "d", (F.col("old").isNull() | (F.col("d") < F.col("old"))).alias("new")))
+    state = state.select("s", "v", "d")
     ahead = state.select("s", F.col("v").alias("w"), F.col("d").alias("to"))
-    steps = state.join(hops, "v").join(ahead, ["s", "w"]).where((F.col("d") + F.col("amount") == F.col("to")) & (F.col("d") < F.col("to"))).select("s", "v", "w")
+    tried = state.where("s <> v").join(inner, "v").unionByName(first.withColumn("d", num(0)))
+    steps = tried.join(ahead, ["s", "w"]).where((F.col("d") + F.col("amount") == F.col("to")) & (F.col("d") < F.col("to"))).select("s", "v", "w")
     steps = cut(steps)
     walks = state.where("s = v").select("s", "v", num(1).alias("p"))  # shortest paths of 0, 1, 2 ... edges
     every = []
     while walks.head(1):
         every.append(walks)
         walks = cut(walks.join(steps, ["s", "v"]).groupBy("s", F.col("w").alias("v")).agg(F.sum("p").alias("p")))
-    paths = every[0] if every else walks
+    paths = every[0]
     for more in every[1:]:
         paths = paths.unionAll(more)
     paths = cut(paths.groupBy("s", "v").agg(F.sum("p").alias("p")))
-    share = steps.join(paths, ["s", "v"]).join(paths.select("s", F.col("v").alias("w"), F.col("p").alias("all")), ["s", "w"])
+    # what a source itself would get does not count, so that its own edges are left out
+    share = steps.where("s <> v").join(paths, ["s", "v"]).join(paths.select("s", F.col("v").alias("w"), F.col("p").alias("all")), ["s", "w"])
     share = cut(share.select("s", "v", "w", (F.col("p") / F.col("all")).alias("share")))
     # a node's load is its share of what the next nodes have and of the nodes themselves, summed by the edges between
     term = paths.select("s", F.col("v").alias("w"), num(1).alias("t"))
-    load = None
+    load = spark.range(0).select(F.col("id").alias("s"), "id", num(0).alias("part"))
     while term.head(1):
         term = cut(share.join(term, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("share") * F.col("t")).alias("t")).withColumnRenamed("v", "w"))
-        part = term.where("s <> w").select("s", F.col("w").alias("id"), F.col("t").alias("part"))
-        load = part if load is None else load.unionAll(part)
-    if load is None:
-        return sources.where("false").select(F.col("id").alias("s"), "id", num(0).alias("part"))
-    return load.groupBy("s", "id").agg(F.sum("part").alias("part"))
+        load = load.unionAll(term.select("s", F.col("w").alias("id"), F.col("t").alias("part")))
+    return state, load.groupBy("s", "id").agg(F.sum("part").alias("part"))
+
+
+def _without_detours(inner: DataFrame, state: DataFrame, slack: float) -> DataFrame:
+    """``inner`` without the edges from sources of ``state`` that are longer than the distance: as parts of shortest paths are
+    shortest, no path of any source takes them. ``slack`` is above what the rounding of a path's sum can make."""
+    far = state.select(F.col("s").alias("v"), F.col("v").alias("w"), "d")
+    return cut(inner.join(far, ["v", "w"], "left").where(F.col("d").isNull() | (F.col("amount") <= F.col("d") + num(slack))).drop("d"))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """id and betweenness by shortest paths from every vertex, amounts (above 0) as distances, normalised. Exact at every size.
 
-    Sources come in batches of so many that there are ``BATCH_ROWS`` rows of (source, node); the time is that of vertices times edges.
+    Sources come in batches of so many that there are ``BATCH_ROWS`` rows of (source, node), by the nodes that those before them
+    reached; the nodes that paths lead through come first, so that later sources follow only edges of shortest paths. The time is
+    that of (source, node it reaches) times the edges that leave a node.
     """
-    hops, nodes, n = _sources(edges)
-    batch, total = max(1, BATCH_ROWS // max(1, n)), None
-    for start in range(0, n, batch):
-        part = cut(_loads(hops, nodes.where(F.col("place").between(start, start + batch - 1))).groupBy("id").agg(F.sum("part").alias("part")))
-        total = part if total is None else total.unionAll(part)
+    hops, inner, nodes = _sources(edges, F.col("kind"))
+    count = {r["kind"]: r["n"] for r in nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    n, total, end = sum(count.values()), None, 0
+    slack = 4 * n * n * 2.0**-53 * (hops.agg(F.max("amount")).first()[0] or 0.0)
+    sources = [count.get(0, 0), count.get(1, 0)]  # no path leaves the others
+    for many in sources if n * n > BATCH_ROWS else [sum(sources)]:
+        start, end, size = end, end + many, max(1, BATCH_ROWS // max(1, n))
+        while start < end:
+            size = min(size, end - start)
+            state, load = _loads(hops, inner, start, start + size)
+            part = cut(load.groupBy("id").agg(F.sum("part").alias("part")))
+            total = part if total is None else total.unionAll(part)
+            if start + size < sum(sources):
+                inner = _without_detours(inner, state, slack)
+            start, size = start + size, max(1, min(BATCH_GROWTH * size, BATCH_ROWS * size // state.count()))
     scale = num(1 / ((n - 1) * (n - 2)) if n > 2 else 0.0)
     if total is None:
         return nodes.select("id", num(0).alias("betweenness"))
-    total = total.groupBy("id").agg(F.sum("part").alias("part"))
-    return nodes.join(total, "id", "left").select("id", (F.coalesce("part", num(0)) * scale).alias("betweenness"))
+    total = total.groupBy(F.col("id").alias("place")).agg(F.sum("part").alias("part"))
+    return nodes.join(total, "place", "left").select("id", (F.coalesce("part", num(0)) * scale).alias("betweenness"))
 
 
 def betweenness_within(edges: DataFrame, error: float, failure: float = 0.05, batch: int = 256) -> DataFrame:
@@ -224,23 +259,24 @@ def betweenness_within(edges: DataFrame, error: float, failure: float = 0.05, ba
     """
     if not 0 < error or not 0 < failure < 1:
         raise ValueError("error and failure must be above 0, failure below 1")
-    hops, nodes, n = _sources(edges)
+    hops, inner, nodes = _sources(edges)
+    n = nodes.count()
     batch, k, rounds = max(1, min(batch, BATCH_ROWS // max(1, n))), 0, 0
     if n <= 2:
         return nodes.select("id", num(0).alias("betweenness"), num(0).alias("bound"))
     sums, out = None, None
     while k < n:
-        drawn = nodes.where(F.col("place").between(k, k + batch - 1))
+        drawn = _loads(hops, inner, k, min(n, k + batch))[1]
         k, rounds = min(n, k + batch), rounds + 1
         x = F.col("part") / num(n - 2)
-        fresh = _loads(hops, drawn).groupBy("id").agg(F.sum(x).alias("x"), F.sum(x * x).alias("xx"))
-        sums = cut((fresh if sums is None else sums.unionAll(fresh)).groupBy("id").agg(F.sum("x").alias("x"), F.sum("xx").alias("xx")))
+        fresh = drawn.groupBy(F.col("id").alias("place")).agg(F.sum(x).alias("x"), F.sum(x * x).alias("xx"))
+        sums = cut((fresh if sums is None else sums.unionAll(fresh)).groupBy("place").agg(F.sum("x").alias("x"), F.sum("xx").alias("xx")))
         mean = F.coalesce("x", num(0)) / num(k)
         variance = F.greatest(num(0), F.coalesce("xx", num(0)) / num(k) - mean * mean) * num(k / max(1, k - 1))
         log = math.log(3 * n * rounds * (rounds + 1) / failure)
         bound = F.sqrt(2 * variance * num(log / k)) + num(3 * log / k) if k < n else num(0)
         scale = num(n / (n - 1))
-        out = cut(nodes.join(sums, "id", "left").select("id", (mean * scale).alias("betweenness"), (bound * scale).alias("bound")))
+        out = cut(nodes.join(sums, "place", "left").select("id", (mean * scale).alias("betweenness"), (bound * scale).alias("bound")))
         if out.agg(F.max("bound")).first()[0] <= error:
             break
     return out

@@ -91,6 +91,21 @@ def test_betweenness_in_batches(spark, monkeypatch):
         graph.betweenness(edges(spark, [("A", "B", 0, 0)]))
 
 
+def test_betweenness_batches_grow_by_what_sources_reach(spark, monkeypatch):
+    # many senders into a few accounts that pay each other: a source reaches 8 of 128 nodes
+    rng = random.Random(11)
+    hubs = [(f"H{i}", f"H{j}", rng.randrange(1, 40)) for i in range(8) for j in range(8) if i != j and rng.random() < 0.6]
+    flows = hubs + [(f"U{i}", f"H{j}", rng.randrange(1, 40)) for i in range(120) for j in rng.sample(range(8), 3)]
+    calls, loads = [], graph._loads
+    monkeypatch.setattr(graph, "BATCH_ROWS", 2000)
+    monkeypatch.setattr(graph, "_loads", lambda *a: calls.append(a) or loads(*a))
+    e = spark.createDataFrame([(s, t, float(a)) for s, t, a in flows], "src string, dst string, amount double").coalesce(2)
+    got = {r["id"]: r["betweenness"] for r in graph.betweenness(e).collect()}
+    want = brandes(flows)
+    assert got == pytest.approx(want) and any(want.values())
+    assert len(calls) <= 3  # 9 by the number of nodes
+
+
 def test_betweenness_within_a_bound(spark):
     # two groups that only meet in a few accounts, so that some are central by far
     rng = random.Random(8)
