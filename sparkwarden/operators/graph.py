@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import GraphConfig
 from ..functions.columns import DAY_US, num, us
@@ -174,11 +174,14 @@ def _sources(edges: DataFrame, *order: Column) -> tuple[DataFrame, DataFrame, Da
     return hops, inner, nodes
 
 
-def _loads(hops: DataFrame, inner: DataFrame, start: int, end: int) -> tuple[DataFrame, DataFrame]:
+def _loads(hops: DataFrame, inner: DataFrame, start: int, end: int, tails: DataFrame | None = None, slack: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Of the sources with places from ``start`` to before ``end``: s, v and d, the distances; s, id and part, what the shortest paths of each add to each node.
 
     Brandes' sums over joins. All sources move together: a round follows one more edge of all shortest paths, the first of ``hops``,
     further ones of ``inner``. Rows are (source, node); no path is listed.
+
+    ``tails``: edges to nodes that no edge leaves, none of which is in ``hops`` and ``inner`` then. They end paths, so they are followed once,
+    after all rounds, and their ends are not in the distances. They are returned without the detours that were seen.
     """
     spark = hops.sparkSession
     first = cut(hops.where(F.col("v").between(start, end - 1)).select(F.col("v").alias("s"), "v", "w", "amount"))
@@ -208,10 +211,35 @@ def _loads(hops: DataFrame, inner: DataFrame, start: int, end: int) -> tuple[Dat
     # a node's load is its share of what the next nodes have and of the nodes themselves, summed by the edges between
     term = paths.select("s", F.col("v").alias("w"), num(1).alias("t"))
     load = spark.range(0).select(F.col("id").alias("s"), "id", num(0).alias("part"))
+    if tails is not None:
+        tails = _without_long_tails(tails, state, slack)
+        ended = cut(_ended(tails, state.join(paths, ["s", "v"])))
+        term = term.join(ended.withColumnRenamed("v", "w"), ["s", "w"], "left").select("s", "w", (F.col("t") + F.coalesce("ended", num(0))).alias("t"))
+        load = load.unionAll(ended.where("s <> v").select("s", F.col("v").alias("id"), F.col("ended").alias("part")))
     while term.head(1):
         term = cut(share.join(term, ["s", "w"]).groupBy("s", "v").agg(F.sum(F.col("share") * F.col("t")).alias("t")).withColumnRenamed("v", "w"))
         load = load.unionAll(term.select("s", F.col("w").alias("id"), F.col("t").alias("part")))
-    return state, load.groupBy("s", "id").agg(F.sum("part").alias("part"))
+    return state, load.groupBy("s", "id").agg(F.sum("part").alias("part")), tails
+
+
+def _ended(tails: DataFrame, paths: DataFrame) -> DataFrame:
+    """s, v and ended: how many ends of ``tails`` the shortest paths from s reach by an edge from v, an end with ties in parts; of ``paths`` (s, v, d, p).
+
+    Tails are dealt out by their ends, and so stay where paths are few enough for Spark to broadcast.
+    """
+    dealt = tails.repartition(int(tails.sparkSession.conf.get("spark.sql.shuffle.partitions")), "w")
+    end, far = Window.partitionBy("s", "w"), F.col("d") + F.col("amount")
+    tried = dealt.join(paths, "v").where(far > F.col("d")).select("s", "w", "v", "p", far.alias("far"))
+    least = tried.withColumn("to", F.min("far").over(end)).where("far = to").withColumn("all", F.sum("p").over(end))
+    return least.groupBy("s", "v").agg(F.sum(F.col("p") / F.col("all")).alias("ended"))
+
+
+def _without_long_tails(tails: DataFrame, state: DataFrame, slack: float) -> DataFrame:
+    """``tails`` without edges from sources of ``state`` that are longer than the way by the shortest edge to the same end."""
+    least = tails.groupBy("w").agg(F.min("amount").alias("a")).join(tails.withColumnRenamed("amount", "a"), ["w", "a"]).groupBy("w", "a").agg(F.min("v").alias("by"))
+    far = state.select(F.col("s").alias("v"), F.col("v").alias("by"), "d")
+    out = tails.join(least, "w").join(far, ["v", "by"], "left")
+    return cut(out.where(F.col("d").isNull() | (F.col("amount") <= F.col("d") + F.col("a") + num(slack))).select("v", "w", "amount"))
 
 
 def _without_detours(inner: DataFrame, state: DataFrame, slack: float) -> DataFrame:
@@ -224,25 +252,32 @@ def _without_detours(inner: DataFrame, state: DataFrame, slack: float) -> DataFr
 def betweenness(edges: DataFrame) -> DataFrame:
     """id and betweenness by shortest paths from every vertex, amounts (above 0) as distances, normalised. Exact at every size.
 
+    Paths are followed from their ends where fewer nodes have edges in than out. Nodes that no edge leaves (seen so) are reached once,
+    after all rounds.
     Sources come in batches of so many that there are ``BATCH_ROWS`` rows of (source, node), by the nodes that those before them
     reached; the nodes that paths lead through come first, so that later sources follow only edges of shortest paths. The time is
     that of (source, node it reaches) times the edges that leave a node.
     """
+    starts, ends = edges.where("src <> dst").agg(F.count_distinct("src"), F.count_distinct("dst")).first()
+    if starts > ends:
+        edges = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "amount")
     hops, inner, nodes = _sources(edges, F.col("kind"))
     count = {r["kind"]: r["n"] for r in nodes.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     n, total, end = sum(count.values()), None, 0
     slack = 4 * n * n * 2.0**-53 * (hops.agg(F.max("amount")).first()[0] or 0.0)
     sources = [count.get(0, 0), count.get(1, 0)]  # no path leaves the others
+    last = F.col("w") >= sum(sources)
+    tails, hops, inner = cut(hops.where(last)), hops.where(~last), inner.where(~last)
     for many in sources if n * n > BATCH_ROWS else [sum(sources)]:
         start, end, size = end, end + many, max(1, BATCH_ROWS // max(1, n))
         while start < end:
             size = min(size, end - start)
-            state, load = _loads(hops, inner, start, start + size)
+            state, load, tails = _loads(hops, inner, start, start + size, tails, slack)
             part = cut(load.groupBy("id").agg(F.sum("part").alias("part")))
             total = part if total is None else total.unionAll(part)
             if start + size < sum(sources):
                 inner = _without_detours(inner, state, slack)
-            start, size = start + size, max(1, min(BATCH_GROWTH * size, BATCH_ROWS * size // state.count()))
+            start, size = start + size, max(1, min(BATCH_GROWTH * size, BATCH_ROWS * size // (state.count() + size * count.get(2, 0))))
     scale = num(1 / ((n - 1) * (n - 2)) if n > 2 else 0.0)
     if total is None:
         return nodes.select("id", num(0).alias("betweenness"))
@@ -293,15 +328,25 @@ def communities(edges: DataFrame, cfg: GraphConfig = DEFAULT) -> DataFrame:
 
 
 def neighbour_jaccard(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """from_id, to_id and the Jaccard similarity of their neighbourhoods (both directions), by joins: no neighbourhood is gathered."""
-    near = edges.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(edges.select("dst", "src")).distinct()
+    """from_id, to_id and the Jaccard similarity of their neighbourhoods (both directions), by joins: no neighbourhood is gathered.
+
+    Nodes are numbered from the most neighbours on, and neighbours kept as words of 64 bits: those that nodes often share stand together.
+    """
+    near = cut(edges.select(F.col("src").alias("v"), F.col("dst").alias("u")).union(edges.select("dst", "src")).distinct())
     size = near.groupBy("v").agg(F.count("*").alias("n"))
-    pairs = pairs.select("from_id", "to_id").distinct()
-    mine = pairs.join(near, F.col("from_id") == F.col("v")).select("from_id", "to_id", "u")
-    both = mine.join(near.select(F.col("v").alias("to_id"), "u"), ["to_id", "u"], "left_semi").groupBy("from_id", "to_id").agg(F.count("*").alias("both"))
-    s, r = size.select(F.col("v").alias("from_id"), F.col("n").alias("a")), size.select(F.col("v").alias("to_id"), F.col("n").alias("b"))
-    out = pairs.join(s, "from_id", "left").join(r, "to_id", "left").join(both, ["from_id", "to_id"], "left")
-    both = F.coalesce("both", F.lit(0))
+    place = numbered(size, [-F.col("n"), "v"], "place").select(F.col("v").alias("u"), "place")
+    word, bit = F.expr("place div 64"), F.expr("shiftleft(1L, cast(place % 64 as int))")
+    words = cut(near.join(place, "u").groupBy("v", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    size = cut(words.groupBy("v").agg(F.count("*").alias("words"), F.sum(F.bit_count("bits")).alias("n")))
+    s, r = (size.select(F.col("v").alias(c), F.col("n").alias(n), F.col("words").alias(f"{n}_words")) for c, n in (("from_id", "a"), ("to_id", "b")))
+    pairs = pairs.select("from_id", "to_id").distinct().join(s, "from_id", "left").join(r, "to_id", "left")
+    # the one with fewer words is looked up in the other
+    less = F.col("a_words") <= F.col("b_words")
+    ends = pairs.select("from_id", "to_id", "a", "b", F.when(less, F.col("from_id")).otherwise(F.col("to_id")).alias("x"), F.when(less, F.col("to_id")).otherwise(F.col("from_id")).alias("y"))
+    mine = ends.join(words.withColumnRenamed("v", "x"), "x", "left")
+    met = mine.join(words.select(F.col("v").alias("y"), "word", F.col("bits").alias("theirs")), ["y", "word"], "left")
+    out = met.groupBy("from_id", "to_id", "a", "b").agg(F.coalesce(F.sum(F.bit_count(F.col("bits").bitwiseAND(F.col("theirs")))), F.lit(0)).alias("both"))
+    both = F.col("both")
     known = F.col("a").isNotNull() & F.col("b").isNotNull()
     return out.select("from_id", "to_id", F.when(known, both / (F.col("a") + F.col("b") - both)).otherwise(num(0)).alias("neighbor_jaccard"))
 

@@ -106,6 +106,36 @@ def test_betweenness_batches_grow_by_what_sources_reach(spark, monkeypatch):
     assert len(calls) <= 3  # 9 by the number of nodes
 
 
+def test_betweenness_follows_paths_from_the_side_with_fewer_sources(spark, monkeypatch):
+    """Of many senders into a few accounts none is a source by itself, in either direction; ties between last edges count in parts."""
+    rng = random.Random(12)
+    hubs = [(f"H{i}", f"H{j}", rng.randrange(1, 9)) for i in range(6) for j in range(6) if i != j and rng.random() < 0.6]
+    flows = hubs + [(f"U{i}", f"H{j}", rng.randrange(1, 9)) for i in range(60) for j in rng.sample(range(6), 3)]
+    loads = graph._loads
+    for batch_rows, turned in ((50_000_000, False), (200, True)):
+        some = [(t, s, a) if turned else (s, t, a) for s, t, a in flows]
+        calls = []
+        monkeypatch.setattr(graph, "BATCH_ROWS", batch_rows)
+        monkeypatch.setattr(graph, "_loads", lambda *a: calls.append(a[3] - a[2]) or loads(*a))
+        e = spark.createDataFrame([(s, t, float(a)) for s, t, a in some], "src string, dst string, amount double").coalesce(2)
+        got = {r["id"]: r["betweenness"] for r in graph.betweenness(e).collect()}
+        assert got == pytest.approx(brandes(some)) and any(got.values())
+        assert sum(calls) == 6
+
+
+def test_jaccard_against_brute_force(spark):
+    rng = random.Random(13)
+    flows = {(f"U{rng.randrange(90)}", f"U{rng.randrange(90)}") for _ in range(500)} | {("U0", "U0"), ("V", "V")}
+    pairs = [("U0", f"U{i}") for i in range(90)] + [(f"U{rng.randrange(95)}", f"U{rng.randrange(95)}") for _ in range(300)] + [("V", "U1"), ("none", "U1"), ("U1", "U1")]
+    near = {}
+    for s, t in flows:
+        near.setdefault(s, set()).add(t)
+        near.setdefault(t, set()).add(s)
+    want = {(s, t): len(near[s] & near[t]) / len(near[s] | near[t]) if s in near and t in near else 0 for s, t in pairs}
+    got = graph.neighbour_jaccard(spark.createDataFrame(pairs, "from_id string, to_id string"), spark.createDataFrame(sorted(flows), "src string, dst string"))
+    assert {(r["from_id"], r["to_id"]): r["neighbor_jaccard"] for r in got.collect()} == pytest.approx(want)
+
+
 def test_betweenness_within_a_bound(spark):
     # two groups that only meet in a few accounts, so that some are central by far
     rng = random.Random(8)
