@@ -337,7 +337,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, among: DataFrame | None = None) -> DataFrame:
     """i (doc_id), h (hash of the text), class_i and class_h (the row that stands for the class) and n_links, for each row of docs (doc_id, text).
 
-    With ``among`` (i), only rows with one of those ids count; so no text is moved to leave out the others.
+    With ``among`` (i, and perhaps h), only rows with one of those ids (and hashes) count; so no text is moved to leave out the others.
     """
     with Scratch(docs.sparkSession) as scratch:
         return _classes(docs, threshold, least_matches(threshold, tolerance), among, scratch)
@@ -347,8 +347,9 @@ def _classes(docs: DataFrame, threshold: float, least: list[int], among: DataFra
     rows = _rows(docs)
     signed = _signed(rows)
     if among is not None:
-        ids = among.select(F.col("i").alias("among_i"))
-        signed = signed.join(ids, signed["i"].eqNullSafe(F.col("among_i")), "left_semi")
+        ids = among.select(*[F.col(c).alias(f"among_{c}") for c in ("i", "h") if c in among.columns])
+        same = signed["i"].eqNullSafe(F.col("among_i"))
+        signed = signed.join(ids, same & (signed["h"] == F.col("among_h")) if "h" in among.columns else same, "left_semi")
     signed = scratch.write(signed, "signed")
     reps = scratch.write(
         signed.where("k is not null").groupBy("k").agg(F.min(F.struct("i", "h")).alias("row"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("signature").alias("signature")), "reps"
@@ -383,7 +384,7 @@ def _classes(docs: DataFrame, threshold: float, least: list[int], among: DataFra
 
 
 def keep_one(docs: DataFrame, among: DataFrame | None = None) -> DataFrame:
-    """``docs``, all of its columns, with one row of each class: the least doc_id. With ``among`` (i), of rows with one of those ids."""
+    """``docs``, all of its columns, with one row of each class: the least doc_id. With ``among`` (i, and perhaps h), of rows with one of those ids (and hashes)."""
     found = classes(docs, among=among)
     stays = found.where("i <=> class_i and h = class_h").select(F.col("i").alias("stays_i"), F.col("h").alias("stays_h")).distinct()
     i, h, n = (internal(docs, x) for x in ("row_i", "row_h", "row_n"))

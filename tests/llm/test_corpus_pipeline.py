@@ -80,6 +80,27 @@ def test_near_copies_of_many_lines(spark, tmp_path):
     assert set(seen[2]) == {*firsts, *range(36, 46)}
 
 
+def test_near_copies_without_ids_of_their_own(spark, tmp_path):
+    """Null and repeated ids do not say which text a document had before line dedup; near copies go all the same."""
+    rng = random.Random(9)
+    texts = []
+    for _ in range(3):
+        lines = [text(rng, 14) for _ in range(12)]
+        for n in range(3):
+            words = lines[n].split()
+            words[5] = f"changed{n}"
+            texts.append("\n".join(lines[:n] + [" ".join(words)] + lines[n + 1 :]))
+    ids = [None] * 3 + [7] * 3 + [None, 8, 8]
+    d = write(spark, tmp_path, [*texts, *(text(rng, 80) for _ in range(10))], [*ids, *range(20, 30)])
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, d)
+    assert docs.count() == 19
+    kept = corpus_pipeline.near_duplicates(spark, docs, d)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["None", "None", "7", *map(str, range(20, 30))])
+
+
 def brute_join(before, docs):
     """(doc_id, text) that stay, by all pairs of five-word shingles."""
 
